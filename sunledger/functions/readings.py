@@ -10,21 +10,24 @@ from sunledger import schema as S
 
 def to_number(column: Column | str) -> Column:
     """Text to double; anything that is not a number becomes null."""
-    return F.trim(_col(column)).try_cast("double")
+    text = F.trim(_col(column))
+    number = text.try_cast("double")
+    # The cast alone would also take Java's type suffixes and hexadecimal, and keep NaN.
+    return F.when(~text.rlike(r"[0-9.][dDfF]$|[xX]") & ~F.isnan(number), number)
 
 
 def to_date(column: Column | str) -> Column:
     """``dd.MM.yyyy`` text to date, row by row falling back to Spark's own timestamp parsing."""
     text = F.trim(_col(column))
     return F.coalesce(
-        F.try_to_timestamp(text, F.lit(S.DATE_FORMAT)).cast("date"),
+        F.try_to_timestamp(text, F.lit(S.DATE_PARSE_FORMAT)).cast("date"),
         text.try_cast("timestamp").cast("date"),
     )
 
 
 def to_date_strict(column: Column | str) -> Column:
     """``dd.MM.yyyy`` text to date, null for anything else."""
-    return F.try_to_timestamp(F.trim(_col(column)), F.lit(S.DATE_FORMAT)).cast("date")
+    return F.try_to_timestamp(F.trim(_col(column)), F.lit(S.DATE_PARSE_FORMAT)).cast("date")
 
 
 def to_timestamp_iso(column: Column | str) -> Column:
@@ -41,9 +44,9 @@ def first_present(df: DataFrame, names: list[str], default: str | None = None) -
 
 
 def file_stem(path: Column | str) -> Column:
-    """The file's name without folders and without its ``.csv`` ending, URL escapes decoded."""
+    """The file's name without folders and extension, URL escapes decoded."""
     escaped = F.replace(_col(path), F.lit("+"), F.lit("%2B"))  # a plus sign is not a blank in a path
-    return F.regexp_extract(F.try_url_decode(escaped), r"([^/]+?)(?:\.csv)?$", 1)
+    return F.regexp_extract(F.try_url_decode(escaped), r"([^/]+?)(?:\.[^./]+)?$", 1)
 
 
 def source_name(path: Column | str) -> Column:

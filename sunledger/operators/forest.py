@@ -25,6 +25,7 @@ from sunledger.storage import materialize
 
 EULER_GAMMA = 0.5772156649
 POOL_FACTOR = 4
+_BUCKETS = 1 << 16
 NODE_SCHEMA = "tree int, node int, feature int, source_id string, threshold double, left int, right int, rows int"
 LEAF, SOURCE_SPLIT = -1, -2
 
@@ -80,22 +81,16 @@ def tree_samples(
     seed: int,
     source: str | None,
 ) -> DataFrame:
-    """Exactly ``psi`` distinct rows for each tree."""
+    """Exactly ``psi`` rows for each tree, drawn without replacement."""
     pool_rows = POOL_FACTOR * n_trees * psi
-    pool = df.select(
+    keyed = df.select(
         F.xxhash64(*key).alias("_hash"),
         F.concat_ws("\u001f", *[F.col(k).cast("string") for k in key]).alias("_key"),
         (F.col(source) if source else F.lit(None)).cast("string").alias("_source"),
         *[F.col(f).cast("double").alias(f) for f in features],
     )
-    if pool_rows < rows:
-        pool = pool.where(_unit(F.xxhash64("_hash", F.lit(seed))) < F.lit(pool_rows / rows))
-    # The pool now holds about pool_rows rows at most; a tree keeps twice what it needs, then ranks.
     size = min(pool_rows, rows)
-    # Copies of one row share a hash and come or stay together, so they are folded before the shuffle;
-    # a tree has room for psi of them at most.
-    folded = pool.groupBy(*pool.columns).agg(F.count(F.lit(1)).alias("_copies"))
-    copies = folded.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.least("_copies", F.lit(psi)).cast("int"))))
+    copies = _draw_pool(keyed, pool_rows / rows, rows, psi, seed)
     draw = F.xxhash64("_hash", "_copy", "tree", F.lit(seed + 1))
     drawn = copies.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1)))).withColumn("_draw", draw)
     rate = (2.0 * psi + 60.0) / size
@@ -107,6 +102,30 @@ def tree_samples(
     return ranked.select("tree", "_key", "_copy", "_source", *features)
 
 
+def _draw_pool(keyed: DataFrame, rate: float, rows: int, psi: int, seed: int) -> DataFrame:
+    """A random share ``rate`` of the rows, one output row (``_copy``) per drawn copy of a row.
+
+    A row is drawn by the hash of its key, and the copies of a row share it. That is fair as long as no
+    key has very many: keys in over-full hash buckets are counted first and drawn in proportion.
+    """
+    columns = keyed.columns
+    folded = lambda part: part.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    expand = lambda part, n: part.withColumn("_copy", F.explode(F.sequence(F.lit(1), n.cast("int")))).drop("_n")
+    if rate >= 1:
+        return expand(folded(keyed), F.col("_n"))
+    bucket = F.pmod(F.col("_hash"), F.lit(_BUCKETS)).alias("_bucket")
+    counts = keyed.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n"))
+    # At most a quarter of the buckets can exceed four times the average.
+    full = materialize(counts.where(F.col("_n") > 1000 + 4 * rows // _BUCKETS).select("_bucket"), "buckets")
+    bucketed = keyed.withColumn("_bucket", bucket)
+    unit = _unit(F.xxhash64("_hash", F.lit(seed)))
+    cold = bucketed.where(unit < F.lit(rate)).join(F.broadcast(full), "_bucket", "left_anti").select(*columns)
+    hot = bucketed.join(F.broadcast(full), "_bucket", "left_semi").select(*columns)
+    share = folded(hot).withColumn("_n", F.floor(F.col("_n") * F.lit(rate) + unit)).where(F.col("_n") > 0)
+    # A tree has room for psi copies of a row at most.
+    return expand(folded(cold), F.least(F.col("_n"), F.lit(psi))).unionByName(expand(share, F.col("_n")))
+
+
 def score_forest(
     df: DataFrame,
     nodes: DataFrame,
@@ -147,16 +166,19 @@ def score_forest(
 
 
 class PackedForest:
-    """The node table as flat arrays: leaves point at themselves, so every row walks a fixed depth."""
+    """The node table as flat arrays.
+
+    A right child follows its left one, so a step is ``left + goes_right``. Leaves point at
+    themselves, so every row walks a fixed number of steps.
+    """
 
-    def __init__(self, feature, threshold, left, right, depth, roots, sources, height):
-        self.feature, self.threshold = feature, threshold
-        self.left, self.right, self.depth = left, right, depth
+    def __init__(self, feature, threshold, left, depth, roots, sources, height):
+        self.feature, self.threshold, self.left, self.depth = feature, threshold, left, depth
         self.roots, self.sources, self.height = roots, sources, height
         self.n_trees = len(roots)
 
     def arrays(self) -> tuple:
-        return self.feature, self.threshold, self.left, self.right, self.depth, self.roots, self.sources, self.height
+        return self.feature, self.threshold, self.left, self.depth, self.roots, self.sources, self.height
 
     @classmethod
     def of(cls, nodes: pd.DataFrame, n_features: int, psi: int) -> PackedForest:
@@ -165,8 +187,9 @@ class PackedForest:
         base = nodes["tree"].map(starts).to_numpy()
         own = np.arange(len(nodes))
         leaf = (nodes["feature"] == LEAF).to_numpy()
-        left = np.where(leaf, own, base + nodes["left"].to_numpy()).astype(np.int32)
-        right = np.where(leaf, own, base + nodes["right"].to_numpy()).astype(np.int32)
+        left = np.where(leaf, own, base + nodes["left"].to_numpy()).astype(np.int64)
+        if not (nodes["right"][~leaf] == nodes["left"][~leaf] + 1).all():
+            raise ValueError("a right child must follow its left one")
         names = sorted(s for s in nodes["source_id"].dropna().unique())
         codes = {s: i for i, s in enumerate(names)}
         # A split on a source compares the row's source code for equality in an extra column.
@@ -179,11 +202,11 @@ class PackedForest:
         level = np.zeros(len(nodes), dtype=np.int32)
         for i in own:  # parents precede their children
             if not leaf[i]:
-                level[left[i]] = level[right[i]] = level[i] + 1
+                level[left[i]] = level[left[i] + 1] = level[i] + 1
         extra = np.array([average_path_length(n) for n in nodes["rows"]])
         depth = np.where(leaf, level + extra, 0.0)
         return cls(
-            feature.astype(np.int32), threshold, left, right, depth, starts.to_numpy(), codes, int(level.max(initial=0))
+            feature.astype(np.int64), threshold, left, depth, starts.to_numpy(), codes, int(level.max(initial=0))
         )
 
     def mean_depths(self, matrix: np.ndarray, sources: pd.Series, sizes: list[int]) -> np.ndarray:
@@ -195,17 +218,16 @@ class PackedForest:
         total = np.zeros(n)
         out = np.empty((n, len(sizes)))
         for tree, root in enumerate(self.roots, start=1):
-            at = np.full(n, root, dtype=np.int32)
+            at = np.full(n, root, dtype=np.int64)
             for _ in range(self.height):
-                feature = self.feature[at]
-                value = flat[offsets + feature]
-                cut = self.threshold[at]
-                goes_left = value < cut
+                feature = self.feature.take(at)
+                value, cut = flat.take(offsets + feature), self.threshold.take(at)
+                right = value >= cut
                 if self.sources:
                     # A source split sends the rows of its source to the right.
-                    goes_left = np.where(feature == width, value != cut, goes_left)
-                at = np.where(goes_left, self.left[at], self.right[at])
-            total += self.depth[at]
+                    right = np.where(feature == width, value == cut, right)
+                at = self.left.take(at) + right
+            total += self.depth.take(at)
             for j, k in enumerate(sizes):
                 if tree == k:
                     out[:, j] = total / k

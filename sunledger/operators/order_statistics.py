@@ -7,6 +7,8 @@ mergeable sketch first says *where* the answer lies, then only the rows around i
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +29,8 @@ def exact_percentiles(
 
     One pass builds a sketch per group and column. It brackets each wanted rank between two values
     that enclose a few hundred-thousandths of the rows (a small group is its own bracket). Two more passes count the rows below the
-    bracket and, by value, those inside it, so repeated values collapse before the shuffle.
+    bracket and, by value, those inside it, so repeated values collapse before the shuffle. ``df`` is
+    read three times: pass a stored table where it is costly to compute.
     """
     by = by or []
     bounds = [b for p in probs for b in (max(p - _BRACKET, 0.0), min(p + _BRACKET, 1.0))]
@@ -77,10 +80,11 @@ def exact_percentiles(
             )
         ).alias("t"),
     ).select(*by, "t.*")
+    # Nearly all rows lie in no bracket at all and are gone before the targets are laid out.
+    near = reduce(Column.__or__, [(t["v"] >= t["lo"]) & (t["v"] <= t["hi"]) for t in targets])
     inside = (
-        bracketed.select(
-            *by, F.explode(F.filter(F.array(*targets), lambda t: (t.v >= t.lo) & (t.v <= t.hi))).alias("t")
-        )
+        bracketed.where(near)
+        .select(*by, F.explode(F.filter(F.array(*targets), lambda t: (t.v >= t.lo) & (t.v <= t.hi))).alias("t"))
         .groupBy(*by, F.col("t.c").alias("c"), F.col("t.p").alias("p"), F.col("t.v").alias("v"))
         .agg(F.count(F.lit(1)).alias("k"))
     )

@@ -3,7 +3,7 @@
 The history of a reading is the site's last seven earlier readings. With one reading per site and
 day (``one_reading_per_day``) a site's group is bounded by the number of calendar days, so one
 window over the site is safe whatever the size of the table. Series keyed by a timestamp have no
-such bound: pass ``chunk_seconds`` and each site's timeline is cut into pieces that every carry the
+such bound: pass ``chunk_seconds`` and each site's timeline is cut into pieces that each carry the
 seven rows before them, which gives the same rows while no task ever holds a whole site.
 """
 
@@ -33,7 +33,8 @@ def analyze_trends(
     """Add trend, speed, current change, recent values, degradation and risk to every row.
 
     ``order_by`` is the total order of a site's readings (``reading_date`` by default). With
-    ``chunk_seconds`` its first column must be a timestamp.
+    ``chunk_seconds`` its first column must be a date or a timestamp; choose the length so that the
+    busiest chunk of a site still suits one task.
     """
     order_by = order_by or ["reading_date"]
     df = df.withColumns({m: F.coalesce(F.col(m), F.lit(0.0)) for m in _HISTORY_MEASURES})
@@ -152,7 +153,7 @@ def _with_preceding_rows(df: DataFrame, site: str, order_by: list[str], chunk_se
     The copies come from a summary of at most seven rows per chunk; seven earlier chunks always
     hold at least seven rows, so the summary window needs no more than that.
     """
-    chunk = F.floor(F.unix_seconds(F.col(order_by[0])) / F.lit(chunk_seconds)).cast("long")
+    chunk = F.floor(F.unix_seconds(F.col(order_by[0]).cast("timestamp")) / F.lit(chunk_seconds)).cast("long")
     df = df.withColumn("_chunk", chunk)
     carried_columns = list(dict.fromkeys([site, *order_by, *_HISTORY_MEASURES]))
     newest = Window.partitionBy(site, "_chunk").orderBy(*[F.desc(c) for c in order_by])

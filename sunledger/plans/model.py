@@ -116,9 +116,17 @@ def add_batch_severity(scored: DataFrame, percentile: float = S.SEVERITY_PERCENT
     return marked.withColumn("severity", batch_severity(F.col("score"), F.col("_cut"))).drop("_cut")
 
 
-def train(
+def train(readings: DataFrame, contamination: float = S.CONTAMINATION, **options) -> AnomalyModel:
+    """Fit a forest and set its thresholds. ``options`` are those of ``fit``.
+
+    The table is scanned four times, so pass one that is stored.
+    """
+    model = fit(readings, **options)
+    return calibrate(model, readings, contamination)
+
+
+def fit(
     readings: DataFrame,
-    contamination: float = S.CONTAMINATION,
     normalization: str = "global",
     n_trees: int = S.N_TREES,
     max_samples: int = S.MAX_SAMPLES,
@@ -127,7 +135,7 @@ def train(
     legacy_order: bool = False,
     key: list[str] | None = None,
 ) -> AnomalyModel:
-    """Fit a model on stored readings; the table is scanned four times, so pass one that is stored.
+    """Fit scaler and forest; the model scores, but has no thresholds yet.
 
     Features come from raw readings and are scaled once. ``legacy_order`` scales the measures first,
     derives the ratios from the scaled ones and scales all features again.
@@ -145,7 +153,6 @@ def train(
     rows = profiles.agg(F.sum("records")).first()[0] or 0
 
     params = {
-        "contamination": float(contamination),
         "features": features,
         "normalization": normalization,
         "legacy_order": legacy_order,
@@ -169,16 +176,14 @@ def train(
     nodes = fit_forest(
         prepared, inputs, key, rows, n_trees, max_samples, seed, source="source_id" if site_aware else None
     )
-    model = AnomalyModel(nodes, scaler, profiles, params, feature_scaler)
-    return calibrate(model, complete)
+    return AnomalyModel(nodes, scaler, profiles, params, feature_scaler)
 
 
-def calibrate(model: AnomalyModel, readings: DataFrame, contamination: float | None = None) -> AnomalyModel:
+def calibrate(model: AnomalyModel, readings: DataFrame, contamination: float) -> AnomalyModel:
     """Set the thresholds from the scores of ``readings``, which are computed once."""
-    contamination = model.params["contamination"] if contamination is None else contamination
     scores = materialize(model.score(readings).select("score"), "scores")
     cuts = percentile_row(scores, "score", {"threshold": contamination, "severity_cut": S.SEVERITY_PERCENTILE})
-    return replace(model, params={**model.params, "contamination": contamination, **cuts.first().asDict()})
+    return replace(model, params={**model.params, "contamination": float(contamination), **cuts.first().asDict()})
 
 
 def _scaled_inputs(

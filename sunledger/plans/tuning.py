@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sunledger import schema as S
 from sunledger.operators import reports, sets
 from sunledger.operators.order_statistics import exact_percentiles, split_by_position
-from sunledger.plans.model import AnomalyModel, train
+from sunledger.plans.model import AnomalyModel, fit, train
 from sunledger.sinks.tables import append
 from sunledger.sources.history import read_store
 from sunledger.storage import materialize
@@ -79,7 +79,7 @@ def grid_search(
     tree_counts = tree_counts or S.GRID_TREES
     first, rest = split_by_position(readings, 1 - validation_split, "reading_date", tie_break or ORDER)
     first = materialize(first, "train")
-    model = train(first, n_trees=max(tree_counts), site_aware=False)
+    model = fit(first, n_trees=max(tree_counts), site_aware=False)
     columns = [f"score_{k}" for k in tree_counts]
 
     train_scores = materialize(model.score(first, prefixes=tree_counts).select(*columns), "scores")

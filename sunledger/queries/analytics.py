@@ -125,7 +125,7 @@ _PROBS = [0.05, 0.1, 0.25, 0.5, 0.75, 0.9]
     ),
 )
 def a11(spark, sf):
-    rows = O.exact_percentiles(V.scored(spark, sf), ["score"], _PROBS)
+    rows = O.exact_percentiles(materialize(V.scored(spark, sf).select("score"), "scores"), ["score"], _PROBS)
     return V.rounded(rows.select("prob", "value"), ["value"])
 
 
@@ -151,7 +151,7 @@ _BOX = f"""top AS (SELECT site_id FROM scored GROUP BY site_id ORDER BY count(*)
 
 @query("A13_box_plots", f"WITH {V.STRESSED_SCORED}, {_BOX}")
 def a13(spark, sf):
-    boxes = reports.box_plots(V.stressed_scored(spark, sf), 10, "site_id")
+    boxes = reports.box_plots(materialize(V.stressed_scored(spark, sf).select("site_id", "score"), "scores"), 10, "site_id")
     return V.rounded(boxes, ["q1", "median", "q3", "lower_whisker", "upper_whisker"])
 
 
@@ -167,7 +167,8 @@ _SEVERITY = """CASE WHEN score <= (SELECT quantile_cont(score, 0.1) FROM scored)
 
 @query("P19_batch_severity", f"WITH {V.SCORED} SELECT source_id, {V.DATE}, {_SEVERITY} FROM scored")
 def p19(spark, sf):
-    return add_batch_severity(V.scored(spark, sf)).select("source_id", "reading_date", "severity")
+    scores = materialize(V.scored(spark, sf).select("source_id", "reading_date", "score"), "scores")
+    return add_batch_severity(scores).select("source_id", "reading_date", "severity")
 
 
 @query(
@@ -175,7 +176,7 @@ def p19(spark, sf):
     f"WITH {V.SCORED} SELECT source_id, {V.DATE}, score < (SELECT quantile_cont(score, 0.15) FROM scored) AS is_anomaly FROM scored",
 )
 def m03(spark, sf):
-    df = V.scored(spark, sf).drop("is_anomaly")
+    df = materialize(V.scored(spark, sf).select("source_id", "reading_date", "score"), "scores")
     cut = O.percentile_row(df, "score", {"threshold": 0.15})
     return O.with_scalar(df, cut).select("source_id", "reading_date", decide(F.col("score"), F.col("threshold")).alias("is_anomaly"))
 

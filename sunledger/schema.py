@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 DATE_HEADERS = ["Fecha", "Fecha y hora"]
 SITE_HEADER = "Empresa"
 DATE_FORMAT = "dd.MM.yyyy"
+DATE_PARSE_FORMAT = "d.M.yyyy"  # one or two digits
 HEADER_TO_COLUMN = {
     "Generación total": "generation_wh",
     "Consumo total": "consumption_wh",

@@ -19,7 +19,6 @@ def readings_stream(spark: SparkSession, folder: str, pattern: str = "*.csv", ma
         spark.readStream.schema(RAW_SCHEMA)
         .options(**CSV_OPTIONS)
         .option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", max_files)
         .csv(folder)
     )

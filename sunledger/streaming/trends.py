@@ -17,12 +17,13 @@ from sunledger import schema as S
 from sunledger.operators.trends import relative_change, risk_columns, series_trend
 
 _MEASURES = ["generation_wh", "consumption_wh", "self_consumption_wh"]
+_HISTORIES = ["h_generation", "h_consumption", "h_self"]
 _ROW = "reading_date date, generation_wh double, consumption_wh double, self_consumption_wh double"
 _OUTPUT = (
     f"site_id string, {_ROW}, late boolean, "
     "h_generation array<double>, h_consumption array<double>, h_self array<double>"
 )
-_STATE = "days array<int>, generation array<double>, consumption array<double>, self array<double>"
+_STATE = "newest date, generation array<double>, consumption array<double>, self array<double>"
 
 
 def stream_trends(readings: DataFrame) -> DataFrame:
@@ -57,17 +58,24 @@ def with_array_trends(df: DataFrame) -> DataFrame:
             ),
         }
     )
-    n = F.size("h_generation")
-    columns = {"history_rows": n.cast("long"), "degradation_slope": _slope(F.col("_yields"))}
     values = {"generation": "generation_wh", "consumption": "consumption_wh", "efficiency": "_eff"}
+    # Means and slope are columns of their own: they are costly and each is used several times.
+    df = df.withColumns(
+        {
+            "degradation_slope": _slope(F.col("_yields")),
+            **{f"_mean_{name}": _mean_change(F.col(f"h_{name}")) for name in values},
+        }
+    )
+    n = F.size("h_generation")
+    columns = {"history_rows": n.cast("long")}
     for name, value in values.items():
         history = F.col(f"h_{name}")
         last = F.get(history, n - 1)
         recent = F.slice(history, F.greatest(n - (S.RECENT_VALUES - 1), F.lit(1)), S.RECENT_VALUES)
-        columns.update(series_trend(name, n, _mean_change(history), last, F.col(value), recent))
+        columns.update(series_trend(name, n, F.col(f"_mean_{name}"), last, F.col(value), recent))
     df = df.withColumns(columns)
     return df.withColumns(risk_columns(df)).drop(
-        "_eff", "_yields", "h_generation", "h_consumption", "h_self", "h_efficiency"
+        "_eff", "_yields", "h_generation", "h_consumption", "h_self", "h_efficiency", *[f"_mean_{name}" for name in values]
     )
 
 
@@ -92,18 +100,23 @@ def _slope(values: Column) -> Column:
 
 def _remember(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Emit each reading with the site's history before it, and keep the newest seven."""
-    days, *series = ([*part] for part in state.get) if state.exists else ([], [], [], [])
+    newest, *series = state.get if state.exists else (None, [], [], [])
     # A trigger admits a bounded number of files, so a site's part of one micro-batch is bounded.
     rows = pd.concat(list(batches), ignore_index=True).sort_values("reading_date", kind="stable")
-    out = []
-    for row in rows[["reading_date", *_MEASURES]].itertuples(index=False):
-        day, values = row[0].toordinal(), row[1:]
-        late = bool(days) and day <= days[-1]
-        history = [[], [], []] if late else [list(s) for s in series]
-        out.append((key[0], row[0], *values, late, *history))
-        if not late:
-            days = [*days, day][-S.HISTORY_ROWS :]
-            series = [[*s, float(v)][-S.HISTORY_ROWS :] for s, v in zip(series, values)]
-    state.update((days, *series))
-    names = ["site_id", "reading_date", *_MEASURES, "late", "h_generation", "h_consumption", "h_self"]
-    yield pd.DataFrame(out, columns=names)
+    days = rows["reading_date"]
+    late = days.duplicated()
+    if newest is not None:
+        late |= days <= newest
+    rows["late"] = late
+    kept = rows[~late]
+    for name, measure, past in zip(_HISTORIES, _MEASURES, series):
+        values = [*past, *kept[measure]]
+        start = len(past)
+        histories = iter([values[max(i - S.HISTORY_ROWS, 0) : i] for i in range(start, len(values))])
+        rows[name] = [[] if is_late else next(histories) for is_late in late]
+    if len(kept):
+        newest = kept["reading_date"].iloc[-1]
+    tails = [[*past, *kept[m]][-S.HISTORY_ROWS :] for m, past in zip(_MEASURES, series)]
+    state.update((newest, *tails))
+    rows["site_id"] = key[0]
+    yield rows[["site_id", "reading_date", *_MEASURES, "late", *_HISTORIES]]
