@@ -7,8 +7,6 @@ mergeable sketch first says *where* the answer lies, then only the rows around i
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,56 +45,43 @@ def exact_percentiles(
     else:
         bracketed = df.select(*columns).crossJoin(F.broadcast(sketches))
 
-    def bound(i: int, end: str, slot: int) -> Column:
-        few = F.col(f"_n{i}") < F.lit(_WHOLE_RANGE)
-        return F.when(few, F.col(f"_r{i}.{end}")).otherwise(F.col(f"_q{i}")[slot]).cast("double").alias(end)
-
-    targets = [
-        F.struct(
-            F.lit(i).alias("c"),
-            F.lit(j).alias("p"),
-            F.col(c).cast("double").alias("v"),
-            bound(i, "lo", 2 * j),
-            bound(i, "hi", 2 * j + 1),
-        )
-        for i, c in enumerate(columns)
-        for j in range(len(probs))
-    ]
-    below = bracketed.groupBy(*by).agg(
-        *[
-            F.struct(F.count_if(t["v"] < t["lo"]).alias("below"), F.max(f"_n{i}").alias("n")).alias(f"_b{i}_{j}")
-            for (i, j), t in zip(((i, j) for i in range(len(columns)) for j in range(len(probs))), targets)
+    # The wide parts are written as SQL text: one call to the JVM each, however many targets there are.
+    def bound(i: int, end: str, slot: int) -> str:
+        return f"CASE WHEN _n{i} < {_WHOLE_RANGE} THEN _r{i}.{end} ELSE _q{i}[{slot}] END"
+
+    # A value is kept if it lies in a bracket of its column; nearly all rows lie in none.
+    near, offsets = [], []
+    for i, c in enumerate(columns):
+        lows = [bound(i, "lo", 2 * j) for j in range(len(probs))]
+        highs = [bound(i, "hi", 2 * j + 1) for j in range(len(probs))]
+        inside = " OR ".join(f"`{c}` BETWEEN {lo} AND {hi}" for lo, hi in zip(lows, highs))
+        near.append(f"coalesce({inside}, false)")
+        # What lies below a target's bracket without being kept: kept values are counted one by one.
+        offsets += [
+            f"named_struct('c', {i}, 'p', {j}, 'below', count_if(`{c}` < {lo} AND NOT ({inside})), 'n', max(_n{i}))"
+            for j, lo in enumerate(lows)
         ]
+    offsets = bracketed.groupBy(*by).agg(F.expr(f"array({', '.join(offsets)})").alias("t")).select(*by, F.inline("t"))
+    values = ", ".join(
+        f"CASE WHEN {inside} THEN named_struct('c', {i}, 'v', CAST(`{c}` AS DOUBLE)) END"
+        for i, (c, inside) in enumerate(zip(columns, near))
     )
-    offsets = below.select(
-        *by,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(i).alias("c"), F.lit(j).alias("p"), F.col(f"_b{i}_{j}.below"), F.col(f"_b{i}_{j}.n"))
-                    for i in range(len(columns))
-                    for j in range(len(probs))
-                ]
-            )
-        ).alias("t"),
-    ).select(*by, "t.*")
-    # Nearly all rows lie in no bracket at all and are gone before the targets are laid out.
-    near = reduce(Column.__or__, [(t["v"] >= t["lo"]) & (t["v"] <= t["hi"]) for t in targets])
-    inside = (
-        bracketed.where(near)
-        .select(*by, F.explode(F.filter(F.array(*targets), lambda t: (t.v >= t.lo) & (t.v <= t.hi))).alias("t"))
-        .groupBy(*by, F.col("t.c").alias("c"), F.col("t.p").alias("p"), F.col("t.v").alias("v"))
+    counted = (
+        bracketed.where(" OR ".join(near))
+        .select(*by, F.expr(f"explode(array({values}))").alias("t"))
+        .where("t IS NOT NULL")
+        .groupBy(*by, F.col("t.c").alias("c"), F.col("t.v").alias("v"))
         .agg(F.count(F.lit(1)).alias("k"))
     )
-    ordered = Window.partitionBy(*by, "c", "p").orderBy("v")
+    ordered = Window.partitionBy(*by, "c").orderBy("v")
     prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("p") + 1)
     position = prob * (F.col("n") - 1)
     first, last = F.floor(position), F.ceil(position)
     end = F.col("below") + F.col("upto")
     covers = lambda rank: (rank >= end - F.col("k")) & (rank < end)
     picked = (
-        inside.withColumn("upto", F.sum("k").over(ordered))
-        .join(offsets, [*by, "c", "p"])
+        counted.withColumn("upto", F.sum("k").over(ordered))
+        .join(offsets, [*by, "c"])
         .groupBy(*by, "c", "p")
         .agg(
             F.max(F.when(covers(first), F.col("v"))).alias("v0"),

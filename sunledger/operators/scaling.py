@@ -56,13 +56,11 @@ def _moments(columns: list[str]) -> list[Column]:
 def _quartile_scaler(df: DataFrame, columns: list[str]) -> DataFrame:
     quartiles = exact_percentiles(df, columns, [0.25, 0.5, 0.75])
 
-    def pick(column: str, prob: float) -> Column:
-        return F.max(F.when((F.col("column") == column) & (F.col("prob") == F.lit(prob)), F.col("value")))
-
+    pick = lambda c, p: f"max(value) FILTER (WHERE column = '{c}' AND prob = {p}D)"
     out = []
     for c in columns:
-        out.append(pick(c, 0.5).alias(f"{c}__center"))
-        out.append(_nonzero(pick(c, 0.75) - pick(c, 0.25)).alias(f"{c}__scale"))
+        out.append(F.expr(pick(c, 0.5)).alias(f"{c}__center"))
+        out.append(_nonzero(F.expr(f"{pick(c, 0.75)} - {pick(c, 0.25)}")).alias(f"{c}__scale"))
     return quartiles.agg(*out)
 
 
