@@ -70,8 +70,9 @@ def _named_cells(spark: SparkSession, paths: list[str]) -> DataFrame:
     lines = (
         text.select("value", F.col("_metadata.file_path").alias("path"))
         .where(~F.ltrim("value").startswith("[") & (F.trim("value") != ""))
-        .withColumn("parsed", parsed)
-        .select("path", F.array(*[F.trim(f"parsed.c{i}") for i in range(_MAX_COLUMNS)]).alias("cells"))
+        # Inlined as a row, so that a line is parsed once and not again for each of its cells.
+        .select("path", F.inline(F.array(parsed)))
+        .select("path", F.array(*[F.trim(f"c{i}") for i in range(_MAX_COLUMNS)]).alias("cells"))
     )
     is_header = F.arrays_overlap("cells", F.array(*[F.lit(n) for n in names]))
     is_header = F.coalesce(is_header, F.lit(False))
