@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One reading per site and date; a source is one year of a site."""
-    hundredths = lambda c: F.round(F.col(c) * 100).cast("long")
+    hundredths = lambda c: F.floor(F.col(c) * 100 + 0.5)
     price, discount, tax = (hundredths(c) for c in ("l_extendedprice", "l_discount", "l_tax"))
     total = lambda amount: (F.sum(price * amount) / F.lit(10000.0))
     daily = (
