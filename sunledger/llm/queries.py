@@ -4,21 +4,54 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import length_histogram, packing, tokens
+from . import embedding_forest, fertility, language_profiles, length_histogram, line_crf, minhash, mixing, packing, tokens, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classify(table(spark, sf_dir, "documents"), width=2)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, sf_dir, "documents"), tokens.default_path(), keep_ids=False)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op4_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_forest.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op5_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.judge(table(spark, sf_dir, "documents"), tokens.default_path("piece_bpe_32k.model"))
+
+
+def op6_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_profiles.identify_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_documents(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram.with_suffix_sums(length_histogram.histogram(table(spark, sf_dir, "documents"), tokens.default_path()))
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op9_length_histogram)}
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+_ALL = (
+    op1_minhash_near_dedup, op3_best_fit_packing, op4_embedding_forest, op5_tokenizer_fertility, op6_language_profiles,
+    op7_source_mixing, op8_line_crf, op9_length_histogram, op10_url_filter,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {}
