@@ -45,6 +45,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     rising = Window.orderBy((F.col("cap") / F.col("weight")), F.col("source").asc_nulls_last())
     before = rising.rowsBetween(Window.unboundedPreceding, -1)
     from_here = rising.rowsBetween(0, Window.unboundedFollowing)
+    whole = rising.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     left = share * F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
     return (
         sizes.withColumn("weight", weight)
@@ -53,7 +54,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
         .withColumn("level", left / F.sum("weight").over(from_here))
         # Up to the first source that is not filled, the level is at least cap / weight; from there on it is that source's.
         .withColumn("open", F.col("level") * F.col("weight") < F.col("cap"))
-        .withColumn("level", F.min(F.when(F.col("open"), F.col("level"))).over(everything))
+        .withColumn("level", F.first(F.when(F.col("open"), F.col("level")), True).over(whole))
         .withColumn("target", F.coalesce(F.least("cap", F.col("level") * F.col("weight")), F.col("cap")))
         .select("source", "source_size", "target")
     )
