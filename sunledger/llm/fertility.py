@@ -215,7 +215,7 @@ def with_verdict(measured: DataFrame, name: str, table: DataFrame, verdict: str)
     script = F.concat(F.lit("script:"), F.col(f"`{name}`.script"))
     own, other = table.where(F.col("n") >= MIN_GROUP).alias("own"), table.alias("other")
     joined = (
-        measured.alias("m")
+        measured.alias("row")
         .join(own, (_group(name) == F.col("own.band_group")) & (_size_class(name) == F.col("own.size_class")), "left")
         .join(other, (script == F.col("other.band_group")) & (_size_class(name) == F.col("other.size_class")), "left")
     )
@@ -223,16 +223,16 @@ def with_verdict(measured: DataFrame, name: str, table: DataFrame, verdict: str)
     for m in DOUBLES:
         band = F.coalesce(F.col(f"own.{m}"), F.col(f"other.{m}"))
         inside = inside & F.coalesce(F.col(f"`{name}`.{m}").between(band["low"], band["high"]), F.lit(True))
-    return joined.select("m.*", (~base_failed(name) & inside).alias(verdict))
+    return joined.select("row.*", (~base_failed(name) & inside).alias(verdict))
 
 
 def judge(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, all measures, base_failed and kept for every row of ``docs`` (doc_id, text, lang). Null text has no words and
     fails the base rules; repeated rows are judged alike; an empty table gives an empty result."""
-    measured = materialize(with_measures(docs.select("doc_id", "lang", "text"), "m", path).drop("text"), "fertility")
-    table = materialize(bands(measured, "m"), "fertility-bands")
-    judged = with_verdict(measured, "m", table, "kept")
-    return judged.select("doc_id", "m.*", base_failed("m").alias("base_failed"), "kept")
+    measured = materialize(with_measures(docs.select("doc_id", "lang", "text"), "fit", path).drop("text"), "fertility")
+    table = materialize(bands(measured, "fit"), "fertility-bands")
+    judged = with_verdict(measured, "fit", table, "kept")
+    return judged.select("doc_id", "fit.*", base_failed("fit").alias("base_failed"), "kept")
 
 
 def keep_good(docs: DataFrame, path: str) -> DataFrame:
