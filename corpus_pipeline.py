@@ -9,15 +9,42 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
-from sunledger.llm import packing, tokens  # noqa: E402
+from sunledger.llm import fertility, line_crf, minhash, mixing, packing, tokens  # noqa: E402
 from sunledger.storage import materialize  # noqa: E402
 
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the tokenizer-fertility bands of their language or script."""
+    return fertility.keep_good(docs, tokens.default_path("piece_bpe_32k.model"))
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line field, fitted on the labelled ones among them, finds good."""
+    return line_crf.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by five-word shingles at a similarity of 0.8 or more."""
+    return minhash.keep_one(docs, width=5)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated or left out so that the sources reach their target weights."""
+    return mixing.repeat_documents(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing: one row per piece with its sequence and its ids."""
     return packing.pack_documents(docs, tokens.default_path())
 
 
-STAGES = [("best_fit_packing", pack)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("quality_classifier", quality_classifier),
+    ("near_dedup", near_dedup),
+    ("mix_sources", mix_sources),
+    ("best_fit_packing", pack),
+]
 
 #: Tokenizers, trained models and near-duplicate groups cannot be put into SQL.
 ORACLE_SQL = None

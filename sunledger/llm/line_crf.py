@@ -27,7 +27,7 @@ from .language_profiles import held_out
 #: Bounds of the sample that the field is fitted on: documents of each label, and consecutive lines of each document.
 SAMPLE_DOCUMENTS, SAMPLE_LINES = 2000, 48
 ROUNDS, RATE, RIDGE = 150, 0.1, 1e-3
-BASE = 12
+BASE = 14
 #: Own, previous and next line, whether there is a previous and a next one, and a constant.
 WIDTH = 3 * BASE + 3
 
@@ -64,6 +64,10 @@ def line_features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np
     n_words = np.array(n_words, np.int64)
     numbers = T.WordNumbers().number(words)
     in_window = in_repeated_window(numbers, T.sums(n_words, n_lines))
+    line_of = np.repeat(np.arange(len(lines)), n_words)
+    again = np.zeros(len(words), np.int64)
+    again[1:] = (numbers[1:] == numbers[:-1]) & (line_of[1:] == line_of[:-1])
+    distinct = np.bincount(np.unique((line_of << 32) | numbers) >> 32, minlength=len(lines))
     data = np.frombuffer(b"".join(lines), np.uint8)
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
 
@@ -87,6 +91,8 @@ def line_features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np
             T.sums(in_window.astype(np.int64), n_words) / w,
             (symbols > 0.3 * w).astype(np.float32),
             ((upper > 0.5 * letters) & (letters > 3)).astype(np.float32),
+            T.sums(again, n_words) / w,
+            np.where(n_words > 3, 1 - distinct / w, 0),
         ],
         axis=1,
     ).astype(np.float32)

@@ -159,14 +159,14 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, similarity: int) ->
 
 
 def near_duplicates(docs: DataFrame, width: int, similarity: int = SIMILARITY, rows: int = ROWS, halves: int = HALVES) -> DataFrame:
-    """``docs`` (doc_id, text) -> doc_id, n_shingles, set_id, label (set ids of one group share a label), one row per row.
+    """``docs`` with struct ``group_column(docs)``: n_shingles, set_id, label; documents of one group share a label.
 
     Rows without words have null set_id and label and are linked with nothing. Rows with equal sets, repeated
-    rows among them, are in one group. Null doc_ids take part like any other. An empty table gives an empty result.
+    rows among them, are in one group. Only ``text`` counts. An empty table gives an empty result.
     """
-    signed = materialize(with_signature(docs.select("doc_id", "text"), "s", width, rows, halves), "signatures")
-    flat = signed.select("doc_id", "text", "s.*")
-    filled = flat.where(F.col("set_id").isNotNull())
+    name = group_column(docs)
+    signed = materialize(with_signature(docs, name, width, rows, halves), "signatures")
+    filled = signed.select("text", f"`{name}`.*").where(F.col("set_id").isNotNull())
     one = filled.groupBy("set_id").agg(F.first("halves").alias("halves"))  # combined in every task before the shuffle
     keys = one.select("set_id", F.explode(table_keys("halves", halves)).alias("key"))
     # Members of each table that have another one before them; running windows, so no table is held in memory.
@@ -192,8 +192,14 @@ def near_duplicates(docs: DataFrame, width: int, similarity: int = SIMILARITY, r
             break
         links = links.union(found)
         labels = materialize(components(links), "labels")
-    named = flat.select("doc_id", "n_shingles", "set_id").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
-    return named.select("doc_id", "n_shingles", "set_id", F.coalesce("label", "set_id").alias("label"))
+    set_id = F.col(f"`{name}`.set_id")
+    named = signed.join(labels.alias("labels"), set_id == F.col("labels.node"), "left")
+    group = F.struct(F.col(f"`{name}`.n_shingles").alias("n_shingles"), set_id.alias("set_id"), F.coalesce("labels.label", set_id).alias("label"))
+    return named.select(*docs.columns, group.alias(name))
+
+
+def group_column(docs: DataFrame) -> str:
+    return T.fresh(docs.columns, "near_copies")
 
 
 def _open_pairs(members: DataFrame, labels: DataFrame, tested: DataFrame, turn: int) -> DataFrame:
@@ -214,8 +220,20 @@ def classify(docs: DataFrame, width: int, **options) -> DataFrame:
 
     Null doc_ids are never a component_id unless the group has no other; then it is null and the row is kept.
     """
-    labelled = near_duplicates(docs, width, **options)
+    labelled = near_duplicates(docs.select("doc_id", "text"), width, **options).select("doc_id", "near_copies.*")
     smallest = materialize(labelled.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("smallest")), "smallest")
     named = labelled.join(smallest, "label", "left")
     component = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("smallest"))
     return named.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_one(docs: DataFrame, width: int, **options) -> DataFrame:
+    """One row of each group of near copies, with the same columns: the smallest doc_id (null last; of repeated rows any one).
+
+    Rows without words stay. Each task first reduces its rows to one for each group.
+    """
+    grouped = near_duplicates(docs, width, **options)
+    label, place = F.col(f"`{group_column(docs)}`.label"), T.fresh([*docs.columns, group_column(docs)], "place")
+    order = Window.partitionBy(label).orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+    first = grouped.where(label.isNotNull()).withColumn(place, F.row_number().over(order)).where(f"`{place}` = 1")
+    return first.select(*docs.columns).union(grouped.where(label.isNull()).select(*docs.columns))

@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import embedding_forest, fertility, language_profiles, length_histogram, line_crf, minhash, mixing, packing, tokens, url_filter
+from . import embedding_forest, fertility, language_profiles, length_histogram, line_crf, lm_scoring, minhash, mixing, packing, tokens, url_filter
+
+from .oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +20,11 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classify(table(spark, sf_dir, "documents"), width=2)
 
 
+def op2_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where(F.col("quality") == 1)
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"), good, tokens.default_path())
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, sf_dir, "documents"), tokens.default_path(), keep_ids=False)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -50,8 +60,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    op1_minhash_near_dedup, op3_best_fit_packing, op4_embedding_forest, op5_tokenizer_fertility, op6_language_profiles,
+    op1_minhash_near_dedup, op2_cross_entropy_difference, op3_best_fit_packing, op4_embedding_forest, op5_tokenizer_fertility, op6_language_profiles,
     op7_source_mixing, op8_line_crf, op9_length_histogram, op10_url_filter,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES: dict[str, str] = {}
