@@ -33,43 +33,58 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # Fixed value: where this vocabulary cuts a text before its merges.
-        self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+").findall
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # For parts that are normalised already.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        vocabulary = self.plain.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        # Fixed value: where this vocabulary cuts a text before its merges. Line ends stay, as marks between words.
+        self.cut = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+").findall
+        self._forget_parts()
         self._forget()
 
     def _forget(self) -> None:
         self.numbers, self.ids = T.WordNumbers(), T.Ragged(np.uint16)
 
-    def _encode(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _forget_parts(self) -> None:
+        self.parts, self.part_ids = T.WordNumbers(), T.Ragged(np.uint16)
+
+    def _encode_parts(self, parts: list[str]) -> None:
+        """Ids of parts met for the first time; the mark has none. Every part ends with an end-of-word token."""
+        for start in range(0, len(parts), 4096):
+            own = parts[start : start + 4096]
+            here = [p for p in own if p != "\n"]
+            ids = np.array(self.plain.encode_batch_fast([here], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint16)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(here):
+                sizes = np.diff(np.concatenate([[-1], last]))
+            else:  # a part that the tokenizer itself cuts again
+                each = [e.ids for e in self.plain.encode_batch_fast(here, add_special_tokens=False)]
+                ids, sizes = np.array([i for x in each for i in x], np.uint16), np.array([len(x) for x in each], np.int64)
+            if len(here) < len(own):
+                sizes = np.insert(sizes, own.index("\n"), 0)
+            self.part_ids.extend(ids, sizes)
 
     def _learn(self) -> None:
         """Encode the words that were met for the first time."""
-        cut: list[list[str] | None] = []
-        for word in self.numbers.new:
-            if any(s in word for s in self.special):
-                cut.append(None)
-            else:
-                text = unicodedata.normalize("NFC", word.decode("utf-8", "replace")).replace("Σ", "σ").lower()
-                cut.append(self.parts(text))
-        if len(self.pieces) > T.MEMORY_WORDS // 3:
-            self.pieces.clear()
-        unknown = list({p for parts in cut if parts for p in parts if p not in self.pieces})
-        self.pieces.update(zip(unknown, map(tuple, self._encode(unknown))))
-        whole = iter(self._encode([w.decode("utf-8", "replace") for w, parts in zip(self.numbers.new, cut) if parts is None]))
-        flat: list[int] = []
-        sizes = np.zeros(len(cut), np.int64)
-        for i, parts in enumerate(cut):
-            before = len(flat)
-            if parts is None:
-                flat += next(whole)
-            else:
-                for p in parts:
-                    flat += self.pieces[p]
-            sizes[i] = len(flat) - before
-        self.ids.extend(np.array(flat, np.uint16), sizes)
+        text = b"\n".join(self.numbers.new).decode("utf-8", "replace")
+        if any(s in text for s in self.special):  # such strings are ids of their own, and rare
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(text.split("\n"), add_special_tokens=False)]
+            self.ids.extend(np.array([i for x in found for i in x], np.uint16), np.array([len(x) for x in found], np.int64))
+        else:
+            if len(self.parts) > T.MEMORY_WORDS // 3:
+                self._forget_parts()
+            parts = self.cut(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower() + "\n")
+            numbers = self.parts.number(parts)
+            if self.parts.new:
+                self._encode_parts(self.parts.new)
+                self.parts.new.clear()
+            sizes = self.part_ids.sizes(numbers)
+            marks = np.flatnonzero(numbers == self.parts["\n"])
+            upto = np.cumsum(sizes)[marks]
+            self.ids.extend(self.part_ids.gather(numbers), np.diff(np.concatenate([[0], upto])))
         self.numbers.new.clear()
 
     def _numbers(self, words: list[bytes]) -> np.ndarray:
