@@ -87,7 +87,7 @@ def grow(vectors: DataFrame, trees: int = TREES, leaf_size: int = LEAF, margin:
         sizes = materialize(level.groupBy(*group).agg(F.count("*").alias("n")).withColumn("large", F.col("n") > leaf_size), "node-sizes")
         counted = level.join(sizes, group)
         small = counted.where(~F.col("large")).drop("n", "large")
-        done = small if done is None else done.union(small)
+        done = small if done is None else done.unionByName(small)
         if not sizes.where("large").limit(1).count():
             return done
         projected = materialize(_project(counted.where("large").drop("large")), "projections")
@@ -100,7 +100,7 @@ def grow(vectors: DataFrame, trees: int = TREES, leaf_size: int = LEAF, margin:
             (F.greatest(F.count(F.when(left, 1)), F.count(F.when(right, 1))) <= SHRINK * F.count("*")).alias("splits"),
         )
         cut = projected.join(materialize(shares, "splits"), group)
-        done = done.union(cut.where(~F.col("splits")).select(*vectors.columns, "leaf"))
+        done = done.unionByName(cut.where(~F.col("splits")).select(*vectors.columns, "leaf"))
         number = F.col("leaf").bitwiseAND((1 << NODE_BITS) - 1)
         base = F.col("leaf") - number
         children = F.array_compact(F.array(F.when(left, base + 2 * number), F.when(right, base + 2 * number + 1)))

@@ -193,8 +193,10 @@ def near_duplicates(docs: DataFrame, width: int, similarity: int = SIMILARITY, r
         links = links.union(found)
         labels = materialize(components(links), "labels")
     set_id = F.col(f"`{name}`.set_id")
-    named = signed.join(labels.alias("labels"), set_id == F.col("labels.node"), "left")
-    group = F.struct(F.col(f"`{name}`.n_shingles").alias("n_shingles"), set_id.alias("set_id"), F.coalesce("labels.label", set_id).alias("label"))
+    found = T.fresh([*docs.columns, name], "found")
+    named = signed.join(labels.select(F.struct("node", "label").alias(found)), set_id == F.col(f"`{found}`.node"), "left")
+    label = F.coalesce(F.col(f"`{found}`.label"), set_id)
+    group = F.struct(F.col(f"`{name}`.n_shingles").alias("n_shingles"), set_id.alias("set_id"), label.alias("label"))
     return named.select(*docs.columns, group.alias(name))
 
 
