@@ -22,7 +22,7 @@ WINDOW = 8
 #: Limits of the base rules: fewest words, and the largest share of words in repeated windows (per cent).
 MIN_WORDS, MAX_REPEATED = 20, 30
 #: Width of a band in quartile distances, and the least half-width of each measure, relative to its median or absolute.
-WIDTH, FLOOR_RATIO, FLOOR_SHARE, FLOOR_ENTROPY = 5.0, 0.15, 0.05, 0.04
+WIDTH, FLOOR_RATIO, FLOOR_SHARE, FLOOR_ENTROPY = 3.0, 0.08, 0.05, 0.12
 #: Groups smaller than this borrow the bands of their script and size class.
 MIN_GROUP = 30
 
