@@ -91,7 +91,7 @@ def mix(docs: DataFrame, size: str, key: Column, weights=WEIGHTS, share=SHARE, e
         placed.alias("r")
         .join(buckets, F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.bucket") == F.col("b.bucket")))
         .select("r.row", "r.source", "r.bucket", "r.n", "r.h", "r.size", "b.source_size", "b.target", "b.whole", "b.extra", (F.col("r.upto") + F.col("b.before")).alias("upto"))
-        .withColumn("fits", F.col("upto") <= F.col("extra"))
+        .withColumn("fits", (F.col("extra") > 0) & (F.col("upto") <= F.col("extra")))
     )
     placed = materialize(placed, "mix-placed")
     gaps = placed.groupBy("source").agg(
