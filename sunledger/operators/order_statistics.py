@@ -1,23 +1,26 @@
 """Exact percentiles, histograms, top-k and positional splits that no single task has to hold.
 
 ``percentile`` keeps every distinct value of a group in one buffer and a global ``row_number``
-sorts the table in one task. The operators here reach the same results in two narrow passes: a
-mergeable sketch first says *where* the answer lies, then only the rows around it are counted.
+sorts the table in one task. The operators here reach the same results in narrow passes: a mergeable
+sketch first says *where* the answer lies, then the rows around it are counted in ever finer ranges.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 
 from sunledger import schema as S
 from sunledger.storage import materialize
 
-SKETCH_ACCURACY = 100_000
-# The sketch misses a rank by at most 1/accuracy of the rows; the bracket is wider than that.
-_BRACKET = 4.0 / SKETCH_ACCURACY
-# Below this many rows the bracket would be less than a few rows wide, so it is the whole range.
-_WHOLE_RANGE = SKETCH_ACCURACY
+# Size of a sketch. It misses a rank by about a thousandth of the rows; the bracket is wider than that.
+SKETCH_SIZE = 4000
+_BRACKET = 0.004
+# Parts in which sketches are merged before the last merge, so no task receives one from every map task.
+_SKETCH_PARTS = 64
+# Ranges that the values in question are counted in, again and again until one value is left.
+_RANGES = 4096
 
 
 def exact_percentiles(
@@ -25,43 +28,62 @@ def exact_percentiles(
 ) -> DataFrame:
     """Linearly interpolated percentiles as rows ``(*by, column, prob, value)``.
 
-    One pass builds a sketch per group and column. It brackets each wanted rank between two values
-    that enclose a few hundred-thousandths of the rows (a small group is its own bracket). Two more passes count the rows below the
-    bracket and, by value, those inside it, so repeated values collapse before the shuffle. ``df`` is
-    read three times: pass a stored table where it is costly to compute.
+    Sketches bracket each wanted rank between two values. One more pass counts the rows below the
+    brackets and, by value, those inside them, so repeated values collapse before the shuffle. The
+    values inside are then counted in at most 4096 ranges a rank, and the range that holds the rank
+    again, until it holds one value; nothing is sorted. Should a rank lie outside its bracket, the
+    brackets are widened. ``df`` is read three times: pass a stored table where it is costly to
+    compute. Nulls are left out, and so are groups with a null key.
     """
-    by = by or []
-    bounds = [b for p in probs for b in (max(p - _BRACKET, 0.0), min(p + _BRACKET, 1.0))]
-    sketches = df.groupBy(*by).agg(
-        *[F.percentile_approx(c, bounds, SKETCH_ACCURACY).alias(f"_q{i}") for i, c in enumerate(columns)],
+    width = _BRACKET
+    while True:
+        result, missed = _percentiles(df, columns, probs, by or [], width)
+        if not missed:
+            return result
+        width *= 8
+
+
+def _percentiles(df: DataFrame, columns: list[str], probs: list[float], by: list[str], width: float) -> tuple[DataFrame, bool]:
+    parts = df.groupBy(*by, F.pmod(F.spark_partition_id(), F.lit(_SKETCH_PARTS)).alias("_part")).agg(
+        *[F.kll_sketch_agg_double(F.col(c).cast("double"), F.lit(SKETCH_SIZE)).alias(f"_s{i}") for i, c in enumerate(columns)],
         *[F.count(c).alias(f"_n{i}") for i, c in enumerate(columns)],
-        *[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(f"_r{i}") for i, c in enumerate(columns)],
     )
-    # Written once because two passes use them. Catalyst broadcasts the table of sketches only if its
-    # file is small; an ungrouped sketch is a single row.
-    sketches = materialize(sketches, "sketch")
+    merged = parts.groupBy(*by).agg(
+        *[F.kll_merge_agg_double(f"_s{i}").alias(f"_s{i}") for i in range(len(columns))],
+        *[F.sum(f"_n{i}").alias(f"_n{i}") for i in range(len(columns))],
+    )
+
+    # Widths of the bracket: the first one that leaves two more ranks than the sketch's error on either side.
+    steps = [width * 8**k for k in range(8) if width * 8 ** (k - 1) < 1 or k == 0]
+
+    def quantiles(i: int) -> Column:
+        ends = [e for w in steps for p in probs for e in (max(p - w, 0.0), min(p + w, 1.0))]
+        every = F.kll_sketch_get_quantile_double(f"_s{i}", F.array(*map(F.lit, ends)))
+        fits = [F.lit(width) + F.lit(2.0) / F.col(f"_n{i}") <= 2 * w for w in steps[:-1]]
+        step = F.coalesce(*(F.when(f, F.lit(k)) for k, f in enumerate(fits)), F.lit(len(steps) - 1))
+        return F.when(F.col(f"_n{i}") > 0, F.slice(every, step * (2 * len(probs)) + 1, 2 * len(probs))).alias(f"_q{i}")
+
+    # Written once because two passes use them. Catalyst broadcasts the table of brackets only if its
+    # file is small; without groups it is a single row.
+    brackets = materialize(merged.select(*by, *[quantiles(i) for i in range(len(columns))], *[f"_n{i}" for i in range(len(columns))]), "brackets")
     if by:
-        bracketed = df.select(*by, *columns).join(sketches, by)
+        bracketed = df.select(*by, *columns).join(brackets, by)
     else:
-        bracketed = df.select(*columns).crossJoin(F.broadcast(sketches))
+        bracketed = df.select(*columns).crossJoin(F.broadcast(brackets))
 
     # The wide parts are written as SQL text: one call to the JVM each, however many targets there are.
-    def bound(i: int, end: str, slot: int) -> str:
-        return f"CASE WHEN _n{i} < {_WHOLE_RANGE} THEN _r{i}.{end} ELSE _q{i}[{slot}] END"
-
-    # A value is kept if it lies in a bracket of its column; nearly all rows lie in none.
+    # A value is kept if it lies in a bracket of its column; most rows lie in none.
     near, offsets = [], []
     for i, c in enumerate(columns):
-        lows = [bound(i, "lo", 2 * j) for j in range(len(probs))]
-        highs = [bound(i, "hi", 2 * j + 1) for j in range(len(probs))]
-        inside = " OR ".join(f"`{c}` BETWEEN {lo} AND {hi}" for lo, hi in zip(lows, highs))
+        inside = " OR ".join(f"`{c}` BETWEEN _q{i}[{2 * j}] AND _q{i}[{2 * j + 1}]" for j in range(len(probs)))
         near.append(f"coalesce({inside}, false)")
         # What lies below a target's bracket without being kept: kept values are counted one by one.
         offsets += [
-            f"named_struct('c', {i}, 'p', {j}, 'below', count_if(`{c}` < {lo} AND NOT ({inside})), 'n', max(_n{i}))"
-            for j, lo in enumerate(lows)
+            f"named_struct('c', {i}, 'p', {j}, 'below', count_if(`{c}` < _q{i}[{2 * j}] AND NOT ({inside})), 'n', max(_n{i}),"
+            f" 'low', max(_q{i}[{2 * j}]), 'high', max(_q{i}[{2 * j + 1}]))"
+            for j in range(len(probs))
         ]
-    offsets = bracketed.groupBy(*by).agg(F.expr(f"array({', '.join(offsets)})").alias("t")).select(*by, F.inline("t"))
+    offsets = bracketed.groupBy(*by).agg(F.expr(f"array({', '.join(offsets)})").alias("t")).select(*by, F.inline("t")).where("n > 0")
     values = ", ".join(
         f"CASE WHEN {inside} THEN named_struct('c', {i}, 'v', CAST(`{c}` AS DOUBLE)) END"
         for i, (c, inside) in enumerate(zip(columns, near))
@@ -73,28 +95,49 @@ def exact_percentiles(
         .groupBy(*by, F.col("t.c").alias("c"), F.col("t.v").alias("v"))
         .agg(F.count(F.lit(1)).alias("k"))
     )
-    ordered = Window.partitionBy(*by, "c").orderBy("v")
     prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("p") + 1)
     position = prob * (F.col("n") - 1)
-    first, last = F.floor(position), F.ceil(position)
-    end = F.col("below") + F.col("upto")
-    covers = lambda rank: (rank >= end - F.col("k")) & (rank < end)
-    picked = (
-        counted.withColumn("upto", F.sum("k").over(ordered))
-        .join(offsets, [*by, "c"])
-        .groupBy(*by, "c", "p")
-        .agg(
-            F.max(F.when(covers(first), F.col("v"))).alias("v0"),
-            F.max(F.when(covers(last), F.col("v"))).alias("v1"),
-            F.max(position - first).alias("part"),
-        )
+    wanted = F.explode(F.array(F.struct(F.lit(0).alias("upper"), F.floor(position).alias("at")), F.struct(F.lit(1).alias("upper"), F.ceil(position).alias("at"))))
+    targets = offsets.withColumn("w", wanted).select(
+        *by, "c", "p", F.col("w.upper").alias("upper"), (F.col("w.at") - F.col("below")).alias("rank"), "low", "high", (position - F.floor(position)).alias("part")
     )
+    found = _values_at(materialize(counted, "counted"), materialize(targets, "targets"), by)
+    picked = materialize(
+        found.groupBy(*by, "c", "p").agg(
+            F.max(F.when(F.col("upper") == 0, F.col("v"))).alias("v0"), F.max(F.when(F.col("upper") == 1, F.col("v"))).alias("v1"),
+            F.max("part").alias("part"), F.bool_or(F.col("v").isNull() | ~F.col("v").between(F.col("low"), F.col("high"))).alias("missed"),
+        ),
+        "picked",
+    )
     name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("c") + 1)
-    value = F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("part")
-    missed = F.raise_error(F.lit("percentile rank outside its bracket"))
-    return picked.select(
-        *by, name.alias("column"), prob.alias("prob"), F.coalesce(value, missed.cast("double")).alias("value")
-    )
+    value = F.col("v0") + F.when(F.col("part") > 0, (F.col("v1") - F.col("v0")) * F.col("part")).otherwise(0.0)
+    result = picked.select(*by, name.alias("column"), prob.alias("prob"), value.alias("value"))
+    return result, not picked.where("missed").isEmpty()
+
+
+def _values_at(counted: DataFrame, targets: DataFrame, by: list[str]) -> DataFrame:
+    """The targets with ``v``: the value of 0-based ``rank`` among the counted values ``(*by, c, v, k)``; null beyond them."""
+    group, key = [*by, "c"], [*by, "c", "p", "upper"]
+    ends = counted.groupBy(*group).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    state = targets.select(*key, "rank").join(ends, group)
+    done: DataFrame | None = None
+    span = F.col("hi") - F.col("lo")
+    even = F.least(F.floor(F.coalesce(F.try_divide(F.col("v") - F.col("lo"), span), F.lit(0.0)) * _RANGES), F.lit(_RANGES - 1))
+    # Infinite ends have no width: they are set apart from what lies between them.
+    ends_apart = F.when(F.col("v") <= F.col("lo"), 0).when(F.col("v") >= F.col("hi"), 2).otherwise(1)
+    number = F.when(span < float("inf"), even).otherwise(ends_apart).cast("int")
+    while True:
+        inside = counted.join(materialize(state, "ranges"), group).where(F.col("v").between(F.col("lo"), F.col("hi")))
+        ranges = inside.groupBy(*key, "rank", number.alias("range")).agg(F.sum("k").alias("k"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        # At most 4096 rows for each target.
+        upto = F.sum("k").over(Window.partitionBy(*key).orderBy("range"))
+        held = ranges.withColumn("upto", upto).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("k")))
+        held = materialize(held.select(*key, (F.col("rank") - F.col("upto") + F.col("k")).alias("rank"), "lo", "hi"), "held")
+        single = held.where("lo = hi").select(*key, F.col("lo").alias("v"))
+        done = single if done is None else done.unionByName(single)
+        state = held.where("lo < hi")
+        if state.isEmpty():
+            return targets.join(done, key, "left")
 
 
 def percentile_row(df: DataFrame, column: str, probs: dict[str, float]) -> DataFrame:
@@ -111,22 +154,26 @@ def with_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str, bins: int = S.HISTOGRAM_BINS) -> DataFrame:
-    """Equal-width bins over min..max: ``bin`` (1..bins), its bounds and ``rows``. Empty bins stay out."""
+    """Equal-width bins over min..max: ``bin`` (1..bins), its bounds and ``rows``; empty bins too. No rows without a value."""
     ends = df.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
     x, lo, hi = F.col(column), F.col("_lo"), F.col("_hi")
     width = (hi - lo) / F.lit(bins)
     # A constant column has no width; everything is then in the first bin.
-    number = F.when(hi == lo, F.lit(1)).otherwise(F.least(F.width_bucket(x, lo, hi, F.lit(bins)), F.lit(bins)))
-    return (
+    # The quotient may miss an edge by one rounding; the edges themselves decide.
+    near = F.least(F.floor(F.coalesce(F.try_divide(x - lo, hi - lo), F.lit(0.0)) * bins), F.lit(bins - 1))
+    below, above = x < lo + near * width, (x >= lo + (near + 1) * width) & (near < bins - 1)
+    number = F.when(hi == lo, F.lit(1)).otherwise(near + 1 - below.cast("int") + above.cast("int"))
+    filled = (
         with_scalar(df.where(x.isNotNull()).select(column), ends)
-        .groupBy(number.cast("int").alias("bin"), "_lo", "_hi")
+        .groupBy(number.cast("int").alias("bin"))
         .agg(F.count(F.lit(1)).alias("rows"))
-        .select(
-            "bin",
-            (lo + (F.col("bin") - 1) * width).alias("lower"),
-            (lo + F.col("bin") * width).alias("upper"),
-            "rows",
-        )
+    )
+    every = ends.where(lo.isNotNull()).select("_lo", "_hi", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
+    return every.join(filled, "bin", "left").select(
+        "bin",
+        (lo + (F.col("bin") - 1) * width).alias("lower"),
+        (lo + F.col("bin") * width).alias("upper"),
+        F.coalesce("rows", F.lit(0)).alias("rows"),
     )
 
 
@@ -183,6 +230,8 @@ def split_by_position(
 
     Row counts per date find the date the cut falls on; only that date's rows are then ordered.
     """
+    if not isinstance(df.schema[date].dataType, DateType):
+        raise ValueError(f"{date} must be a date: there is one row per day in the running total")
     # A few rows per calendar day: the running total needs one small task.
     days = df.groupBy(date).agg(F.count(F.lit(1)).alias("rows"))
     running = days.select(

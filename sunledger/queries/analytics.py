@@ -131,13 +131,16 @@ def a11(spark, sf):
 
 @query(
     "A12_score_histogram",
-    f"""WITH {V.SCORED}, e AS (SELECT min(generation_wh) AS lo, max(generation_wh) AS hi FROM scored),
-    b AS (SELECT CAST(least(floor((generation_wh - lo) / ((hi - lo) / 50)) + 1, 50) AS INTEGER) AS bin, lo, hi FROM scored, e)
-    SELECT bin, {V.r('lo + (bin - 1) * ((hi - lo) / 50)', 'lower', 4)}, {V.r('lo + bin * ((hi - lo) / 50)', 'upper', 4)}, count(*) AS rows
-    FROM b GROUP BY bin, lo, hi""",
+    f"""WITH {V.SCORED}, e AS (SELECT min(score) AS lo, max(score) AS hi FROM scored),
+    f AS (SELECT score, lo, (hi - lo) / 50 AS w, least(floor((score - lo) / (hi - lo) * 50), 49) AS i FROM scored, e),
+    b AS (SELECT CAST(CASE WHEN score < lo + i * w THEN i WHEN score >= lo + (i + 1) * w AND i < 49 THEN i + 2 ELSE i + 1 END AS INTEGER) AS bin,
+      count(*) AS n FROM f GROUP BY ALL),
+    every AS (SELECT CAST(unnest(range(1, 51)) AS INTEGER) AS bin)
+    SELECT bin, {V.r('lo + (bin - 1) * ((hi - lo) / 50)', 'lower', 4)}, {V.r('lo + bin * ((hi - lo) / 50)', 'upper', 4)}, coalesce(n, 0) AS rows
+    FROM every CROSS JOIN e LEFT JOIN b USING (bin)""",
 )
 def a12(spark, sf):
-    return V.rounded(O.histogram(V.scored(spark, sf), "generation_wh"), ["lower", "upper"], 4)
+    return V.rounded(O.histogram(V.scored(spark, sf), "score"), ["lower", "upper"], 4)
 
 
 _BOX = f"""top AS (SELECT site_id FROM scored GROUP BY site_id ORDER BY count(*) DESC, site_id LIMIT 10),

@@ -20,8 +20,8 @@ def test_percentiles_of_small_tables(spark, n):
 
 
 def test_percentiles_past_the_sketch_with_a_hot_value(spark):
-    # A third of 300,000 rows holds one value; the bracket then counts that value once.
-    df = spark.range(300_000).select(
+    # A third of 1,000,000 rows holds one value; the bracket then counts that value once.
+    df = spark.range(1_000_000).select(
         F.when(F.col("id") % 3 == 0, F.lit(0.5)).otherwise(F.abs(F.xxhash64("id") % 1000003) / 1000003.0).alias("x"),
         (F.col("id") % 3 == 1).cast("string").alias("g"),
         (F.xxhash64("id") % 97).cast("double").alias("y"),
@@ -37,13 +37,30 @@ def test_percentiles_past_the_sketch_with_a_hot_value(spark):
                 assert [values[p] for p in PROBS] == pytest.approx(row.v, rel=1e-12)
 
 
+def test_percentiles_with_infinite_values_and_missed_brackets(spark, monkeypatch):
+    values = [float("-inf")] * 3 + [float(i % 50) for i in range(400)] + [float("inf")] * 2
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    probs = [0.0, 0.005, 0.5, 1.0]
+    want = [sorted(values)[int(p * (len(values) - 1))] for p in probs]
+    got = lambda: {r.prob: r.value for r in O.exact_percentiles(df, ["x"], probs).collect()}
+    assert [got()[p] for p in probs if p != 0.005] == [w for p, w in zip(probs, want) if p != 0.005]
+    assert O.exact_percentiles(df.limit(0), ["x"], probs).count() == 0
+    # Sketches of eight values miss most ranks, so the brackets have to widen.
+    monkeypatch.setattr(O, "SKETCH_SIZE", 8)
+    monkeypatch.setattr(O, "_BRACKET", 0.0001)
+    many = spark.range(20_000).select((F.xxhash64("id") % 10_007).cast("double").alias("x"))
+    want = many.agg(F.percentile("x", F.lit(PROBS)).alias("v")).first().v
+    found = {r.prob: r.value for r in O.exact_percentiles(many, ["x"], PROBS).collect()}
+    assert [found[p] for p in PROBS] == pytest.approx(want, rel=1e-12)
+
+
 def test_histogram_keeps_the_maximum_and_a_constant_column(spark):
     df = spark.createDataFrame([(float(i),) for i in range(101)] + [(None,)], "x double")
     rows = {r.bin: r.rows for r in O.histogram(df, "x").collect()}
     want, _ = np.histogram(range(101), bins=50)
     assert [rows[i + 1] for i in range(50)] == list(want)
     constant = spark.createDataFrame([(3.0,)] * 4, "x double")
-    assert [(r.bin, r.rows) for r in O.histogram(constant, "x").collect()] == [(1, 4)]
+    assert sorted((r.bin, r.rows) for r in O.histogram(constant, "x").collect()) == [(1, 4)] + [(i, 0) for i in range(2, 51)]
 
 
 def test_top_k_per_group(spark):
