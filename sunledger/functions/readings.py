@@ -50,8 +50,9 @@ def file_stem(path: Column | str) -> Column:
 
 
 def source_name(path: Column | str) -> Column:
-    """Source name from a file path: its stem without the common prefixes."""
-    name = file_stem(path)
+    """Source name from a file path: its folder, if that is named ``source=...``, else its stem without the common prefixes."""
+    folder = F.nullif(F.regexp_extract(F.try_url_decode(_col(path)), rf"/{S.SOURCE_FOLDER}=([^/]+)/[^/]+$", 1), F.lit(""))
+    name = F.coalesce(folder, file_stem(path))
     for prefix in S.SOURCE_PREFIXES:
         name = F.replace(name, F.lit(prefix), F.lit(""))
     return name

@@ -14,7 +14,11 @@ SITE = "source_id"
 
 def rows_per_site(df: DataFrame, site: str = SITE) -> DataFrame:
     """Rows of each site and their share of all rows, in percent."""
-    counts = df.groupBy(site).agg(F.count(F.lit(1)).alias("records"))
+    return shares(df.groupBy(site).agg(F.count(F.lit(1)).alias("records")), site)
+
+
+def shares(counts: DataFrame, site: str = SITE) -> DataFrame:
+    """Each site's ``records`` and their share of all of them, in percent."""
     # The total is a second, one-row aggregate of the counts: a window would gather all sites in a task.
     total = counts.agg(F.sum("records").alias("_total"))
     share = F.col("records").cast("double") / F.col("_total") * 100

@@ -20,11 +20,14 @@ def distinct_sites(df: DataFrame, site: str = "source_id") -> DataFrame:
 
 
 def drop_reloaded(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """One row per source and date. Copies fold map-side; of differing ones the smallest stays."""
+    """Readings loaded twice, once: rows that agree in every column. Copies fold map-side.
+
+    Rows with a null among ``keys`` (source and date) are left alone: nothing tells them apart. Files
+    named twice are read once to begin with (``read_readings``), so different readings of one date stay.
+    """
     keys = keys or ["source_id", "reading_date"]
-    rest = [c for c in df.columns if c not in keys]
-    kept = df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("row"))
-    return kept.select(*[F.col(c) if c in keys else F.col(f"row.{c}") for c in df.columns])
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    return df.where(known).dropDuplicates().unionAll(df.where(~known))
 
 
 def keep_matching(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:

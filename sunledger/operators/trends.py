@@ -13,15 +13,18 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from sunledger import schema as S
-from sunledger.operators.sets import drop_reloaded
 
 SERIES = {"generation": "generation_wh", "consumption": "consumption_wh", "efficiency": "_eff"}
 _HISTORY_MEASURES = ["generation_wh", "consumption_wh", "self_consumption_wh"]
 
 
 def one_reading_per_day(df: DataFrame) -> DataFrame:
-    """One row per site and date, whichever sources repeat it."""
-    return drop_reloaded(df, ["site_id", "reading_date"])
+    """One row per site and date, whichever sources repeat it: of differing ones the smallest. Rows without a date stay."""
+    keys = ["site_id", "reading_date"]
+    rest = [c for c in df.columns if c not in keys]
+    kept = df.where(F.col("reading_date").isNotNull()).groupBy(*keys).agg(F.min(F.struct(*rest)).alias("row"))
+    kept = kept.select(*[F.col(c) if c in keys else F.col(f"row.{c}") for c in df.columns])
+    return kept.unionAll(df.where(F.col("reading_date").isNull()))
 
 
 def analyze_trends(

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from sunledger import schema as S
 from sunledger.functions.readings import with_default_site
 from sunledger.operators import alerts as A
-from sunledger.operators import reports, sets, trends
+from sunledger.operators import reports, trends
 from sunledger.plans.model import AnomalyModel, train
 from sunledger.sinks import tables
+from sunledger.operators.order_statistics import top_k_per_group
 from sunledger.sources.readings import read_readings
-from sunledger.storage import materialize
+from sunledger.storage import materialize, path_exists
 
 
 def train_from_files(
@@ -24,8 +25,8 @@ def train_from_files(
     normalization: str = "global",
     save_to: str | None = None,
 ) -> AnomalyModel | None:
-    """Train one model on the files of many sites and store it with the site profiles."""
-    readings = materialize(sets.drop_reloaded(read_readings(spark, paths)), "readings")
+    """Train one model on the files of many sites, every row of each, and store it with the site profiles."""
+    readings = materialize(read_readings(spark, paths), "readings")
     if readings.isEmpty():
         return None
     model = train(readings, contamination=contamination, normalization=normalization)
@@ -61,14 +62,25 @@ def alert_files(
     paths: str | list[str],
     alerts_path: str,
     critical_path: str,
-    batch_id: int = 0,
+    run_id: str,
+    site: str | None = None,
+    output: str | None = None,
     at: Column | None = None,
     on_alerts: Callable[[DataFrame], None] | None = None,
 ) -> DataFrame:
-    """Score files, store an alert per anomaly, and hand the stored alerts to the caller's hook."""
-    return raise_alerts(
-        model, read_readings(spark, paths), alerts_path, critical_path, batch_id, at, on_alerts
-    )
+    """Score files, store an alert per anomaly, and hand the stored alerts to the caller's hook.
+
+    Alerts are added to the stores under ``run_id``: another run adds to them, the same run repeated
+    replaces its own. ``site`` names the source of all rows; ``output`` takes the scored rows as CSV.
+    """
+    readings = read_readings(spark, paths)
+    if site is not None:
+        readings = readings.withColumn("source_id", F.lit(site))
+    scored = model.predict(readings)
+    if output:
+        scored = materialize(scored, "scored")
+        tables.write_csv(tables.with_source_headers(scored), output)
+    return _store_alerts(scored, alerts_path, critical_path, run_id, at, on_alerts)
 
 
 def raise_alerts(
@@ -76,13 +88,16 @@ def raise_alerts(
     readings: DataFrame,
     alerts_path: str,
     critical_path: str,
-    batch_id: int,
+    run_id: str,
     at: Column | None = None,
     on_alerts: Callable[[DataFrame], None] | None = None,
 ) -> DataFrame:
-    """Alerts of one batch of readings, written once under the batch's id."""
-    found = A.score_alerts(A.alert_gate(model.predict(readings)), at)
-    stored = tables.fan_out_alerts(found, alerts_path, critical_path, batch_id)
+    """Alerts of one batch of readings, stored under the batch's id."""
+    return _store_alerts(model.predict(readings), alerts_path, critical_path, run_id, at, on_alerts)
+
+
+def _store_alerts(scored, alerts_path, critical_path, run_id, at, on_alerts) -> DataFrame:
+    stored = tables.fan_out_alerts(A.score_alerts(A.alert_gate(scored), at), alerts_path, critical_path, run_id)
     if on_alerts is not None:
         on_alerts(stored)
     return stored
@@ -100,12 +115,50 @@ def problem_report(model: AnomalyModel, readings: DataFrame, at: Column | None =
     return A.problem_alerts(A.prediction_gate(analyzed), at), reports.global_summary(analyzed)
 
 
+def problem_files(
+    spark: SparkSession,
+    model: AnomalyModel,
+    paths: str | list[str],
+    history_path: str,
+    alerts_path: str,
+    critical_path: str,
+    run_id: str,
+    site: str | None = None,
+    at: Column | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Predict problems of new files with the stored history of their sites.
+
+    The history's last days of each site go before the new readings, so a run with one new day per site
+    sees the same trends as one run over everything. New readings are alerted on and added to the
+    history under ``run_id``; a repeated run replaces its own part and does not see it. Returns the
+    stored alerts and the summary of the new readings.
+    """
+    new = trends.one_reading_per_day(read_readings(spark, paths) if site is None else read_readings(spark, paths).withColumn("site_id", F.lit(site)))
+    new = materialize(model.predict(new), "new-readings")
+    store = f"{history_path.rstrip('/')}/run=*"
+    seen = None
+    if path_exists(spark, store):
+        seen = spark.read.option("basePath", history_path).parquet(store).where(F.col("run") != run_id).drop("run")
+        # Only what a trend can reach back to: a bounded number of days before the first new one of each site.
+        first = new.groupBy("site_id").agg(F.min("reading_date").alias("_first"))
+        seen = seen.join(materialize(first, "first-days"), "site_id").where(F.col("reading_date") < F.col("_first")).drop("_first")
+        seen = top_k_per_group(seen, ["site_id"], [F.desc("reading_date")], S.HISTORY_ROWS)
+    both = new.withColumn("_new", F.lit(True))
+    if seen is not None:
+        both = both.unionByName(seen.withColumn("_new", F.lit(False)), allowMissingColumns=True)
+    analyzed = materialize(predict_problems(both).where("_new").drop("_new"), "problems")
+    alerts = A.problem_alerts(A.prediction_gate(analyzed), at)
+    stored = tables.fan_out_alerts(alerts, alerts_path, critical_path, run_id)
+    tables.write_batch(new, history_path, run_id)
+    return stored, reports.global_summary(analyzed)
+
+
 def fleet_report(scored: DataFrame) -> dict[str, DataFrame]:
-    """The tables behind the multi-site report. ``scored`` is read by each of them: pass a stored table."""
+    """The tables behind the multi-site report. ``scored`` is read by several of them: pass a stored table."""
     per_site = materialize(reports.site_report(scored), "sites")
     return {
-        "rows_per_site": reports.rows_per_site(scored),
-        "anomalies_per_site": reports.anomalies_per_site(scored),
+        "rows_per_site": reports.shares(per_site),
+        "anomalies_per_site": per_site.where("anomalies > 0").select("source_id", "anomalies"),
         "site_report": per_site,
         "summary": reports.global_summary(scored),
         "executive_summary": reports.executive_summary(scored),

@@ -21,11 +21,11 @@ _M = ", ".join(S.MEASURES)
 # --- Sources: what Spark derived from the tables is written and scanned back -------------------
 
 
-@query("S01_csv_scan", f"WITH {V.READINGS} SELECT {V.DATE}, {_M} FROM readings")
+@query("S01_csv_scan", f"WITH {V.READINGS} SELECT site_id AS source_id, site_id, {V.DATE}, {_M} FROM readings")
 def s01(spark, sf):
     path = scratch_path(spark, "s01")
-    tables.write_units_csv(V.readings(spark, sf), path)
-    return src.read_readings(spark, f"{path}/*.csv").select("reading_date", *S.MEASURES)
+    tables.write_units_csv(V.readings(spark, sf), path, "site_id")
+    return src.read_readings(spark, f"{path}/*/*.csv").select("source_id", "site_id", "reading_date", *S.MEASURES)
 
 
 @query(
@@ -35,33 +35,30 @@ def s01(spark, sf):
     FROM texts WHERE TRY_CAST(generation AS DOUBLE) IS NOT NULL AND TRY_CAST(consumption AS DOUBLE) IS NOT NULL""",
 )
 def s03(spark, sf):
-    path = scratch_path(spark, "s03")
-    headers = list(S.HEADER_TO_COLUMN)
+    """Two layouts: the second has the columns in another order, among forty others."""
+    root, headers = scratch_path(spark, "s03"), list(S.HEADER_TO_COLUMN)
     cells = V.texts(spark, sf).select(
-        F.col("fecha").alias(S.DATE_HEADERS[0]), F.col("generation").alias(headers[0]), F.col("consumption").alias(headers[1])
+        F.col("fecha").alias(S.DATE_HEADERS[0]), F.col("generation").alias(headers[0]), F.col("consumption").alias(headers[1]), "site_id"
     )
-    tables.write_csv(cells, path)
-    scan = src.read_readings(spark, f"{path}/*.csv", by_name=True, drop_incomplete=True)
+    half = F.col("site_id").cast("int") % 2 == 0
+    tables.write_csv(cells.where(half).drop("site_id"), f"{root}/plain")
+    wide = [F.lit("x").alias(f"Otra {i}") for i in range(40)]
+    tables.write_csv(cells.where(~half).select(*wide, F.col(headers[1]), F.col(headers[0]), F.col(S.DATE_HEADERS[0]).alias(S.DATE_HEADERS[1])), f"{root}/wide")
+    scan = src.read_readings(spark, [f"{root}/plain/*.csv", f"{root}/wide/*.csv"], drop_incomplete=True)
     return scan.select("generation_wh", "consumption_wh", "reading_date")
 
 
 @query(
     "S04_multi_file_scan",
-    f"""WITH {V.READINGS} SELECT CAST(year(reading_date) AS VARCHAR) AS folder, count(*) AS records,
+    f"""WITH {V.READINGS} SELECT CAST(year(reading_date) AS VARCHAR) AS source_id, count(*) AS records,
     {V.r('sum(generation_wh)', 'generation', 2)} FROM readings GROUP BY 1""",
 )
 def s04(spark, sf):
     root = scratch_path(spark, "s04")
-    df = V.readings(spark, sf).select("reading_date", *S.MEASURES)
-    out = tables.with_source_headers(df).withColumn("y", F.year(F.to_date(S.DATE_HEADERS[0], S.DATE_FORMAT)))
-    out.write.partitionBy("y").option("header", True).csv(root)
-    paths = src.existing_paths(spark, [f"{root}/y=*", f"{root}/missing.csv"])
-    raw = src.read_raw(spark, paths)
-    folder = F.regexp_extract("path", r"/y=(\d+)/", 1)
-    typed = src.typed_readings(raw.withColumn(S.SITE_HEADER, folder))
-    totals = typed.groupBy(F.col("source_id").alias("folder")).agg(
-        F.count(F.lit(1)).alias("records"), F.sum("generation_wh").alias("generation")
-    )
+    tables.write_units_csv(V.readings(spark, sf).withColumn("year", F.year("reading_date")), root, "year")
+    # Overlapping globs and a missing file: every file is read once.
+    typed = src.read_readings(spark, [f"{root}/source=*/*.csv", f"{root}/*/part-*", f"{root}/missing.csv"])
+    totals = typed.groupBy("source_id").agg(F.count(F.lit(1)).alias("records"), F.sum("generation_wh").alias("generation"))
     return V.rounded(totals, ["generation"], 2)
 
 
@@ -84,9 +81,14 @@ def _flat_history(records):
 
 @query("S06_json_history", _HISTORY_SQL)
 def s06(spark, sf):
+    """One JSON array per site, as the files of the history are."""
     path = scratch_path(spark, "s06")
-    _history(spark, sf).write.json(path)
-    return _flat_history(spark.read.schema(S.HISTORY_SCHEMA).json(path))
+    records = _history(spark, sf).groupBy("empresa").agg(F.collect_list(F.struct(*S.HISTORY_SCHEMA.names)).alias("r"))
+    records.select(F.to_json("r").alias("value")).repartition(8, "value").write.option("lineSep", "\n").text(f"{path}/lines")
+    # A file may hold one array only, so each line becomes a file of its own.
+    lines = spark.read.text(f"{path}/lines")
+    lines.withColumn("n", F.md5(F.col("value").cast("binary"))).write.partitionBy("n").text(f"{path}/arrays")
+    return _flat_history(H.read_history_json(spark, f"{path}/arrays/*"))
 
 
 @query("S08_history_store", f"WITH {V.READINGS} SELECT source_id, site_id, {V.DATE}, {_M} FROM readings")
@@ -130,7 +132,7 @@ def k02(spark, sf):
 @query("K03_critical_alerts", f"WITH {V.ALERTS} SELECT event_id, empresa, severidad, score FROM alerts WHERE score < -0.5")
 def k03(spark, sf):
     root = scratch_path(spark, "k03")
-    tables.fan_out_alerts(V.alerts(spark, sf), f"{root}/all", f"{root}/critical", 0)
+    tables.fan_out_alerts(V.alerts(spark, sf), f"{root}/all", f"{root}/critical", "0")
     return spark.read.parquet(f"{root}/critical").select("event_id", "empresa", "severidad", "score")
 
 

@@ -2,35 +2,32 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
 from sunledger import schema as S
 from sunledger.operators.forest import NODE_SCHEMA, score_forest
+from sunledger.operators.scaling import fit_scaler
 from sunledger.plans import jobs, tuning
 from sunledger.plans.model import AnomalyModel, train
 from sunledger.queries import views as V
+from sunledger.queries.prediction import P21_SQL, flat_problem_alerts
 from sunledger.queries.registry import query
 from sunledger.sinks import tables
 from sunledger.storage import materialize, scratch_path
-from sunledger.streaming.folder import monitor_folder, readings_stream
+from sunledger.streaming.folder import arriving_files, monitor_folder, readings_stream
 
 KEY = ["source_id", "reading_date"]
 
 
-@lru_cache(maxsize=4)
-def _trained(spark, sf) -> tuple:
-    """The stored readings and the model trained on them, shared by the queries of one session."""
-    readings = materialize(V.stressed(spark, sf), "readings")
-    return readings, train(readings)
+def _stored(spark, sf):
+    return materialize(V.stressed(spark, sf), "readings")
 
 
-def _files(spark, sf, name):
-    """The readings as files in the source layout; returns their folder."""
+def _files(spark, sf, name, df=None):
+    """The readings as files in the source layout, a folder for each site; returns the pattern that finds them."""
     path = scratch_path(spark, name)
-    tables.write_units_csv(V.stressed(spark, sf), path)
-    return path
+    tables.write_units_csv(V.stressed(spark, sf) if df is None else df, path, "site_id")
+    return f"{path}/*/*.csv"
 
 
 # A small forest of two trees, written by hand, so that SQL can compute its scores.
@@ -60,91 +57,185 @@ def m02_fixed(spark, sf):
     return V.rounded(scored.select("source_id", "reading_date", "score"), ["score"])
 
 
-@query("M01_train_forest")
+# The fixed forest as a model: features as they are, thresholds given.
+_MEASURED = ["generation_wh", "consumption_wh"]
+_THRESHOLD, _SEVERITY_CUT = -0.51, -0.6
+FIXED_SCORED = f"""{V.STRESSED}, depths AS (SELECT *, CASE WHEN generation_wh < 30000 THEN
+      CASE WHEN consumption_wh < 8000 THEN 2.0 ELSE 2.0 + {_C.format(n='119.0')} END ELSE 1.0 + {_C.format(n='136.0')} END AS a,
+      1.0 + {_C.format(n='128.0')} AS b FROM stressed),
+    scored AS (SELECT * EXCLUDE (a, b), -pow(2.0, -((a + b) / 2.0) / {_C.format(n='256.0')}) AS score, score < {_THRESHOLD} AS is_anomaly FROM depths)"""
+
+
+def _fixed_model(spark, nodes=FIXED_NODES, scaler=None):
+    if scaler is None:
+        row = {f"{c}__{part}": value for c in _MEASURED for part, value in (("center", 0.0), ("scale", 1.0))}
+        scaler = spark.createDataFrame([row], ", ".join(f"{c} double" for c in row))
+    params = {
+        "features": _MEASURED, "normalization": "global", "legacy_order": False, "site_aware": False, "n_trees": 2, "psi": 256, "seed": 42,
+        "rows": 256, "trained_date": "2024-01-01T00:00:00+00:00", "contamination": 0.1, "threshold": _THRESHOLD, "severity_cut": _SEVERITY_CUT,
+    }
+    return AnomalyModel(spark.createDataFrame(nodes, NODE_SCHEMA), scaler, scaler, params)
+
+
+_SCORE = V.r("score", "score")
+_ALERT_SQL = f"""SELECT strftime(reading_date, '%d.%m.%Y') AS fecha_dato, {{site}} AS empresa, is_anomaly AS es_anomalia, {_SCORE},
+    CASE WHEN score < -0.5 THEN 'CRÍTICA' WHEN score < -0.3 THEN 'ALTA' WHEN score < -0.1 THEN 'MEDIA' ELSE 'BAJA' END AS severidad,
+    generation_wh AS generacion FROM scored WHERE is_anomaly"""
+
+
+def _alerts(df):
+    flat = df.withColumn("generacion", F.col("datos").getField("Generación total"))
+    return V.rounded(flat.select("fecha_dato", "empresa", "es_anomalia", "score", "severidad", "generacion"), ["score"])
+
+
+@query(
+    "M01_train_forest",
+    f"""WITH {V.STRESSED} SELECT CAST(tree AS INTEGER) AS tree, least(256, (SELECT count(*) FROM stressed)) AS leaf_rows, true AS bounded
+    FROM (SELECT unnest(range(0, 100)) AS tree)""",
+)
 def m01(spark, sf):
-    return _trained(spark, sf)[1].nodes
+    """Each tree's leaves hold its sample; no tree has more nodes than a tree of height eight."""
+    nodes = train(_stored(spark, sf)).nodes
+    leaf_rows = F.sum(F.when(F.col("feature") == -1, F.col("rows")))
+    return nodes.groupBy("tree").agg(leaf_rows.alias("leaf_rows"), (F.count(F.lit(1)) <= 511).alias("bounded"))
 
 
-@query("M02_forest_score")
+@query("M02_forest_score", f"WITH {V.STRESSED} SELECT source_id, {V.DATE}, true AS in_range FROM stressed")
 def m02(spark, sf):
-    readings, model = _trained(spark, sf)
-    return model.score(readings).select(*KEY, "score")
+    readings = _stored(spark, sf)
+    score = F.col("score")
+    return train(readings).score(readings).select(*KEY, ((score < 0) & (score >= -1)).alias("in_range"))
+
 
+_PROFILE = f"""count(*) AS records, {V.r('avg(generation_wh)', 'mean_generation', 4)}, {V.r('avg(consumption_wh)', 'mean_consumption', 4)},
+    {V.r('stddev_samp(generation_wh)', 'std_generation', 4)}, {V.r('stddev_samp(consumption_wh)', 'std_consumption', 4)}"""
+_PROFILE_COLUMNS = ["mean_generation", "mean_consumption", "std_generation", "std_consumption"]
 
-@query("M05_train_multi_site")
+
+@query("M05_train_multi_site", f"WITH {V.STRESSED} SELECT site_id AS source_id, {_PROFILE} FROM stressed GROUP BY site_id")
 def m05(spark, sf):
-    model = jobs.train_from_files(spark, [f"{_files(spark, sf, 'm05')}/*.csv"], save_to=scratch_path(spark, "m05-model"))
-    return model.profiles
+    model = jobs.train_from_files(spark, [_files(spark, sf, "m05")], save_to=scratch_path(spark, "m05-model"))
+    return V.rounded(model.profiles.drop("file"), _PROFILE_COLUMNS, 4)
+
+
+_GRID_SQL = """SELECT c AS contamination, CAST(t AS INTEGER) AS n_estimators, true AS in_range
+    FROM (SELECT unnest([0.05::DOUBLE, 0.1::DOUBLE, 0.15::DOUBLE, 0.2::DOUBLE]) AS c), (SELECT unnest([50, 100, 200]) AS t)"""
+
 
+def _grid_in_range(grid):
+    fits = F.col("mean_score").between(-1, 0) & F.col("anomaly_rate").between(0, 1) & (F.col("num_anomalies") >= 0)
+    return grid.select("contamination", "n_estimators", fits.alias("in_range"))
 
-@query("M06_grid_search")
+
+@query("M06_grid_search", _GRID_SQL)
 def m06(spark, sf):
-    return tuning.grid_search(_trained(spark, sf)[0])
+    return _grid_in_range(tuning.grid_search(_stored(spark, sf)))
 
 
-@query("K07_grid_results_csv")
+@query("K07_grid_results_csv", _GRID_SQL)
 def k07(spark, sf):
     path = scratch_path(spark, "k07")
-    tables.write_csv(tuning.grid_search(_trained(spark, sf)[0], tree_counts=[10, 20]), path)
-    return spark.read.option("header", True).csv(path)
+    grid = tuning.grid_search(_stored(spark, sf))
+    tables.write_csv(grid, path)
+    return _grid_in_range(spark.read.schema(grid.schema).option("header", True).csv(path))
 
 
-@query("M07_train_with_validation")
+@query("M07_train_with_validation", f"WITH {V.STRESSED} SELECT count(*) - CAST(floor(count(*) * 0.8 + 1e-9) AS BIGINT) AS total_samples, true AS in_range FROM stressed")
 def m07(spark, sf):
-    return tuning.train_with_validation(_trained(spark, sf)[0])[1]
+    stats = tuning.train_with_validation(_stored(spark, sf))[1]
+    fits = F.col("anomaly_rate").between(0, 1) & F.col("mean_anomaly_score").between(-1, 0) & (F.col("anomalies_detected") <= F.col("total_samples"))
+    return stats.select("total_samples", fits.alias("in_range"))
 
 
-@query("M08_stored_model")
+@query("M08_stored_model", f"WITH {FIXED_SCORED} SELECT source_id, {V.DATE}, {_SCORE}, is_anomaly FROM scored")
 def m08(spark, sf):
-    readings, model = _trained(spark, sf)
     path = scratch_path(spark, "m08")
-    model.save(path)
-    return AnomalyModel.load(spark, path).predict(readings).select(*KEY, "score", "is_anomaly")
+    _fixed_model(spark).save(path)
+    return V.rounded(AnomalyModel.load(spark, path).predict(V.stressed(spark, sf)).select(*KEY, "score", "is_anomaly"), ["score"])
 
 
-@query("M09_retrain")
+@query("M09_retrain", f"WITH {V.STRESSED} SELECT source_id, {_PROFILE} FROM stressed GROUP BY source_id")
 def m09(spark, sf):
-    readings, model = _trained(spark, sf)
-    path = scratch_path(spark, "m09")
-    tables.append(readings.where(F.year("reading_date") < 2000), path)
-    return tuning.retrain(path, readings.where(F.year("reading_date") >= 2000), model).profiles
+    readings, path = _stored(spark, sf), scratch_path(spark, "m09")
+    tables.append(readings.where(F.year("reading_date") < 1995), path)
+    model = tuning.retrain(path, readings.where(F.year("reading_date") >= 1995), _fixed_model(spark))
+    return V.rounded(model.profiles, _PROFILE_COLUMNS, 4)
+
 
+# The same two trees with cuts on z-scores.
+_Z_NODES = [(*n[:4], {30000.0: -0.5, 8000.0: -1.0, 52000.0: 0.5}.get(n[4], n[4]), *n[5:]) for n in FIXED_NODES]
 
-@query("M10_site_aware_score")
+
+@query(
+    "M10_site_aware_score",
+    f"""WITH {V.STRESSED}, m AS (SELECT source_id, avg(generation_wh) AS mg, stddev_pop(generation_wh) AS sg, avg(consumption_wh) AS mc,
+      stddev_pop(consumption_wh) AS sc FROM stressed GROUP BY source_id),
+    z AS (SELECT source_id, reading_date, (generation_wh - mg) / CASE sg WHEN 0 THEN 1 ELSE sg END AS g,
+      (consumption_wh - mc) / CASE sc WHEN 0 THEN 1 ELSE sc END AS c FROM stressed JOIN m USING (source_id)),
+    d AS (SELECT *, CASE WHEN g < -0.5 THEN CASE WHEN c < -1.0 THEN 2.0 ELSE 2.0 + {_C.format(n='119.0')} END ELSE 1.0 + {_C.format(n='136.0')} END AS a,
+      1.0 + {_C.format(n='128.0')} AS b FROM z), s AS (SELECT *, -pow(2.0, -((a + b) / 2.0) / {_C.format(n='256.0')}) AS score FROM d)
+    SELECT source_id, {V.DATE}, {_SCORE}, score < {_THRESHOLD} AS is_anomaly FROM s""",
+)
 def m10(spark, sf):
-    readings, _ = _trained(spark, sf)
-    model = train(readings, normalization="per_company")
-    return model.predict(readings).select(*KEY, "score", "is_anomaly")
+    readings = _stored(spark, sf)
+    model = _fixed_model(spark, _Z_NODES, fit_scaler(readings, _MEASURED, "per_company"))
+    return V.rounded(model.predict(readings).select(*KEY, "score", "is_anomaly"), ["score"])
+
 
+_BATCH_SEVERITY = "CASE WHEN score < (SELECT quantile_cont(score, 0.1) FROM scored) THEN 'Alta' ELSE 'Normal' END AS severity"
 
-@query("M12_score_table")
+
+@query("M12_score_table", f"WITH {FIXED_SCORED} SELECT source_id, {V.DATE}, {_SCORE}, is_anomaly, {_BATCH_SEVERITY} FROM scored")
 def m12(spark, sf):
-    readings, model = _trained(spark, sf)
-    return jobs.score_table(model, readings).select(*KEY, "score", "is_anomaly", "severity")
+    scored = jobs.score_table(_fixed_model(spark), V.stressed(spark, sf))
+    return V.rounded(scored.select(*KEY, "score", "is_anomaly", "severity"), ["score"])
 
 
-@query("M13_score_files")
+@query(
+    "M13_score_files",
+    f"""WITH {FIXED_SCORED} SELECT 'NEUROCENTRO' AS source_id, site_id, {V.DATE}, {', '.join(S.MEASURES)}, {_SCORE}, is_anomaly, {_BATCH_SEVERITY}
+    FROM scored""",
+)
 def m13(spark, sf):
-    model = _trained(spark, sf)[1]
-    scored, _, _ = jobs.score_files(spark, model, f"{_files(spark, sf, 'm13')}/*.csv", scratch_path(spark, "m13-out"), "NEUROCENTRO")
-    return scored
+    scored, _, _ = jobs.score_files(spark, _fixed_model(spark), _files(spark, sf, "m13"), scratch_path(spark, "m13-out"), "NEUROCENTRO")
+    return V.rounded(scored, ["score"])
 
 
-@query("M14_alert_files")
+@query("M14_alert_files", f"WITH {FIXED_SCORED} {_ALERT_SQL.format(site='site_id')}")
 def m14(spark, sf):
-    model, root = _trained(spark, sf)[1], scratch_path(spark, "m14")
-    return jobs.alert_files(spark, model, f"{_files(spark, sf, 'm14')}/*.csv", f"{root}/alerts", f"{root}/critical")
+    """Two runs, the second of them repeated: the store holds both, once."""
+    model, root, df = _fixed_model(spark), scratch_path(spark, "m14"), V.stressed(spark, sf)
+    early = F.year("reading_date") < 1995
+    runs = {"early": _files(spark, sf, "m14-a", df.where(early)), "late": _files(spark, sf, "m14-b", df.where(~early))}
+    for run_id in ("early", "late", "late"):
+        jobs.alert_files(spark, model, runs[run_id], f"{root}/alerts", f"{root}/critical", run_id)
+    return _alerts(spark.read.parquet(f"{root}/alerts"))
 
 
-@query("M15_problem_report")
+@query("M15_problem_report", P21_SQL.replace(V.STRESSED_SCORED, FIXED_SCORED))
 def m15(spark, sf):
-    readings, model = _trained(spark, sf)
-    return jobs.problem_report(model, readings)[0].drop("tendencias", "timestamp")
+    return flat_problem_alerts(jobs.problem_report(_fixed_model(spark), _stored(spark, sf))[0])
+
 
+@query("M15_problem_files", P21_SQL.replace(V.STRESSED_SCORED, FIXED_SCORED))
+def m15_files(spark, sf):
+    """Three runs, each with the history that the earlier ones stored, equal one run over everything."""
+    model, root, df = _fixed_model(spark), scratch_path(spark, "m15"), V.stressed(spark, sf)
+    year = F.year("reading_date")
+    for name, part in (("a", year < 1994), ("b", (year >= 1994) & (year < 1996)), ("c", year >= 1996)):
+        files = _files(spark, sf, f"m15-{name}", df.where(part))
+        jobs.problem_files(spark, model, files, f"{root}/history", f"{root}/alerts", f"{root}/critical", name)
+    return flat_problem_alerts(spark.read.parquet(f"{root}/alerts"))
 
-@query("A15_compare_normalizations")
+
+@query(
+    "A15_compare_normalizations",
+    "SELECT unnest(['global', 'per_company', 'robust']) AS method, true AS in_range",
+)
 def a15(spark, sf):
-    return tuning.compare_normalizations(_trained(spark, sf)[0])
+    """The threshold is the tenth percentile of the scores, so at most a tenth of the rows lies below it."""
+    found = tuning.compare_normalizations(_stored(spark, sf))
+    return found.select("method", (F.col("percentage").between(0, 10) & (F.col("anomalies") >= 0)).alias("in_range"))
 
 
 # --- Streams ---------------------------------------------------------------------------------
@@ -167,7 +258,7 @@ _STREAM_SQL = f"SELECT {V.DATE}, {', '.join(S.MEASURES)} FROM stressed"
 @query("T01_folder_stream", f"WITH {V.STRESSED} {_STREAM_SQL}")
 def t01(spark, sf):
     root = scratch_path(spark, "t01")
-    _drain(readings_stream(spark, _files(spark, sf, "t01-in")), root)
+    _drain(readings_stream(spark, _files(spark, sf, "t01-in").removesuffix("/*/*.csv")), root)
     return spark.read.parquet(f"{root}/out").select("reading_date", *S.MEASURES)
 
 
@@ -183,18 +274,21 @@ def t02(spark, sf):
     return spark.read.parquet(f"{root}/out").select("reading_date", *S.MEASURES)
 
 
-@query("T03_stream_alerts")
+@query("T03_stream_alerts", f"WITH {FIXED_SCORED} {_ALERT_SQL.format(site='site_id')}")
 def t03(spark, sf):
-    model, root = _trained(spark, sf)[1], scratch_path(spark, "t03")
-    stream = readings_stream(spark, _files(spark, sf, "t03-in"))
-    monitor_folder(stream, model, f"{root}/alerts", f"{root}/critical", f"{root}/checkpoint", once=True).awaitTermination()
-    return spark.read.parquet(f"{root}/alerts").drop("timestamp")
+    root, folder = scratch_path(spark, "t03"), _files(spark, sf, "t03-in").removesuffix("/*/*.csv")
+    files = arriving_files(spark, folder, max_files=40)
+    monitor_folder(files, _fixed_model(spark), f"{root}/alerts", f"{root}/critical", f"{root}/checkpoint", once=True).awaitTermination()
+    return _alerts(spark.read.parquet(f"{root}/alerts"))
 
 
-@query("T05_arriving_readings")
+@query(
+    "T05_arriving_readings",
+    f"""WITH {FIXED_SCORED} SELECT site_id AS source_id, site_id, {V.DATE}, {', '.join(S.MEASURES)}, {_SCORE}, is_anomaly,
+    CASE WHEN score < {_SEVERITY_CUT} THEN 'Alta' ELSE 'Normal' END AS severity FROM scored""",
+)
 def t05(spark, sf):
     """Readings scored as they arrive, their severity from the training scores."""
-    model, root = _trained(spark, sf)[1], scratch_path(spark, "t05")
-    stream = readings_stream(spark, _files(spark, sf, "t05-in"))
-    _drain(model.get_anomalies(stream, severity_from="training"), root)
-    return spark.read.parquet(f"{root}/out")
+    root, folder = scratch_path(spark, "t05"), _files(spark, sf, "t05-in").removesuffix("/*/*.csv")
+    _drain(_fixed_model(spark).get_anomalies(readings_stream(spark, folder), severity_from="training"), root)
+    return V.rounded(spark.read.parquet(f"{root}/out"), ["score"])

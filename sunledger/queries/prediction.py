@@ -188,18 +188,16 @@ _problem_query(
 )
 
 
-@query(
-    "P21_problem_alert",
-    f"""WITH {_PROBLEMS} SELECT strftime(reading_date, '%d.%m.%Y') AS fecha_dato, site_id AS empresa, alert_type AS tipo_alerta, is_anomaly AS es_anomalia_actual,
+P21_SQL = f"""WITH {_PROBLEMS} SELECT strftime(reading_date, '%d.%m.%Y') AS fecha_dato, site_id AS empresa, alert_type AS tipo_alerta, is_anomaly AS es_anomalia_actual,
     has_risk AS hay_riesgo_futuro, score, risk_score AS riesgo_score, problem_severity AS severidad, problem_types AS tipos_problema, description AS descripcion,
     risk_message AS prediccion_mensaje, generation_wh AS generacion, CASE WHEN history_rows >= 3 THEN generation_trend END AS tendencia_generacion,
     CASE WHEN history_rows >= 3 THEN {V.r('consumption_speed', 'x').removesuffix(' AS x')} END AS velocidad_consumo,
     CASE WHEN history_rows >= 3 AND m_generation IS NOT NULL THEN recent END AS valores_generacion
-    FROM problems WHERE is_anomaly OR has_risk""",
-)
-def p21(spark, sf):
-    classified = predict_problems(V.stressed_scored(spark, sf))
-    flat = A.problem_alerts(A.prediction_gate(classified), F.lit("2024-02-01 00:00:00").cast("timestamp"))
+    FROM problems WHERE is_anomaly OR has_risk"""
+
+
+def flat_problem_alerts(flat):
+    """The alerts with the parts of their trends that the SQL has."""
     trend = lambda name, part: F.col("tendencias")[name].getField(part)
     out = flat.select(
         "fecha_dato", "empresa", "tipo_alerta", "es_anomalia_actual", "hay_riesgo_futuro", "score", "riesgo_score", "severidad",
@@ -212,6 +210,12 @@ def p21(spark, sf):
     return V.rounded(out, ["velocidad_consumo"])
 
 
+@query("P21_problem_alert", P21_SQL)
+def p21(spark, sf):
+    classified = predict_problems(V.stressed_scored(spark, sf))
+    return flat_problem_alerts(A.problem_alerts(A.prediction_gate(classified), F.lit("2024-02-01 00:00:00").cast("timestamp")))
+
+
 # --- The flagship: sites with most predicted problems ----------------------------------------
 
 

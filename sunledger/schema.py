@@ -23,6 +23,7 @@ RESULT_HEADERS = {
 }
 UNITS_ROW = ["[dd.MM.yyyy]", "[Wh]", "[Wh]", "[Wh]", "[Wh]", "[Wh]"]
 SOURCE_PREFIXES = ["datos_energia_", "datos_"]
+SOURCE_FOLDER = "source"
 
 # --- Fixed values: feature order and the names the features carry in exported metadata ----
 MEASURES = list(HEADER_TO_COLUMN.values())

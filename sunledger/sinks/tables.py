@@ -32,17 +32,17 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> N
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int) -> str:
-    """Write one micro-batch to its own folder; a replay of the batch replaces exactly that folder."""
-    target = f"{path.rstrip('/')}/batch_id={batch_id}"
+def write_batch(df: DataFrame, path: str, run_id: str) -> str:
+    """Write one run or micro-batch to its own folder; repeating it replaces exactly that folder."""
+    target = f"{path.rstrip('/')}/run={run_id}"
     df.write.mode("overwrite").parquet(target)
     return target
 
 
-def fan_out_alerts(alerts: DataFrame, path: str, critical_path: str, batch_id: int) -> DataFrame:
-    """Store a batch of alerts, and the critical ones a second time. Returns the stored batch."""
-    stored = alerts.sparkSession.read.parquet(write_batch(alerts, path, batch_id))
-    write_batch(critical_only(stored), critical_path, batch_id)
+def fan_out_alerts(alerts: DataFrame, path: str, critical_path: str, run_id: str) -> DataFrame:
+    """Store a run's alerts, and the critical ones a second time. Returns the stored alerts."""
+    stored = alerts.sparkSession.read.parquet(write_batch(alerts, path, run_id))
+    write_batch(critical_only(stored), critical_path, run_id)
     return stored
 
 
@@ -75,11 +75,17 @@ def write_profiles_json(profiles: DataFrame, path: str) -> None:
     profiles.write.mode("overwrite").json(path)
 
 
-def write_units_csv(readings: DataFrame, path: str) -> None:
-    """Readings in the layout of the source files, units row included, one folder per source."""
+def write_units_csv(readings: DataFrame, path: str, source: str = "source_id") -> None:
+    """Readings in the layout of the source files: a folder named ``source=...`` for each source, with one file
+    of a header, the units row and the readings. A source's rows go to one task, as they go to one file."""
     columns = [S.DATE_HEADERS[0], *S.HEADER_TO_COLUMN]
-    rows = with_source_headers(readings.select("reading_date", *S.MEASURES)).select(
-        *[F.col(c).cast("string").alias(c) for c in columns]
+    rows = with_source_headers(readings.select(F.col(source).alias("_source"), "reading_date", *S.MEASURES)).select(
+        "_source", F.lit(1).alias("_place"), *[F.col(c).cast("string").alias(c) for c in columns]
     )
-    units = readings.sparkSession.createDataFrame([tuple(S.UNITS_ROW)], ", ".join(f"`{c}` string" for c in columns))
-    write_csv(units.unionByName(rows), path)
+    units = rows.select("_source").distinct().select(
+        "_source", F.lit(0).alias("_place"), *[F.lit(u).alias(c) for c, u in zip(columns, S.UNITS_ROW)]
+    )
+    placed = units.unionByName(rows).repartition("_source").sortWithinPartitions("_source", "_place")
+    placed.drop("_place").withColumnRenamed("_source", S.SOURCE_FOLDER).write.mode("overwrite").partitionBy(
+        S.SOURCE_FOLDER
+    ).option("header", True).csv(path)

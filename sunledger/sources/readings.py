@@ -2,43 +2,86 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import csv
+import re
+from functools import reduce
+from urllib.parse import unquote
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sunledger import schema as S
 from sunledger.functions import readings as R
-from sunledger.storage import existing_paths, materialize
+from sunledger.storage import existing_paths
 
+KNOWN_HEADERS = [*S.DATE_HEADERS, S.SITE_HEADER, *S.HEADER_TO_COLUMN]
 DATE_HEADER = S.DATE_HEADERS[0]
 RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in [DATE_HEADER, *S.HEADER_TO_COLUMN]])
 # A line that starts with a bracket is the units row; a file without one loses nothing.
 CSV_OPTIONS = {"header": "true", "comment": "[", "encoding": "UTF-8", "mode": "PERMISSIVE"}
-_SKIP_UNREADABLE = {"ignoreMissingFiles": "true", "ignoreCorruptFiles": "true"}
-_MAX_COLUMNS = 32
 
 
 def read_readings(
-    spark: SparkSession, paths: str | list[str], by_name: bool = False, drop_incomplete: bool = False
+    spark: SparkSession, paths: str | list[str], drop_incomplete: bool = False, skip_unreadable: bool = False
 ) -> DataFrame:
-    """Scan many site files at once; the source and site come from each file's name.
+    """Scan many site files at once, each by its own header; source and site come from the file's name.
 
-    Files that are missing or unreadable are skipped. The standard layout is read by position.
-    ``by_name`` resolves the columns from each file's own header instead, for files that lack some,
-    order them differently or carry a site column.
+    Columns may be missing, in any order and among any number of others. Missing files are skipped, a
+    file named twice is read once. A file that breaks while it is read fails the job, unless
+    ``skip_unreadable``; ``skipped_files`` lists what has no readings.
     """
+    typed = typed_readings(read_cells(spark, paths, skip_unreadable))
+    return R.drop_incomplete(typed) if drop_incomplete else typed
+
+
+def read_cells(spark: SparkSession, paths: str | list[str], skip_unreadable: bool = False) -> DataFrame:
+    """The untyped cells of the files under the known headers, with the path of each row's file.
+
+    One native CSV scan for each distinct header line. File names pass through the driver, as they do
+    whenever Spark lists files.
+    """
+    options = {"ignoreMissingFiles": "true", "ignoreCorruptFiles": str(skip_unreadable).lower()}
+    wanted = existing_paths(spark, [paths] if isinstance(paths, str) else list(paths))
+    nothing = T.StructType([T.StructField(c, T.StringType()) for c in [*KNOWN_HEADERS, "path"]])
+    scans = [spark.createDataFrame([], nothing)]
+    if wanted:
+        for row in file_headers(spark, wanted, options).groupBy("header").agg(F.collect_list("path").alias("paths")).collect():
+            names = [c.strip() for c in next(csv.reader([row["header"]]))]
+            layout = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+            cells = spark.read.schema(layout).options(**CSV_OPTIONS, **options).csv([_plain_path(x) for x in row["paths"]])
+            known = [F.col(f"c{names.index(n)}").alias(n) if n in names else F.lit(None).cast("string").alias(n) for n in KNOWN_HEADERS]
+            scans.append(cells.select(*known, F.col("_metadata.file_path").alias("path")))
+    return reduce(DataFrame.unionByName, scans)
+
+
+def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``read_cells`` of files named by their full paths as Spark reports them."""
+    return read_cells(spark, [_plain_path(p) for p in paths])
+
+
+def file_headers(spark: SparkSession, paths: list[str], options: dict[str, str] | None = None) -> DataFrame:
+    """(path, header): the header line of each file, which is one that has a known header among its cells."""
+    text = spark.read.options(**(options or {})).text(paths)
+    line = F.ltrim(F.replace("value", F.lit("\ufeff"), F.lit("")))
+    cells = F.transform(F.split(line, ","), lambda c: F.trim(F.replace(c, F.lit('"'), F.lit(""))))
+    is_header = F.arrays_overlap(cells, F.array(*[F.lit(n) for n in KNOWN_HEADERS]))
+    found = text.where(is_header).select(F.col("_metadata.file_path").alias("path"), line.alias("header"))
+    return found.groupBy("path").agg(F.min("header").alias("header"))
+
+
+def skipped_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path): files that exist but have no line with a known header, so that no reading comes from them."""
     wanted = existing_paths(spark, [paths] if isinstance(paths, str) else list(paths))
     if not wanted:
-        return spark.createDataFrame([], S.READING_SCHEMA)
-    raw = _named_cells(spark, wanted) if by_name else read_raw(spark, wanted)
-    typed = typed_readings(raw)
-    return R.drop_incomplete(typed) if drop_incomplete else typed
+        return spark.createDataFrame([], "path string")
+    listed = spark.read.format("binaryFile").load(wanted).select(F.col("_metadata.file_path").alias("path")).distinct()
+    return listed.join(file_headers(spark, wanted, {"ignoreCorruptFiles": "true"}), "path", "left_anti")
 
 
-def read_raw(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The untyped cells of files in the standard layout, with the path of each row's file."""
-    reader = spark.read.schema(RAW_SCHEMA).options(**CSV_OPTIONS, **_SKIP_UNREADABLE)
-    return reader.csv(paths).select("*", F.col("_metadata.file_path").alias("path"))
+def _plain_path(path: str) -> str:
+    """A file's path as a reader takes it: without URL escapes, and with glob characters escaped."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(path))
 
 
 def typed_readings(raw: DataFrame) -> DataFrame:
@@ -59,29 +102,3 @@ def trim_headers(df: DataFrame) -> DataFrame:
     """Strip the column names and give the known ones their canonical names."""
     names = [c.strip() for c in df.columns]
     return df.toDF(*[S.HEADER_TO_COLUMN.get(n, n) for n in names])
-
-
-def _named_cells(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Cells by name: each line is matched with the header line of its own file."""
-    names = [*S.DATE_HEADERS, S.SITE_HEADER, *S.HEADER_TO_COLUMN]
-    width = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(_MAX_COLUMNS)])
-    text = spark.read.options(**_SKIP_UNREADABLE).text(paths)
-    parsed = F.from_csv("value", width.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "))
-    lines = (
-        text.select("value", F.col("_metadata.file_path").alias("path"))
-        .where(~F.ltrim("value").startswith("[") & (F.trim("value") != ""))
-        # Inlined as a row, so that a line is parsed once and not again for each of its cells.
-        .select("path", F.inline(F.array(parsed)))
-        .select("path", F.array(*[F.trim(f"c{i}") for i in range(_MAX_COLUMNS)]).alias("cells"))
-    )
-    is_header = F.arrays_overlap("cells", F.array(*[F.lit(n) for n in names]))
-    is_header = F.coalesce(is_header, F.lit(False))
-    # One row per file. Written, so that Catalyst knows its size and broadcasts it only if small.
-    headers = lines.where(is_header).groupBy("path").agg(F.min("cells").alias("header"))
-    joined = lines.where(~is_header).join(materialize(headers, "headers"), "path")
-    return joined.select("path", *[_cell(n).alias(n) for n in names])
-
-
-def _cell(name: str) -> Column:
-    position = F.coalesce(F.array_position("header", name), F.lit(0))
-    return F.when(position > 0, F.get("cells", (position - 1).cast("int")))

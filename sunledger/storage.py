@@ -8,6 +8,7 @@ broadcast and a sort-merge join.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,11 +18,18 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set (tests)."""
+    """The folder that the session names in ``spark.checkpoint.dir``.
+
+    Where none is set, a local session (tests) gets a temporary one; on a cluster, where executors would
+    each write to a disk of their own, the job stops.
+    """
     folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
         folder = tempfile.mkdtemp(prefix="sunledger-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,14 +11,20 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sunledger.plans.jobs import raise_alerts
 from sunledger.plans.model import AnomalyModel
-from sunledger.sources.readings import CSV_OPTIONS, RAW_SCHEMA, typed_readings
+from sunledger.sources.readings import CSV_OPTIONS, RAW_SCHEMA, read_files, typed_readings
 
 
 def readings_stream(spark: SparkSession, folder: str, pattern: str = "*.csv", max_files: int = 1000) -> DataFrame:
-    """The typed readings of each new file that matches ``pattern``, at most ``max_files`` per batch."""
+    """The typed readings of each new file that matches ``pattern``, at most ``max_files`` per batch.
+
+    A stream's columns are fixed, so the files must have the standard layout; one with another header
+    fails the stream. ``monitor_folder`` takes files of any layout.
+    """
     raw = (
         spark.readStream.schema(RAW_SCHEMA)
         .options(**CSV_OPTIONS)
+        .option("enforceSchema", "false")
+        .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
         .option("maxFilesPerTrigger", max_files)
         .csv(folder)
@@ -25,8 +32,14 @@ def readings_stream(spark: SparkSession, folder: str, pattern: str = "*.csv", ma
     return typed_readings(raw.select("*", F.col("_metadata.file_path").alias("path")))
 
 
+def arriving_files(spark: SparkSession, folder: str, pattern: str = "*.csv", max_files: int = 1000) -> DataFrame:
+    """The paths of new files, at most ``max_files`` per batch (a path for each line)."""
+    lines = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", max_files).text(folder)
+    return lines.select(F.col("_metadata.file_path").alias("path"))
+
+
 def monitor_folder(
-    readings: DataFrame,
+    files: DataFrame,
     model: AnomalyModel,
     alerts_path: str,
     critical_path: str,
@@ -35,16 +48,19 @@ def monitor_folder(
     on_alerts: Callable[[DataFrame], None] | None = None,
     once: bool = False,
 ) -> StreamingQuery:
-    """Score every new reading once and store its alerts.
+    """Score every new reading of ``arriving_files`` once and store its alerts; files are read by their own headers.
 
     The checkpoint remembers the files already read, across restarts. A batch that is replayed after
-    a failure overwrites its own folder, so no alert is stored twice. ``once`` stops when the files
-    present now are done.
+    a failure overwrites its own folder, which carries the checkpoint's name, so no alert is stored
+    twice and no other run's alerts are touched. ``once`` stops when the files present now are done.
     """
+    name = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        raise_alerts(model, batch, alerts_path, critical_path, batch_id, None, on_alerts)
+        paths = [r["path"] for r in batch.distinct().collect()]  # at most as many as files in a batch
+        readings = typed_readings(read_files(batch.sparkSession, paths))
+        raise_alerts(model, readings, alerts_path, critical_path, f"{name}-{batch_id}", None, on_alerts)
 
-    writer = readings.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    writer = files.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if once else {"processingTime": f"{interval_seconds} seconds"}
     return writer.trigger(**trigger).start()
