@@ -7,7 +7,7 @@ from sunledger.operators import scaling
 from sunledger.plans import jobs, tuning
 from sunledger.plans.model import AnomalyModel, train
 from sunledger.sinks import tables
-from sunledger.streaming.folder import monitor_folder, readings_stream
+from sunledger.streaming.folder import arriving_files, monitor_folder
 
 KEY = ["source_id", "reading_date"]
 
@@ -95,22 +95,26 @@ def test_validate_against_known(readings, model):
 def test_file_jobs_and_folder_monitor(spark, readings, tmp_path):
     inbox = tmp_path / "inbox"
     tables.write_units_csv(readings, str(inbox))
-    trained = jobs.train_from_files(spark, [f"{inbox}/*.csv"], save_to=str(tmp_path / "model"))
+    trained = jobs.train_from_files(spark, [f"{inbox}/*/*.csv"], save_to=str(tmp_path / "model"))
     assert trained.params["rows"] == trained.profiles.agg(F.sum("records")).first()[0]
     assert jobs.train_from_files(spark, ["/no/such.csv"]) is None
-    scored, summary, worst = jobs.score_files(spark, trained, f"{inbox}/*.csv", str(tmp_path / "scored"), "UNO")
-    assert summary.first().total == 480 and worst.count() == 10
+    scored, summary, worst = jobs.score_files(spark, trained, f"{inbox}/*/*.csv", str(tmp_path / "scored"), "UNO")
+    assert summary.first().total == 480 and worst.count() == min(10, summary.first().anomalies)
     assert "Score_Anomalia" in spark.read.option("header", True).csv(str(tmp_path / "scored")).columns
 
     seen = []
     where = [str(tmp_path / p) for p in ("alerts", "critical", "check")]
     for _ in range(2):  # the second run finds no new file
-        stream = readings_stream(spark, str(inbox))
-        monitor_folder(stream, trained, *where, on_alerts=lambda df: seen.append(df.count()), once=True).awaitTermination()
-    expected = jobs.alert_files(spark, trained, f"{inbox}/*.csv", str(tmp_path / "a2"), str(tmp_path / "c2"))
+        files = arriving_files(spark, str(inbox))
+        monitor_folder(files, trained, *where, on_alerts=lambda df: seen.append(df.count()), once=True).awaitTermination()
+    expected = jobs.alert_files(spark, trained, f"{inbox}/*/*.csv", str(tmp_path / "a2"), str(tmp_path / "c2"), "one", output=str(tmp_path / "scored2"))
+    jobs.alert_files(spark, trained, f"{inbox}/*/*.csv", str(tmp_path / "a2"), str(tmp_path / "c2"), "two", site="DOS")
+    both = spark.read.parquet(str(tmp_path / "a2"))
+    assert both.where("run = 'one'").count() == both.where("run = 'two' and empresa = 'DOS'").count() == expected.count()
+    assert spark.read.option("header", True).csv(str(tmp_path / "scored2")).count() == 480
     stored = spark.read.parquet(where[0])
     assert sum(seen) == stored.count() == expected.count() > 0
-    critical = spark.read.parquet(where[1]).drop("batch_id")
+    critical = spark.read.parquet(where[1]).drop("run")
     assert critical.count() == stored.where(F.col("severidad") == S.CRITICAL).count()
 
 

@@ -8,7 +8,7 @@ from sunledger.functions import readings as R
 from sunledger.operators import reports, sets
 from sunledger.sinks import tables
 from sunledger.sources.history import history_readings, read_history_json, read_store
-from sunledger.sources.readings import read_readings
+from sunledger.sources.readings import read_readings, skipped_files
 
 HEADER = "Fecha,Generación total,Consumo total,Autoconsumo,Energía suministrada a la red,Energía obtenida de la red"
 UNITS = "[dd.MM.yyyy],[Wh],[Wh],[Wh],[Wh],[Wh]"
@@ -43,7 +43,7 @@ def test_units_row_aliases_coercion_and_names(spark, files):
 
 def test_columns_by_name(spark, tmp_path, files):
     odd = write(tmp_path, "mixto.csv", " Consumo total , Empresa,Fecha,Generación total", '7,"Uno, S.A.",2023-05-06,9')
-    by_name = read_readings(spark, [*files, odd], by_name=True)
+    by_name = read_readings(spark, [*files, odd, odd, str(tmp_path / "mix*.csv")])
     row = by_name.where("generation_wh = 9").first()
     assert (row.source_id, row.consumption_wh, row.self_consumption_wh) == ("Uno, S.A.", 7.0, None)
     assert row.reading_date == dt.date(2023, 5, 6)
@@ -52,6 +52,25 @@ def test_columns_by_name(spark, tmp_path, files):
     assert same.count() == 4
 
 
+def test_swapped_missing_and_many_columns_keep_their_values(spark, tmp_path):
+    swapped = write(tmp_path, "a b.csv", "Fecha,Consumo total,Generación total", UNITS, "01.02.2023,7,9")
+    many = ",".join(f"x{i}" for i in range(60))
+    wide = write(tmp_path, "w[1].csv", f"{many},Generación total,Fecha", ",".join("0" for _ in range(60)) + ",5,02.02.2023")
+    other = write(tmp_path, "no header.csv", "1,2,3", "4,5,6")
+    rows = {r.source_id: r for r in read_readings(spark, [swapped, str(tmp_path / "w*.csv"), other]).collect()}
+    assert (rows["a b"].generation_wh, rows["a b"].consumption_wh, rows["a b"].grid_import_wh) == (9.0, 7.0, None)
+    assert (rows["w[1]"].generation_wh, rows["w[1]"].reading_date, rows["w[1]"].consumption_wh) == (5.0, dt.date(2023, 2, 2), None)
+    assert len(rows) == 2
+    assert [r.path.endswith("no%20header.csv") for r in skipped_files(spark, str(tmp_path / "*.csv")).collect()] == [True]
+
+
+def test_equal_names_in_two_folders_and_null_dates_lose_nothing(spark, tmp_path):
+    for folder, value in (("x", 1), ("y", 2)):
+        (tmp_path / folder).mkdir()
+        write(tmp_path / folder, "S.csv", HEADER, f"01.01.2023,{value},1,1,1,1", f"bad,{value},1,1,1,1", f"worse,{value},1,1,1,1")
+    assert read_readings(spark, str(tmp_path / "*" / "S.csv")).count() == 6
+
+
 def test_nothing_to_read(spark):
     assert read_readings(spark, "/no/such/*.csv").count() == 0
     assert read_store(spark, "/no/such/store") is None
@@ -91,7 +110,7 @@ def test_features(spark):
 def test_written_files_read_back(spark, files, tmp_path):
     df = read_readings(spark, files).where("reading_date is not null")
     tables.write_units_csv(df, str(tmp_path / "out"))
-    back = read_readings(spark, str(tmp_path / "out" / "*.csv")).select("reading_date", *S.MEASURES)
+    back = read_readings(spark, str(tmp_path / "out" / "*" / "*.csv")).select("source_id", "site_id", "reading_date", *S.MEASURES)
     assert back.exceptAll(df.select(back.columns)).count() == 0 and back.count() == df.count()
 
 
@@ -115,7 +134,7 @@ def test_history_array_and_retention(spark, tmp_path):
 def test_replayed_batch_stores_alerts_once(spark, tmp_path):
     alerts = spark.createDataFrame([("A", "CRÍTICA"), ("B", "ALTA")], "empresa string, severidad string")
     for _ in range(2):
-        tables.fan_out_alerts(alerts, str(tmp_path / "all"), str(tmp_path / "critical"), 3)
+        tables.fan_out_alerts(alerts, str(tmp_path / "all"), str(tmp_path / "critical"), "r3")
     assert spark.read.parquet(str(tmp_path / "all")).count() == 2
     assert [r.empresa for r in spark.read.parquet(str(tmp_path / "critical")).collect()] == ["A"]
 
@@ -123,6 +142,8 @@ def test_replayed_batch_stores_alerts_once(spark, tmp_path):
 def test_reload_union_and_confusion(spark):
     a = spark.createDataFrame([("s", 1, 2.0), ("s", 1, 2.0), ("s", 2, 1.0)], "source_id string, reading_date int, x double")
     assert sets.drop_reloaded(a).count() == 2
+    nulls = spark.createDataFrame([("s", None, 1.0), ("s", None, 1.0), ("s", 3, 1.0), ("s", 3, 2.0)], a.schema)
+    assert sets.drop_reloaded(nulls).count() == 4
     assert sets.union_sites([a, a.drop("x")]).count() == 6
     empty = a.limit(0)
     row = sets.confusion(empty, empty, ["source_id", "reading_date"]).first()
