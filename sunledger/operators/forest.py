@@ -126,6 +126,12 @@ def _draw_pool(keyed: DataFrame, rate: float, rows: int, psi: int, seed: int) ->
     return expand(folded(cold), F.least(F.col("_n"), F.lit(psi))).unionByName(expand(share, F.col("_n")))
 
 
+def share_forest(nodes: DataFrame, n_features: int, psi: int):
+    """Send the packed nodes to the executors. Bounded: at most trees x 2 x max_samples nodes, whatever the size of the data."""
+    packed = PackedForest.of(nodes.toPandas(), n_features, psi)
+    return nodes.sparkSession.sparkContext.broadcast(packed.arrays())
+
+
 def score_forest(
     df: DataFrame,
     nodes: DataFrame,
@@ -134,15 +140,15 @@ def score_forest(
     source: str | None = None,
     prefixes: list[int] | None = None,
     column: str = "score",
+    shared=None,
 ) -> DataFrame:
     """Add the anomaly score in [-1, 0); lower is more anomalous, null where a feature is null.
 
-    ``prefixes`` scores the first k trees for several k in the same pass, as ``<column>_<k>``.
+    ``prefixes`` scores the first k trees for several k in the same pass, as ``<column>_<k>``. ``shared``
+    is the result of ``share_forest``, for callers that score more than once with the same nodes.
     """
-    # Bounded: at most trees x 2 x max_samples nodes, whatever the size of the data.
-    forest = PackedForest.of(nodes.toPandas(), len(features), psi)
-    sizes = prefixes or [forest.n_trees]
-    shared = df.sparkSession.sparkContext.broadcast(forest.arrays())
+    shared = shared or share_forest(nodes, len(features), psi)
+    sizes = prefixes or [len(shared.value[4])]
     inputs = [F.col(f).cast("double") for f in features]
     inputs.append((F.col(source) if source else F.lit(None)).cast("string"))
 

@@ -12,7 +12,7 @@ from sunledger import schema as S
 from sunledger.functions.readings import with_features
 from sunledger.functions.severity import batch_severity
 from sunledger.operators import reports
-from sunledger.operators.forest import fit_forest, score_forest
+from sunledger.operators.forest import fit_forest, score_forest, share_forest
 from sunledger.operators.order_statistics import percentile_row, with_scalar
 from sunledger.operators.scaling import apply_scaler, fit_scaler
 from sunledger.storage import materialize, path_exists
@@ -33,11 +33,15 @@ class AnomalyModel:
     profiles: DataFrame
     params: dict = field(default_factory=dict)
     feature_scaler: DataFrame | None = None
+    # The packed nodes, sent to the executors once for all batches that the model scores.
+    _shared: dict = field(default_factory=dict, repr=False, compare=False)
 
     def score(self, readings: DataFrame, prefixes: list[int] | None = None) -> DataFrame:
         """The readings with their ``score``; null where a feature is missing."""
         features = self.params["features"]
         prepared = _scaled_inputs(readings, self.params, self.scaler, self.feature_scaler)
+        if "forest" not in self._shared:
+            self._shared["forest"] = share_forest(self.nodes, len(features), self.params["psi"])
         scored = score_forest(
             prepared,
             self.nodes,
@@ -45,6 +49,7 @@ class AnomalyModel:
             self.params["psi"],
             source="source_id" if self.params["site_aware"] and "source_id" in readings.columns else None,
             prefixes=prefixes,
+            shared=self._shared["forest"],
         )
         return scored.drop(*[f + _INPUT for f in features])
 
@@ -119,7 +124,7 @@ def add_batch_severity(scored: DataFrame, percentile: float = S.SEVERITY_PERCENT
 def train(readings: DataFrame, contamination: float = S.CONTAMINATION, **options) -> AnomalyModel:
     """Fit a forest and set its thresholds. ``options`` are those of ``fit``.
 
-    The table is scanned four times, so pass one that is stored.
+    The table is scanned several times, so pass one that is stored.
     """
     model = fit(readings, **options)
     return calibrate(model, readings, contamination)

@@ -23,14 +23,15 @@ def retrain(
 ) -> AnomalyModel:
     """Train on the stored history plus new readings, then add the new ones to the store.
 
-    The combined rows are written before training, so the append cannot change what is trained on.
+    Contamination, normalisation, trees, sample size and seed are the old model's, if there is one. The combined rows are written before training, so the append cannot change what is trained on.
     """
     spark = new_readings.sparkSession
     history = read_store(spark, store_path)
     combined = new_readings if history is None else sets.union_sites([history, new_readings])
     if contamination is None:
         contamination = old.params["contamination"] if old else S.CONTAMINATION
-    model = train(materialize(combined, "combined"), contamination=contamination)
+    options = {k: old.params[k] for k in ("normalization", "legacy_order", "site_aware", "n_trees", "seed")} if old else {}
+    model = train(materialize(combined, "combined"), contamination=contamination, **options)
     append(new_readings, store_path)
     return model
 

@@ -29,8 +29,10 @@ _STATE = "newest date, generation array<double>, consumption array<double>, self
 def stream_trends(readings: DataFrame) -> DataFrame:
     """Add trends and risk to a stream of readings.
 
-    A reading not later than the site's newest one (a repeat, or one out of order) comes out with
-    ``late`` set and no history, for the sink to keep apart; see ``split_late``.
+    A reading not later than the site's newest one (a repeat, or one out of order), or without a date,
+    comes out with ``late`` set and no history, for the sink to keep apart; see ``split_late``. A batch job
+    over the stored readings gives the late ones their trends. A site's part of a micro-batch is held in
+    one task, so limit the files of a batch (``maxFilesPerTrigger``).
     """
     rows = readings.select(
         "site_id", "reading_date", *[F.coalesce(F.col(m), F.lit(0.0)).alias(m) for m in _MEASURES]
@@ -101,12 +103,13 @@ def _slope(values: Column) -> Column:
 def _remember(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Emit each reading with the site's history before it, and keep the newest seven."""
     newest, *series = state.get if state.exists else (None, [], [], [])
-    # A trigger admits a bounded number of files, so a site's part of one micro-batch is bounded.
     rows = pd.concat(list(batches), ignore_index=True).sort_values("reading_date", kind="stable")
     days = rows["reading_date"]
-    late = days.duplicated()
+    undated = days.isna()
+    # A reading without a date has no place in the series; it is set apart like a late one.
+    late = days.duplicated() | undated
     if newest is not None:
-        late |= days <= newest
+        late |= days.where(~undated, newest) <= newest
     rows["late"] = late
     kept = rows[~late]
     for name, measure, past in zip(_HISTORIES, _MEASURES, series):

@@ -104,3 +104,17 @@ def test_stream_in_several_batches_equals_batch_job(spark, tmp_path):
     in_order, late = split_late(spark.read.parquet(str(tmp_path / "out")))
     check(in_order.collect(), expected_trends(df.collect()))
     assert late.count() == 1
+
+
+def test_stream_sets_readings_without_a_date_apart(spark, tmp_path):
+    day = lambda n: dt.date(2024, 1, n)
+    schema = "site_id string, reading_date date, generation_wh double, consumption_wh double, self_consumption_wh double"
+    for days in ([day(10), day(11), None], [day(2), None, day(12)]):
+        rows = [("s", d, 5.0, 4.0, 3.0) for d in days]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = stream_trends(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        run = stream.writeStream.format("parquet").option("path", str(tmp_path / "out"))
+        run.option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    in_order, late = split_late(spark.read.parquet(str(tmp_path / "out")))
+    assert sorted((r.reading_date, r.history_rows) for r in in_order.collect()) == [(day(10), 0), (day(11), 1), (day(12), 2)]
+    assert sorted((r.reading_date for r in late.collect()), key=str) == [day(2), None, None]
