@@ -73,7 +73,7 @@ class AnomalyModel:
         return add_batch_severity(predicted, percentile)
 
     def save(self, path: str) -> None:
-        """Store the model as Parquet tables under ``path``."""
+        """Store the model as Parquet tables under ``path``, a folder that it was not loaded from."""
         spark = self.nodes.sparkSession
         params = {k: v for k, v in self.params.items()}
         self.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
@@ -82,10 +82,15 @@ class AnomalyModel:
         if self.feature_scaler is not None:
             self.feature_scaler.write.mode("overwrite").parquet(f"{path}/feature_scaler")
         spark.createDataFrame([params], _PARAMS).coalesce(1).write.mode("overwrite").parquet(f"{path}/params")
+        # Each known source is a feature of a site-aware model; they are kept as a table, not as a list of names.
+        known = 0
+        if params["site_aware"]:
+            self.profiles.select("source_id").write.mode("overwrite").parquet(f"{path}/sources")
+            known = spark.read.parquet(f"{path}/sources").count()
         metadata = {
             "trained_date": params["trained_date"],
             "contamination": params["contamination"],
-            "num_features": len(params["features"]),
+            "num_features": len(params["features"]) + known,
             "features": [S.FEATURE_LABELS.get(f, f) for f in params["features"]],
         }
         schema = "trained_date string, contamination double, num_features int, features array<string>"

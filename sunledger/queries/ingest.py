@@ -266,7 +266,7 @@ def p13(spark, sf):
     return V.rounded(df.select("source_id", *R.feature_names(df)), list(_DERIVED_SQL))
 
 
-# The 25 nation names of the given tables, which serve as the known sources.
+# The 25 nation names of the given tables; SQL has to name its columns.
 NATIONS = [f"NATION_{i}" for i in range(25)]
 
 
@@ -274,21 +274,25 @@ def _one_hot_sql(known: list[str]) -> str:
     return ", ".join(f"""CAST(fleet = '{k}' AS INTEGER) AS "Empresa_{k}\"""" for k in known)
 
 
-def _register_one_hot():
-    def run(known):
-        def one_hot(spark, sf):
-            df = V.fleets(spark, sf)
-            return df.select("source_id", "reading_date", *[c.alias(n) for n, c in R.one_hot("fleet", known).items()])
+def _one_hot(spark, sf, known):
+    df = V.fleets(spark, sf)
+    return df.select("source_id", "reading_date", *[c.alias(n) for n, c in R.one_hot("fleet", known).items()])
 
-        return one_hot
 
-    # P15: the model knows some of the sources only, and one that the batch lacks.
-    known = [*NATIONS[:20], "SIN_DATOS"]
-    for key, names in (("P14_one_hot", NATIONS), ("P15_one_hot_aligned", known)):
-        query(key, f"WITH {V.FLEETS} SELECT source_id, {V.DATE}, {_one_hot_sql(names)} FROM fleets")(run(names))
+@query("P14_one_hot", f"WITH {V.FLEETS} SELECT source_id, {V.DATE}, {_one_hot_sql(NATIONS)} FROM fleets")
+def p14(spark, sf):
+    """The sources of the data: those of the table of fleets, which has 25 rows."""
+    return _one_hot(spark, sf, [r[0] for r in V.table(spark, sf, "nation").select("n_name").orderBy("n_nationkey").collect()])
 
 
-_register_one_hot()
+# The model knows some of the sources only, and one that the batch lacks.
+_ALIGNED = [*NATIONS[:20], "SIN_DATOS"]
+
+
+@query("P15_one_hot_aligned", f"WITH {V.FLEETS} SELECT source_id, {V.DATE}, {_one_hot_sql(_ALIGNED)} FROM fleets")
+def p15(spark, sf):
+    known = spark.createDataFrame([(k,) for k in _ALIGNED], "source_id string")  # as a model stores them
+    return _one_hot(spark, sf, [r[0] for r in known.collect()])
 
 
 @query(
