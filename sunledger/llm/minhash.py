@@ -6,9 +6,11 @@ a pair, one half-key of either collection, so 2 * HALVES * ROWS minhashes serve
 on the full shingle sets.
 
 Documents with equal shingle sets collapse into one set before banding. In each table the members are
-compared with one of them, the pivot, so a table never emits the pairs of its members. Members whose pair
-was not confirmed, and that are not yet connected otherwise, are compared with other pivots in further
-rounds, until a round finds no new link. Labels are joined, and links are united, as distributed tables.
+compared with one of them, the pivot, so a table never emits the pairs of its members. Members that this
+leaves unconnected are then compared with neighbours in the order of the table. Two documents at the
+threshold share a quarter of all tables, each with other members, so a pair misses every comparison only
+if all those tables are crowded by documents that are alike but not near copies. Links are united as a
+distributed table.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from .components import components
 
 SIMILARITY = 80  # per cent
 ROWS, HALVES = 3, 12
+#: Beside the pivot, a member meets those that come so many places before it in a table.
+NEIGHBOURS = (1, 2, 4)
 #: Shingles that a confirming task remembers.
 HELD_SHINGLES = 2_000_000
 
@@ -169,29 +173,30 @@ def near_duplicates(docs: DataFrame, width: int, similarity: int = SIMILARITY, r
     filled = signed.select("text", f"`{name}`.*").where(F.col("set_id").isNotNull())
     one = filled.groupBy("set_id").agg(F.first("halves").alias("halves"))  # combined in every task before the shuffle
     keys = one.select("set_id", F.explode(table_keys("halves", halves)).alias("key"))
-    # Members of each table that have another one before them; running windows, so no table is held in memory.
+    # A table's members in the order of their ids: each meets the first one (the pivot) and some before it. Running
+    # windows, so no table is held in memory, and a row each, so a large table gives no more than its members.
     in_table = Window.partitionBy("key").orderBy("set_id")
-    members = materialize(keys.withColumn("pivot", F.first("set_id").over(in_table)).where("set_id <> pivot"), "tables")
-    pairs = materialize(members.select(F.col("set_id").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
+    met = keys.select("set_id", F.first("set_id").over(in_table).alias("pivot"), *(F.lag("set_id", n).over(in_table).alias(f"before_{n}") for n in NEIGHBOURS))
+    met = met.where("set_id <> pivot").select("set_id", F.explode(F.array(
+        F.struct(F.lit(0).alias("round"), F.col("pivot").alias("b")), *(F.struct(F.lit(1).alias("round"), F.col(f"before_{n}").alias("b")) for n in NEIGHBOURS)
+    )).alias("m"))
+    pairs = met.where("m.b IS NOT NULL").groupBy(F.col("set_id").alias("a"), F.col("m.b").alias("b")).agg(F.min("m.round").alias("round"))
+    pairs = materialize(pairs, "pairs")
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "candidates")
     texts = filled.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.first("text").alias("text"))
     texts = materialize(texts, "candidate-texts")
-    tested = materialize(confirm(pairs, texts, width, similarity), "tested")
-    links = tested.where("linked").select("a", "b")
+    first = materialize(confirm(pairs.where("round = 0").select("a", "b"), texts, width, similarity), "confirmed")
+    links = first.where("linked").select("a", "b")
     labels = materialize(components(links), "labels")
-    turn = 0
-    while True:
-        turn += 1
-        pairs = materialize(_open_pairs(members, labels, tested, turn), "open-pairs")
-        if not pairs.limit(1).count():
-            break
-        new = materialize(confirm(pairs, texts, width, similarity), "tested")
-        tested = tested.union(new)
-        found = new.where("linked").select("a", "b")
-        if not found.limit(1).count():
-            break
-        links = links.union(found)
-        labels = materialize(components(links), "labels")
+    # Neighbours in a table that the pivots have not connected.
+    one_label = labels.select(F.col("node").alias("a"), F.col("label").alias("label_a"))
+    other_label = labels.select(F.col("node").alias("b"), F.col("label").alias("label_b"))
+    apart = F.coalesce("label_a", "a") != F.coalesce("label_b", "b")
+    rest = pairs.where("round = 1").join(one_label, "a", "left").join(other_label, "b", "left").where(apart).select("a", "b")
+    second = materialize(confirm(rest, texts, width, similarity), "confirmed").where("linked").select("a", "b")
+    # The stars of the first round stand for its links.
+    stars = labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+    labels = materialize(components(stars.union(second)), "labels")
     set_id = F.col(f"`{name}`.set_id")
     found = T.fresh([*docs.columns, name], "found")
     named = signed.join(labels.select(F.struct("node", "label").alias(found)), set_id == F.col(f"`{found}`.node"), "left")
@@ -204,19 +209,6 @@ def group_column(docs: DataFrame) -> str:
     return T.fresh(docs.columns, "near_copies")
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame, tested: DataFrame, turn: int) -> DataFrame:
-    """Pairs for the next round: in every table whose members are not all connected, each member with a pivot drawn
-    anew by a hash, if the two are neither connected nor tested."""
-    known = labels.select(F.col("node").alias("set_id"), "label")
-    everyone = members.select("key", "set_id").union(members.select("key", F.col("pivot").alias("set_id")).distinct())
-    labelled = everyone.join(known, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    open_tables = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(F.xxhash64("set_id", "key", F.lit(turn)).alias("h"), "set_id", "label")).alias("p"))
-    open_tables = open_tables.where("low <> high").select("key", F.col("p.set_id").alias("pivot"), F.col("p.label").alias("pivot_label"))
-    pairs = labelled.join(materialize(open_tables, "open-tables"), "key").where(F.col("label") != F.col("pivot_label"))
-    pairs = pairs.select(F.greatest("set_id", "pivot").alias("a"), F.least("set_id", "pivot").alias("b")).distinct()
-    return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-
-
 def classify(docs: DataFrame, width: int, **options) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id of the group), kept (doc_id = component_id) for every row.
 
