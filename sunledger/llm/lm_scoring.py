@@ -35,9 +35,14 @@ BEGIN = 0xFFFF
 
 COUNTS = StructType([StructField("block", LongType()), StructField("bigram", LongType()), StructField("background", LongType()), StructField("target", LongType())])
 
+_ARROW_COUNTS = pa.schema([(f.name, pa.int64()) for f in COUNTS.fields])
+
 
 def in_blocks(docs: DataFrame, path: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """``docs`` (doc_id, text, is_target) -> doc_id, is_target, ids (binary, unsigned 16-bit), n, block. Null text has no tokens."""
+    """``docs`` (doc_id, text) -> doc_id, ids (binary, unsigned 16-bit), n, block. Null text has no tokens.
+
+    A document counts as one token more than it has, so that a block's number of documents is bounded too.
+    """
     fields = StructType([StructField("ids", BinaryType()), StructField("n", LongType()), StructField("block", LongType())])
 
     def factory():
@@ -48,9 +53,9 @@ def in_blocks(docs: DataFrame, path: str, block_tokens: int = BLOCK_TOKENS) -> D
             ids, counts = own.encode(texts)
             blocks = np.zeros(len(texts), np.int64)
             for i, n in enumerate(counts):
-                if held and held + n > block_tokens:
+                if held and held + n + 1 > block_tokens:
                     held, block = 0, block + 1
-                held += int(n)
+                held += int(n) + 1
                 blocks[i] = block
             offsets = np.concatenate([[0], np.cumsum(counts) * 2]).astype(np.int32)
             data = pa.py_buffer(np.ascontiguousarray(ids, "<u2"))
@@ -58,7 +63,7 @@ def in_blocks(docs: DataFrame, path: str, block_tokens: int = BLOCK_TOKENS) -> D
 
         return measure
 
-    return T.append(docs, "text", "t", fields, factory).select("doc_id", "is_target", "t.*")
+    return T.append(docs, "text", "t", fields, factory).select("doc_id", "t.*")
 
 
 def bigrams(ids: list[bytes]) -> np.ndarray:
@@ -77,45 +82,33 @@ def _add(codes: np.ndarray, counts: np.ndarray, more: np.ndarray) -> tuple[np.nd
     return merged, np.bincount(back, weights=np.concatenate([counts, n]), minlength=len(merged)).astype(np.int64)
 
 
-def count_blocks(blocks: DataFrame) -> DataFrame:
-    """block, bigram, background, target: counts of each block's distinct bigrams (a block that two tasks read has rows from both)."""
+def count_blocks(blocks: DataFrame, target_ids: DataFrame) -> DataFrame:
+    """block, bigram, background, target: counts of each block's distinct bigrams.
+
+    Texts do not move for the sake of the target: its ids meet the narrow (block, doc_id) rows, and each block gets its own.
+    """
+    members = materialize(blocks.select("block", "doc_id").join(target_ids, "doc_id", "left_semi"), "target-members")
 
-    def run(batches):
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
         empty = np.zeros(0, np.int64)
-        block, every, good, waiting, held = None, (empty, empty), (empty, empty), ([], []), 0
-
-        def fold():
-            nonlocal every, good, waiting, held
-            every = _add(*every, bigrams(waiting[0]))
-            good = _add(*good, bigrams(waiting[1]))
-            waiting, held = ([], []), 0
-
-        def rows():
-            nonlocal every, good
-            fold()
-            target = np.zeros(len(every[0]), np.int64)
-            target[np.searchsorted(every[0], good[0])] = good[1]
-            for a in range(0, len(every[0]), 50_000):
-                part = slice(a, a + 50_000)
-                n = len(every[0][part])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(every[0][part]), pa.array(every[1][part]), pa.array(target[part])], names=COUNTS.names)
-            every, good = (empty, empty), (empty, empty)
-
-        for batch in batches:
-            for where, is_target, ids in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if where != block and block is not None:
-                    yield from rows()
-                block = where
-                waiting[0].append(ids)
-                if is_target:
-                    waiting[1].append(ids)
-                held += len(ids) // 2
-                if held >= 4 * RUN_TOKENS:
-                    fold()
-        if block is not None:
-            yield from rows()
-
-    return blocks.select("block", "is_target", "ids").mapInArrow(run, COUNTS)
+        every, good, waiting, held = (empty, empty), (empty, empty), ([], []), 0
+        chosen = set(right.column("doc_id").to_pylist())
+        ids, names = left.column("ids").to_pylist(), left.column("doc_id").to_pylist()
+        for i, (name, own) in enumerate(zip(names, ids)):
+            waiting[0].append(own)
+            if name in chosen:
+                waiting[1].append(own)
+            held += len(own) // 2
+            if held >= 4 * RUN_TOKENS or i == len(ids) - 1:
+                every, good = _add(*every, bigrams(waiting[0])), _add(*good, bigrams(waiting[1]))
+                waiting, held = ([], []), 0
+        target = np.zeros(len(every[0]), np.int64)
+        target[np.searchsorted(every[0], good[0])] = good[1]
+        block = (left if left.num_rows else right).column("block")[0].as_py()
+        return pa.table({"block": np.full(len(every[0]), block), "bigram": every[0], "background": every[1], "target": target}, schema=_ARROW_COUNTS)
+
+    left, right = blocks.select("block", "doc_id", "ids").groupBy("block"), members.select("block", "doc_id").groupBy("block")
+    return left.cogroup(right).applyInArrow(count, COUNTS)
 
 
 def totals(counts: DataFrame) -> DataFrame:
@@ -161,11 +154,9 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, path: str, block_tok
     losses and score. Repeated rows count as often as they occur and are scored alike. Without target
     documents the target model is the uniform one.
     """
-    good = target_ids.where(F.col("doc_id").isNotNull()).select("doc_id", F.lit(True).alias("is_target")).distinct()
-    good = materialize(good, "target-ids")
-    flagged = docs.select("doc_id", "text").join(good, "doc_id", "left").select("doc_id", "text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
-    stored = materialize(in_blocks(flagged, path, block_tokens), "token-blocks")
-    total = materialize(totals(count_blocks(stored)), "bigram-totals")
+    good = target_ids.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    stored = materialize(in_blocks(docs.select("doc_id", "text"), path, block_tokens), "token-blocks")
+    total = materialize(totals(count_blocks(stored, good)), "bigram-totals")
     from tokenizers import Tokenizer
 
     models = sums(total, Tokenizer.from_file(path).get_vocab_size())
