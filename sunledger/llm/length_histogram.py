@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sunledger.storage import materialize
+
 from . import tokens
 
-BLOCK = 1024
+BLOCK = 128
 
 
 def histogram(docs: DataFrame, path: str) -> DataFrame:
@@ -24,6 +26,7 @@ def histogram(docs: DataFrame, path: str) -> DataFrame:
 def with_suffix_sums(table: DataFrame) -> DataFrame:
     """Histogram rows with n_tokens, docs_at_least, tokens_at_least (both from this length on), truncated_total (tokens of
     all documents cut at this length) and share_at_most (of documents). An empty table stays empty."""
+    table = materialize(table, "histogram")  # read three times; as small as the number of different lengths
     table = table.select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("n_tokens"), F.expr(f"length div {BLOCK}").alias("block"))
     later = Window.orderBy(F.col("block").desc())  # one row per block of lengths
     blocks = (
