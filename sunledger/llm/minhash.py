@@ -6,11 +6,12 @@ a pair, one half-key of either collection, so 2 * HALVES * ROWS minhashes serve
 on the full shingle sets.
 
 Documents with equal shingle sets collapse into one set before banding. In each table the members are
-compared with one of them, the pivot, so a table never emits the pairs of its members. Members that this
-leaves unconnected are then compared with neighbours in the order of the table. Two documents at the
-threshold share a quarter of all tables, each with other members, so a pair misses every comparison only
-if all those tables are crowded by documents that are alike but not near copies. Links are united as a
-distributed table.
+compared with one of them, the pivot, so this round never emits the pairs of its members. What it leaves
+apart is then compared pair by pair: sets that share a table and are not connected meet in groups of one
+half-key, split into pairs of blocks, with a bitmap of their shingles that bounds the intersection from
+above. Only pairs that the bound rules out are not confirmed, so no pair that meets in a table is lost.
+First each set's most promising partner is confirmed, a few times while that connects something, then all
+that is still apart. Links are united as a distributed table.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType, StructField, StructType, ArrayType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructField, StructType
 
 from sunledger.session import ship_package
 from sunledger.storage import materialize
@@ -30,14 +31,19 @@ from .components import components
 
 SIMILARITY = 80  # per cent
 ROWS, HALVES = 3, 12
-#: Beside the pivot, a member meets those that come so many places before it in a table.
-NEIGHBOURS = (1, 2, 4)
+#: Bits of a set's bitmap, and sets in a block of those that are compared pair by pair.
+BITS, BLOCK = 4096, 512
+#: So many times at most the most promising partners are confirmed before all that is still apart.
+ROUNDS = 4
+#: Pairs whose bitmaps are compared at once.
+CHUNK = 1 << 15
 #: Shingles that a confirming task remembers.
 HELD_SHINGLES = 2_000_000
 
 FIELDS = StructType(
     [StructField("n_shingles", LongType()), StructField("set_id", LongType()), StructField("halves", ArrayType(LongType()))]
 )
+SKETCH = StructType([StructField("n_shingles", LongType()), StructField("halves", ArrayType(LongType())), StructField("bits", BinaryType())])
 
 
 class WordHashes(dict):
@@ -104,18 +110,99 @@ def with_signature(docs: DataFrame, name: str, width: int, rows: int = ROWS, hal
             starts = np.cumsum(sizes) - sizes
             ids = [xxhash.xxh3_64_intdigest(values[a : a + n].tobytes()) for a, n in zip(starts, sizes)]
             empty = sizes == 0
-            offsets = np.arange(0, (len(sizes) + 1) * 2 * halves, 2 * halves, dtype=np.int32)
-            return [
-                sizes,
-                pa.array(np.array(ids, np.uint64).view(np.int64), mask=empty),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1).view(np.int64))),
-            ]
+            return [sizes, pa.array(np.array(ids, np.uint64).view(np.int64), mask=empty), _lists(keys)]
 
         return measure
 
     return T.append(docs, "text", name, FIELDS, factory)
 
 
+def _lists(keys: np.ndarray) -> pa.ListArray:
+    offsets = np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1).view(np.int64)))
+
+
+def bitmaps(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each set BITS bits as bytes; a bit is on if a shingle of the set falls on it."""
+    on = np.zeros((len(sizes), BITS), bool)
+    on[np.repeat(np.arange(len(sizes)), sizes), (values % np.uint64(BITS)).astype(np.int64)] = True
+    return np.packbits(on, axis=1)
+
+
+def with_sketch(texts: DataFrame, name: str, width: int, rows: int, halves: int) -> DataFrame:
+    """``texts`` with struct ``name``: n_shingles, halves, bits."""
+
+    def factory():
+        def measure(texts):
+            values, sizes = shingles(texts, width)
+            bits = [row.tobytes() for row in bitmaps(values, sizes)]
+            return [sizes, _lists(half_keys(values, sizes, rows, halves)), pa.array(bits, pa.binary())]
+
+        return measure
+
+    return T.append(texts, "text", name, SKETCH, factory)
+
+
+def most_shared(sizes_a: np.ndarray, bits_a: np.ndarray, sizes_b: np.ndarray, bits_b: np.ndarray) -> np.ndarray:
+    """An upper bound of the intersections: a bit that only one set has on stands for a shingle that the other lacks."""
+    only_a = np.bitwise_count(bits_a & ~bits_b).sum(axis=1, dtype=np.int64)
+    only_b = np.bitwise_count(bits_b & ~bits_a).sum(axis=1, dtype=np.int64)
+    return np.minimum(sizes_a - only_a, sizes_b - only_b)
+
+
+def _compare(similarity: int, halves: int, every: bool):
+    schema = StructType([StructField("a", LongType()), StructField("b", LongType())])
+
+    def run(table):
+        ids, label, size, block = (table.column(c).to_numpy() for c in ("set_id", "label", "n_shingles", "block"))
+        keys = table.column("halves").combine_chunks().flatten().to_numpy().reshape(len(ids), 2 * halves)
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(ids), -1)
+        half, one, two = (table.column(c)[0].as_py() for c in ("half", "one", "two"))
+        left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
+        apart = label[left][:, None] != label[right]
+        apart &= 100 * np.minimum(size[left][:, None], size[right]) >= similarity * np.maximum(size[left][:, None], size[right])
+        for k in range(half):  # pairs that share an earlier half-key meet there
+            apart &= keys[left, k][:, None] != keys[right, k]
+        met = np.zeros_like(apart)
+        for k in range(halves, 2 * halves):
+            met |= keys[left, k][:, None] == keys[right, k]
+        apart &= met
+        i, j = np.nonzero(np.triu(apart, 1) if one == two else apart)
+        i, j = left[i], right[j]
+        both = np.zeros(len(i), np.int64)
+        for at in range(0, len(i), CHUNK):
+            x, y = i[at : at + CHUNK], j[at : at + CHUNK]
+            both[at : at + CHUNK] = most_shared(size[x], bits[x], size[y], bits[y])
+        union = size[i] + size[j] - both
+        may = 100 * both >= similarity * union
+        i, j, near = i[may], j[may], both[may] / union[may]
+        if not every and len(i):
+            order = np.argsort(-near, kind="stable")
+            order = order[np.unique(np.concatenate([np.unique(side[order], return_index=True)[1] for side in (i, j)]))]
+            i, j = i[order], j[order]
+        return pa.table({"a": np.maximum(ids[i], ids[j]), "b": np.minimum(ids[i], ids[j])})
+
+    return run, schema
+
+
+def apart(sketches: DataFrame, labels: DataFrame, similarity: int, halves: int, every: bool) -> DataFrame:
+    """Pairs (a, b) of sets that meet in a table, have different labels and may be similar: for each set and group the most
+    promising one, or with ``every`` all. A pair shares a table if it shares a half-key of either collection; it is found
+    under the first one of the first collection, so a set has ``halves`` rows and not one for each table."""
+    found = labels.select(F.col("node").alias("set_id"), F.col("label").alias("found"))
+    named = sketches.join(found, "set_id", "left").withColumn("label", F.coalesce("found", "set_id")).drop("found")
+    named = materialize(named, "apart")
+    narrow = named.select("label", F.posexplode(F.slice("halves", 1, halves)).alias("half", "key"))
+    sizes = narrow.groupBy("half", "key").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most"))
+    sizes = materialize(sizes.where("least <> most").select("half", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "apart-sizes")
+    spread = named.select("*", F.posexplode(F.slice("halves", 1, halves)).alias("half", "key")).join(sizes, ["half", "key"])
+    spread = spread.withColumn("block", F.pmod(F.xxhash64("set_id", "key"), F.col("blocks")).cast("int"))
+    spread = spread.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.withColumn("one", F.least("block", "partner")).withColumn("two", F.greatest("block", "partner"))
+    run, schema = _compare(similarity, halves, every)
+    return spread.groupBy("half", "key", "one", "two").applyInArrow(run, schema)
+
+
 def table_keys(halves_column: str, halves: int) -> Column:
     """The HALVES**2 table keys: every half-key of the first collection with every one of the second."""
     column = F.col(halves_column)
@@ -173,30 +260,33 @@ def near_duplicates(docs: DataFrame, width: int, similarity: int = SIMILARITY, r
     filled = signed.select("text", f"`{name}`.*").where(F.col("set_id").isNotNull())
     one = filled.groupBy("set_id").agg(F.first("halves").alias("halves"))  # combined in every task before the shuffle
     keys = one.select("set_id", F.explode(table_keys("halves", halves)).alias("key"))
-    # A table's members in the order of their ids: each meets the first one (the pivot) and some before it. Running
-    # windows, so no table is held in memory, and a row each, so a large table gives no more than its members.
-    in_table = Window.partitionBy("key").orderBy("set_id")
-    met = keys.select("set_id", F.first("set_id").over(in_table).alias("pivot"), *(F.lag("set_id", n).over(in_table).alias(f"before_{n}") for n in NEIGHBOURS))
-    met = met.where("set_id <> pivot").select("set_id", F.explode(F.array(
-        F.struct(F.lit(0).alias("round"), F.col("pivot").alias("b")), *(F.struct(F.lit(1).alias("round"), F.col(f"before_{n}").alias("b")) for n in NEIGHBOURS)
-    )).alias("m"))
-    pairs = met.where("m.b IS NOT NULL").groupBy(F.col("set_id").alias("a"), F.col("m.b").alias("b")).agg(F.min("m.round").alias("round"))
+    # Each member of a table meets the one with the smallest id, the pivot. A running window, so no table is held in
+    # memory, and a row each, so a large table gives no more than its members.
+    pivot = F.first("set_id").over(Window.partitionBy("key").orderBy("set_id"))
+    pairs = keys.select(F.col("set_id").alias("a"), pivot.alias("b")).where("a <> b").distinct()
     pairs = materialize(pairs, "pairs")
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "candidates")
     texts = filled.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.first("text").alias("text"))
     texts = materialize(texts, "candidate-texts")
-    first = materialize(confirm(pairs.where("round = 0").select("a", "b"), texts, width, similarity), "confirmed")
-    links = first.where("linked").select("a", "b")
-    labels = materialize(components(links), "labels")
-    # Neighbours in a table that the pivots have not connected.
+    labels = _united(None, confirm(pairs, texts, width, similarity))[0]
+    # Members of a table that are apart: one of them at least is apart from the pivot, and the pivot has met them both.
     one_label = labels.select(F.col("node").alias("a"), F.col("label").alias("label_a"))
     other_label = labels.select(F.col("node").alias("b"), F.col("label").alias("label_b"))
-    apart = F.coalesce("label_a", "a") != F.coalesce("label_b", "b")
-    rest = pairs.where("round = 1").join(one_label, "a", "left").join(other_label, "b", "left").where(apart).select("a", "b")
-    second = materialize(confirm(rest, texts, width, similarity), "confirmed").where("linked").select("a", "b")
-    # The stars of the first round stand for its links.
-    stars = labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
-    labels = materialize(components(stars.union(second)), "labels")
+    open_pair = F.coalesce("label_a", "a") != F.coalesce("label_b", "b")
+    pivots = pairs.join(one_label, "a", "left").join(other_label, "b", "left").groupBy("b").agg(F.count("*").alias("n"), F.max(open_pair).alias("open"))
+    pivots = materialize(pivots.where("open AND n > 1").select("b"), "open-pivots")
+    rest = materialize(pairs.join(pivots, "b", "left_semi").select(F.col("a").alias("set_id")).distinct(), "open-sets")
+    sketches = with_sketch(texts.join(rest, "set_id", "left_semi"), "sketch", width, rows, halves).select("set_id", "sketch.*")
+    sketches = materialize(sketches, "sketches")
+    for turn in range(ROUNDS):
+        best = materialize(apart(sketches, labels, similarity, halves, False), "best")
+        if not best.limit(1).count():
+            break
+        labels, linked = _united(labels, confirm(best, texts, width, similarity))
+        if not linked or turn == ROUNDS - 1:
+            every = materialize(apart(sketches, labels, similarity, halves, True), "every")
+            labels = _united(labels, confirm(every, texts, width, similarity))[0]
+            break
     set_id = F.col(f"`{name}`.set_id")
     found = T.fresh([*docs.columns, name], "found")
     named = signed.join(labels.select(F.struct("node", "label").alias(found)), set_id == F.col(f"`{found}`.node"), "left")
@@ -205,6 +295,17 @@ def near_duplicates(docs: DataFrame, width: int, similarity: int = SIMILARITY, r
     return named.select(*docs.columns, group.alias(name))
 
 
+def _united(labels: DataFrame | None, confirmed: DataFrame) -> tuple[DataFrame, bool]:
+    """``labels`` with the links of ``confirmed``, and whether there are any. The stars of ``labels`` stand for its links."""
+    links = materialize(confirmed, "confirmed").where("linked").select("a", "b")
+    linked = links.limit(1).count() > 0
+    if labels is not None:
+        if not linked:
+            return labels, False
+        links = labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")).union(links)
+    return materialize(components(links), "labels"), linked
+
+
 def group_column(docs: DataFrame) -> str:
     return T.fresh(docs.columns, "near_copies")
 

@@ -84,6 +84,30 @@ def test_one_common_passage_links_nothing_and_a_dense_group_is_one(spark):
     assert got == {i: min(i, 200) for i in range(500)}
 
 
+@pytest.mark.parametrize("copies", [300, 2000])
+def test_copies_edited_independently_all_meet_their_original(spark, copies):
+    rng = random.Random(copies)
+    original = [f"o{i}" for i in range(1001)]
+    rows = [(copies, " ".join(original))]
+    for i in range(copies):  # about 0.85 to the original, 0.73 to each other
+        own = list(original)
+        for at in rng.sample(range(0, 1001, 2), 40):
+            own[at] = f"e{rng.randrange(10**9)}"
+        rows.append((i, " ".join(own)))
+    got = minhash.classify(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), 2).collect()
+    assert len(got) == copies + 1 and {r.component_id for r in got} == {0}
+
+
+def test_the_bound_of_bitmaps_is_never_below_the_intersection():
+    rng = np.random.default_rng(6)
+    for size in (1, 30, 1000, 20_000):
+        pool = rng.integers(0, 2**63, size * 2).astype(np.uint64)
+        a, b = (np.unique(rng.choice(pool, size)) for _ in range(2))
+        n = np.array([len(a), len(b)])
+        bits = np.ascontiguousarray(minhash.bitmaps(np.concatenate([a, b]), n)).view(np.uint64)
+        assert minhash.most_shared(n[:1], bits[:1], n[1:], bits[1:])[0] >= len(np.intersect1d(a, b))
+
+
 def test_near_dedup_of_hostile_rows(spark):
     got = sorted(tuple(r) for r in minhash.classify(llm_cases.hostile(spark), 2).collect() if r.doc_id is not None)
     want = {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 7, 8: 7, 9: 9, 10: 10, 11: 11, 12: 12, 13: 13}
