@@ -4,7 +4,8 @@ A public vocabulary with byte fallback is applied to every whole text. Three mea
 text fits it: characters per token, share of byte-fallback tokens, and entropy of the tokens. A text is
 rejected if a measure lies outside the band of its language (of its script, where the language is not
 known). Bands are robust: the median of all documents of that group and size class, plus or minus a
-multiple of the spread between the quartiles, never narrower than a floor.
+multiple of the median absolute deviation, never narrower than a floor, so junk may be up to half of the
+documents. A class with few documents borrows its bands and never draws them from those few.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ from . import texts as T
 WINDOW = 8
 #: Limits of the base rules: fewest words, and the largest share of words in repeated windows (per cent).
 MIN_WORDS, MAX_REPEATED = 20, 30
-#: Width of a band in quartile distances, and the least half-width of each measure, relative to its median or absolute.
+#: Width of a band in quartile distances (twice the median absolute deviation), and the least half-width of each measure, relative to its median or absolute.
 WIDTH, FLOOR_RATIO, FLOOR_SHARE, FLOOR_ENTROPY = 3.0, 0.08, 0.05, 0.12
-#: Groups smaller than this borrow the bands of their script and size class.
+#: Size classes of a group with fewer documents borrow the bands of its nearest one; a language without any, those of its script.
 MIN_GROUP = 30
+#: Quantiles that stand for a group's documents, and the size class that means all sizes.
+QUANTILES, ALL_SIZES = [(k + 0.5) / 200 for k in range(200)], -1
 
 LONGS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens"]
 DOUBLES = ["chars_per_token", "byte_share", "token_entropy"]
@@ -184,36 +187,58 @@ def bands(measured: DataFrame, name: str) -> DataFrame:
     """band_group, size_class and for each measure low and high, over the documents that pass the base rules.
 
     A group is a language, or a script for documents without one. Percentiles merge as sketches, so a hot
-    language is summed up in every task before the shuffle. Two rows per document enter the aggregate: one
-    for its language and one for its script, which stands in for small groups.
+    language is summed up in every task before the shuffle. Three rows per document enter the aggregate: for
+    its language, its script, and its script at all sizes. A size class with less than MIN_GROUP documents has
+    the bands of the group's nearest class with so many. Where there is none, a script has those of all sizes
+    and a language no row.
     """
-    script = F.concat(F.lit("script:"), F.col(f"`{name}`.script"))
-    rows = measured.where(~base_failed(name)).select(
-        F.explode(F.array_distinct(F.array(_group(name), script))).alias("band_group"), _size_class(name).alias("size_class"),
-        *(F.col(f"`{name}`.{m}").alias(m) for m in DOUBLES),
-    )
-    quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 2000).alias(m) for m in DOUBLES]
-    table = rows.groupBy("band_group", "size_class").agg(F.count("*").alias("n"), *quartiles)
+    script, size = F.concat(F.lit("script:"), F.col(f"`{name}`.script")), _size_class(name)
+    groups = F.array(*(F.struct(g.alias("band_group"), c.alias("size_class")) for g, c in ((_group(name), size), (script, size), (script, F.lit(ALL_SIZES)))))
+    rows = measured.where(~base_failed(name)).select(F.explode(F.array_distinct(groups)).alias("g"), *(F.col(f"`{name}`.{m}").alias(m) for m in DOUBLES))
+    quantiles = [F.percentile_approx(m, [0.5, *QUANTILES], 2000).alias(m) for m in DOUBLES]
+    table = rows.groupBy("g").agg(F.count("*").alias("n"), *quantiles)
 
     def half(m: str, floor: Column) -> Column:
-        return F.greatest(WIDTH * (F.col(m)[2] - F.col(m)[0]), floor)
+        middle = F.col(m)[0]
+        away = F.sort_array(F.transform(F.slice(F.col(m), 2, len(QUANTILES)), lambda q: F.abs(q - middle)))
+        return F.greatest(WIDTH * 2 * away[len(QUANTILES) // 2 - 1], floor)
 
     halves = {
-        "chars_per_token": half("chars_per_token", FLOOR_RATIO * F.col("chars_per_token")[1]),
+        "chars_per_token": half("chars_per_token", FLOOR_RATIO * F.col("chars_per_token")[0]),
         "byte_share": half("byte_share", F.lit(FLOOR_SHARE)),
         "token_entropy": half("token_entropy", F.lit(FLOOR_ENTROPY)),
     }
-    return table.select(
-        "band_group", "size_class", "n",
-        *(F.struct((F.col(m)[1] - w).alias("low"), (F.col(m)[1] + w).alias("high")).alias(m) for m, w in halves.items()),
+    drawn = table.select(
+        "g.*", "n", *(F.struct((F.col(m)[0] - w).alias("low"), (F.col(m)[0] + w).alias("high")).alias(m) for m, w in halves.items())
+    )
+    return _lent(materialize(drawn, "fertility-bands-drawn"))
+
+
+def _lent(drawn: DataFrame) -> DataFrame:
+    """``drawn`` with the bands of thin size classes replaced by borrowed ones."""
+    thin = (F.col("n") < MIN_GROUP) & (F.col("size_class") != ALL_SIZES)
+    lender = F.struct("size_class", *DOUBLES).alias("lender")
+    lenders = drawn.where(~thin).select("band_group", lender)
+    distance = F.when(F.col("lender.size_class") == ALL_SIZES, F.lit(1 << 20)).otherwise(F.abs(F.col("lender.size_class") - F.col("size_class")))
+    nearest = F.min_by("lender", F.struct(distance, F.col("lender.size_class"))).alias("lender")
+    found = drawn.where(thin).join(lenders, "band_group").groupBy("band_group", "size_class", "n").agg(nearest)
+    # The entropy in bits does not fall with a text's length, its share of the most does not rise.
+    bits, own = 2 * F.col("lender.size_class") + 1, 2 * F.col("size_class") + 1
+    near = F.col("lender.size_class") != ALL_SIZES
+    entropy = F.struct(
+        F.when(near & (own > bits), F.col("lender.token_entropy.low") * bits / own).otherwise(F.col("lender.token_entropy.low")).alias("low"),
+        F.when(near & (own < bits), F.col("lender.token_entropy.high") * bits / own).otherwise(F.col("lender.token_entropy.high")).alias("high"),
     )
+    borrowed = found.select("band_group", "size_class", "n", "lender.chars_per_token", "lender.byte_share", entropy.alias("token_entropy"))
+    return drawn.where(~thin).unionByName(borrowed)
 
 
 def with_verdict(measured: DataFrame, name: str, table: DataFrame, verdict: str) -> DataFrame:
     """``measured`` with boolean ``verdict``: passes the base rules and lies in all bands. ``table`` is a stored result of
-    ``bands``: Spark sees its size and broadcasts it only if it is small. A document whose group has no band passes."""
+    ``bands``: Spark sees its size and broadcasts it only if it is small. It has a row for the script and size class of every
+    document that passes the base rules."""
     script = F.concat(F.lit("script:"), F.col(f"`{name}`.script"))
-    own, other = table.where(F.col("n") >= MIN_GROUP).alias("own"), table.alias("other")
+    own, other = table.alias("own"), table.alias("other")
     joined = (
         measured.alias("row")
         .join(own, (_group(name) == F.col("own.band_group")) & (_size_class(name) == F.col("own.size_class")), "left")
@@ -222,7 +247,7 @@ def with_verdict(measured: DataFrame, name: str, table: DataFrame, verdict: str)
     inside = F.lit(True)
     for m in DOUBLES:
         band = F.coalesce(F.col(f"own.{m}"), F.col(f"other.{m}"))
-        inside = inside & F.coalesce(F.col(f"`{name}`.{m}").between(band["low"], band["high"]), F.lit(True))
+        inside = inside & F.coalesce(F.col(f"`{name}`.{m}").between(band["low"], band["high"]), F.lit(False))
     return joined.select("row.*", (~base_failed(name) & inside).alias(verdict))
 
 

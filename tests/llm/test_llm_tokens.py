@@ -193,3 +193,29 @@ def test_scoring_without_documents_or_target(spark):
     assert lm_scoring.score_documents(llm_cases.empty(spark), none, PATH).count() == 0
     (row,) = lm_scoring.score_documents(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), none, PATH).collect()
     assert math.isclose(row.target_loss, math.log(49408))
+
+
+def clean_and_junk(rng, n, junk):
+    """Rows of clean English of about one length, and as many of ``junk`` texts of the same length."""
+    known = "the people of this city have a long history and many of them work in small shops near the river where they sell bread fish and other food every day".split()
+    clean = [(i, " ".join(rng.choice(known) for _ in range(rng.randrange(80, 120))), "en") for i in range(n)]
+    odd = [(10_000 + i, " ".join("".join(rng.choice("qxzjkvwbp") for _ in range(8)) for _ in range(rng.randrange(80, 120))), "en") for i in range(junk)]
+    return clean, odd
+
+
+def test_junk_in_a_third_of_a_language_is_rejected(spark):
+    clean, junk = clean_and_junk(random.Random(8), 200, 100)
+    docs = spark.createDataFrame(clean + junk, "doc_id long, text string, lang string").repartition(3)
+    kept = {r.doc_id for r in fertility.judge(docs, PIECES).collect() if r.kept}
+    assert not kept & {i for i, _, _ in junk} and len(kept) >= 190
+
+
+@pytest.mark.parametrize("lang", ["en", None, "xx"])
+def test_a_lone_very_long_junk_text_is_rejected_and_a_clean_one_stays(spark, lang):
+    rng = random.Random(9)
+    clean, junk = clean_and_junk(rng, 200, 200)
+    long_clean = (20_000, " ".join(t for _, t, _ in clean), lang)
+    odd = (20_001, " ".join(t for _, t, _ in junk), lang)
+    docs = spark.createDataFrame([*clean, long_clean, odd], "doc_id long, text string, lang string").repartition(3)
+    kept = {r.doc_id for r in fertility.judge(docs, PIECES).collect() if r.kept}
+    assert 20_001 not in kept and 20_000 in kept
