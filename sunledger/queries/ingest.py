@@ -13,7 +13,7 @@ from sunledger.queries.registry import query
 from sunledger.sinks import tables
 from sunledger.sources import history as H
 from sunledger.sources import readings as src
-from sunledger.storage import scratch_path
+from sunledger.storage import materialize, scratch_path
 
 _M = ", ".join(S.MEASURES)
 
@@ -79,11 +79,20 @@ def _flat_history(records):
     )
 
 
+#: Records of a site in one JSON array, about.
+ARRAY_RECORDS = 10_000
+
+
 @query("S06_json_history", _HISTORY_SQL)
 def s06(spark, sf):
-    """One JSON array per site, as the files of the history are."""
+    """JSON arrays of one site's records, as the files of the history are; a site with many records has several."""
     path = scratch_path(spark, "s06")
-    records = _history(spark, sf).groupBy("empresa").agg(F.collect_list(F.struct(*S.HISTORY_SCHEMA.names)).alias("r"))
+    # Any deal will do, as long as it is stored: every record is in one array.
+    history = materialize(_history(spark, sf).withColumn("deal", F.rand(0)), "s06-history")
+    parts = history.groupBy("empresa").agg(F.ceil(F.count("*") / ARRAY_RECORDS).alias("parts"))
+    dealt = history.alias("h").join(parts.alias("p"), F.col("h.empresa").eqNullSafe(F.col("p.empresa")))
+    part = F.floor(F.col("h.deal") * F.col("parts")).alias("part")
+    records = dealt.select("h.*", part).groupBy("empresa", "part").agg(F.collect_list(F.struct(*S.HISTORY_SCHEMA.names)).alias("r"))
     records.select(F.to_json("r").alias("value")).repartition(8, "value").write.option("lineSep", "\n").text(f"{path}/lines")
     # A file may hold one array only, so each line becomes a file of its own.
     lines = spark.read.text(f"{path}/lines")

@@ -1,9 +1,10 @@
+import glob
 import os
 
 import compare
 import pytest
 
-from sunledger.queries import ORACLES, QUERIES
+from sunledger.queries import ORACLES, QUERIES, ingest, prediction
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -26,3 +27,20 @@ def test_entry_has_rows(spark):
 
     assert entry.entry(spark).count() == 10
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_a_large_site_has_several_json_arrays(spark, database, monkeypatch, tmp_path):
+    monkeypatch.setattr(ingest, "ARRAY_RECORDS", 100)
+    monkeypatch.setattr(ingest, "scratch_path", lambda spark, name: f"{tmp_path}/{name}")
+    got = QUERIES["S06_json_history"](spark, SF_DIR).toPandas()
+    assert compare.compare(got, database.execute(ORACLES["S06_json_history"]).df()) is None
+    assert len(glob.glob(f"{tmp_path}/s06/arrays/n=*")) > got.site_id.nunique()
+
+
+def test_parts_of_the_trend_stream_keep_their_partitions(spark, database, monkeypatch, tmp_path):
+    whole = prediction.V.stressed
+    monkeypatch.setattr(prediction.V, "stressed", lambda spark, sf: whole(spark, sf).repartition(4))
+    monkeypatch.setattr(prediction, "scratch_path", lambda spark, name: f"{tmp_path}/{name}")
+    got = QUERIES["T04_stream_trends"](spark, SF_DIR).toPandas()
+    assert compare.compare(got, database.execute(ORACLES["T04_stream_trends"]).df()) is None
+    assert len(glob.glob(f"{tmp_path}/t04/in/*.parquet")) > 3
