@@ -32,7 +32,7 @@ from .components import components
 SIMILARITY = 80  # per cent
 ROWS, HALVES = 3, 12
 #: Bits of a set's bitmap, and sets in a block of those that are compared pair by pair.
-BITS, BLOCK = 4096, 512
+BITS, BLOCK = 4096, 1024
 #: So many times at most the most promising partners are confirmed before all that is still apart.
 ROUNDS = 4
 #: Pairs whose bitmaps are compared at once.
