@@ -99,4 +99,96 @@ SELECT r.doc_id, r.size, r.source_size, r.target,
 FROM r LEFT JOIN n ON r.source IS NOT DISTINCT FROM n.source AND r.h = n.h
 """
 
-ORACLES = {"op1_minhash_near_dedup": OP1, "op4_embedding_forest": OP4, "op7_source_mixing": OP7}
+OP11 = r"""
+WITH
+    l AS (
+        SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i
+        FROM documents
+    ),
+    k AS (
+        SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+        FROM l
+    ),
+    r AS (SELECT key, max(doc_id) AS holder FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+    m AS (SELECT k.*, r.key IS NOT NULL AND k.doc_id <> r.holder AS gone FROM k LEFT JOIN r ON r.key = k.key)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+_TERMS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP12 = f"""
+WITH
+    d AS (SELECT doc_id, {_TERMS.format('text')} AS t FROM documents),
+    n AS (SELECT doc_id, t, len(t)::BIGINT AS n FROM d WHERE len(t) > 0),
+    c AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM n),
+    q AS (SELECT item_id, term, count(*)::BIGINT AS times FROM (SELECT item_id, unnest({_TERMS.format('text')}) AS term FROM benchmark) GROUP BY ALL),
+    p AS (
+        SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(t) AS term FROM n)
+        WHERE term IN (SELECT term FROM q) GROUP BY ALL
+    ),
+    w AS (
+        SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+        FROM (SELECT term, count(*)::BIGINT AS df FROM p GROUP BY term), c
+    ),
+    s AS (
+        SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+        FROM q JOIN w USING (term) JOIN p USING (term), c GROUP BY ALL
+    )
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20
+"""
+
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, [ascii(c)::BIGINT for c in string_split(doc_id::VARCHAR, '')]),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda v, k: xor(v >> 1, 3988292384 * (v & 1)))))"""
+
+OP13 = f"""
+WITH
+    g AS (
+        SELECT doc_id, coalesce({WORDS.format('text')}, []) AS w, {_CRC32} AS h FROM documents
+    ),
+    m AS (
+        SELECT doc_id, w, len(w)::BIGINT AS n, h % 10 = 0 AND len(w) > 0 AS planted, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a,
+            3 + (h // 10) % 8 AS d
+        FROM g
+    ),
+    d AS (
+        SELECT doc_id, n, CASE WHEN planted THEN [w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // d) END] for i in range(n)]
+            ELSE w END AS w
+        FROM m
+    ),
+    x AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM d),
+    equal AS (
+        SELECT a.doc_id, a.i, b.i - a.i AS q FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.word = b.word AND a.i < b.i
+        WHERE 4 * (b.i - a.i) <= a.n
+    ),
+    islands AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM equal),
+    stretches AS (
+        SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM islands GROUP BY doc_id, q, island
+        HAVING count(*) + q >= greatest(6, 4 * q)
+    ),
+    runs AS (
+        SELECT * FROM stretches s WHERE NOT EXISTS (
+            SELECT 1 FROM stretches t
+            WHERE t.doc_id = s.doc_id AND t.q < s.q AND t.start <= s.start AND t.start + t.length >= s.start + s.length)
+    ),
+    found AS (
+        SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS shown FROM runs GROUP BY doc_id
+    ),
+    best AS (
+        SELECT * FROM runs r WHERE NOT EXISTS (
+            SELECT 1 FROM runs o WHERE o.doc_id = r.doc_id AND (o.length * r.q > r.length * o.q
+                OR o.length * r.q = r.length * o.q AND (o.start, o.q) < (r.start, r.q)))
+    ),
+    dropped AS (SELECT DISTINCT doc_id, unnest(range(start + q, start + length)) AS i FROM runs),
+    kept AS (
+        SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.i) AS rest FROM x ANTI JOIN dropped USING (doc_id, i) GROUP BY x.doc_id
+    )
+SELECT d.doc_id, coalesce(f.n_runs, 0)::BIGINT AS n_runs, b.start::BIGINT AS start, b.length::BIGINT AS length, b.q::BIGINT AS period,
+    ((1000 * b.length) // b.q)::BIGINT AS exponent_milli, sha256(coalesce(f.shown, '')) AS runs_sha256, sha256(coalesce(k.rest, '')) AS collapsed_sha256
+FROM d LEFT JOIN found f ON f.doc_id = d.doc_id LEFT JOIN best b ON b.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
+
+ORACLES = {"op1_minhash_near_dedup": OP1, "op4_embedding_forest": OP4, "op7_source_mixing": OP7, "op11_line_dedup": OP11, "op12_lexical_search": OP12, "op13_periodic_runs": OP13}

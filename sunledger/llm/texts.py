@@ -6,6 +6,7 @@ in runs of a few megabytes, so the working memory of a task is bounded by the lo
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,6 +20,7 @@ from sunledger.session import ship_package
 RUN_BYTES = 4 << 20
 #: Distinct words that a worker remembers; beyond that it starts again with an empty table.
 MEMORY_WORDS = 700_000
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def fresh(columns: list[str], name: str) -> str:
@@ -125,6 +127,18 @@ def split_words(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray]:
     return words, counts
 
 
+def sliced_words(text: bytes | None, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of one text as ``split_words`` gives them, in lists for about ``size`` bytes each."""
+    start, end = 0, len(text or b"")
+    while start < end:
+        stop = _SPACE.search(text, min(start + size, end))
+        stop = stop.end() if stop else end
+        words = text[start:stop].split()
+        if words:
+            yield words
+        start = stop
+
+
 def starts_of(counts: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
 
