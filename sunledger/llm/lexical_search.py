@@ -198,6 +198,8 @@ def best_documents(stored: DataFrame, queries: list[tuple[np.ndarray, np.ndarray
 
     def run(batches):
         best = [Best(k) for _ in asked.value]
+        if not best:
+            return
         for lists in blocks(batches, many, n_docs, n_terms):
             for (query, weights), found in zip(asked.value, best):
                 lists.search(query, weights, found)

@@ -186,7 +186,8 @@ def drop_repeated_lines(docs: DataFrame, least_documents: int = 3, least_length:
             lists = batch.column(batch.schema.get_field_index(name))
             kept, n_lines, n_dropped = [], [], []
             for i, text in enumerate(texts):
-                n_lines.append((text or b"").count(b"\n") + 1)
+                text = text or b""
+                n_lines.append(text.count(b"\n") + 1)
                 n_dropped.append(0)
                 if lists[i].is_valid:
                     pairs = lists[i].values
@@ -195,7 +196,7 @@ def drop_repeated_lines(docs: DataFrame, least_documents: int = 3, least_length:
                     left = [line for line, digest in zip(text.split(b"\n"), digests(text, least_length)) if digest not in gone]
                     n_dropped[-1] = n_lines[-1] - len(left)
                     text = b"\n".join(left)
-                kept.append(text or b"")
+                kept.append(text)
             new = {"text": pa.array(kept, pa.binary()).view(pa.string()), "n_lines": pa.array(n_lines), "n_dropped": pa.array(n_dropped)}
             columns = [new[f.name] if f.name in new else batch.column(batch.schema.get_field_index(f.name)) for f in schema.fields]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
