@@ -14,7 +14,7 @@ from sunledger.queries.prediction import P21_SQL, flat_problem_alerts
 from sunledger.queries.registry import query
 from sunledger.sinks import tables
 from sunledger.storage import materialize, scratch_path
-from sunledger.streaming.folder import arriving_files, monitor_folder, readings_stream
+from sunledger.streaming.folder import monitor_folder, readings_stream
 
 KEY = ["source_id", "reading_date"]
 
@@ -260,8 +260,14 @@ _STREAM_SQL = f"SELECT {V.DATE}, {', '.join(S.MEASURES)} FROM stressed"
 
 @query("T01_folder_stream", f"WITH {V.STRESSED} {_STREAM_SQL}")
 def t01(spark, sf):
-    root = scratch_path(spark, "t01")
-    _drain(readings_stream(spark, _files(spark, sf, "t01-in").removesuffix("/*/*.csv")), root)
+    """Files of two layouts in one folder: the second has other columns among the known ones, in another order."""
+    root, folder = scratch_path(spark, "t01"), scratch_path(spark, "t01-in")
+    df, half = V.stressed(spark, sf), F.col("site_id").cast("int") % 2 == 0
+    tables.write_units_csv(df.where(half), f"{folder}/plain", "site_id")
+    named = tables.with_source_headers(df.where(~half).select("reading_date", *S.MEASURES))
+    order = [F.lit("x").alias("Otra"), *[F.col(c) for c in reversed(named.columns)]]
+    tables.write_csv(named.select(*order).withColumnRenamed(S.DATE_HEADERS[0], S.DATE_HEADERS[1]), f"{folder}/other")
+    _drain(readings_stream(spark, folder), root)
     return spark.read.parquet(f"{root}/out").select("reading_date", *S.MEASURES)
 
 
@@ -280,8 +286,7 @@ def t02(spark, sf):
 @query("T03_stream_alerts", f"WITH {FIXED_SCORED} {_ALERT_SQL.format(site='site_id')}")
 def t03(spark, sf):
     root, folder = scratch_path(spark, "t03"), _files(spark, sf, "t03-in").removesuffix("/*/*.csv")
-    files = arriving_files(spark, folder, max_files=40)
-    monitor_folder(files, _fixed_model(spark), f"{root}/alerts", f"{root}/critical", f"{root}/checkpoint", once=True).awaitTermination()
+    monitor_folder(readings_stream(spark, folder, max_files=400), _fixed_model(spark), f"{root}/alerts", f"{root}/critical", f"{root}/checkpoint", once=True).awaitTermination()
     return _alerts(spark.read.parquet(f"{root}/alerts"))
 
 

@@ -4,22 +4,24 @@ from __future__ import annotations
 
 import csv
 import re
-from functools import reduce
+from itertools import groupby
 from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sunledger import schema as S
 from sunledger.functions import readings as R
-from sunledger.storage import existing_paths
+from sunledger.session import ship_package
+from sunledger.storage import existing_paths, materialize
 
 KNOWN_HEADERS = [*S.DATE_HEADERS, S.SITE_HEADER, *S.HEADER_TO_COLUMN]
-DATE_HEADER = S.DATE_HEADERS[0]
-RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in [DATE_HEADER, *S.HEADER_TO_COLUMN]])
-# A line that starts with a bracket is the units row; a file without one loses nothing.
-CSV_OPTIONS = {"header": "true", "comment": "[", "encoding": "UTF-8", "mode": "PERMISSIVE"}
+_TEXT = T.StringType()
+#: A file's cells under the known headers, its path, and two columns that only lines of a split file have: the line
+#: itself where the header is in another split, and the header for those lines.
+CELLS = T.StructType([T.StructField(c, _TEXT) for c in [*KNOWN_HEADERS, "path", "line", "header"]])
 
 
 def read_readings(
@@ -38,50 +40,130 @@ def read_readings(
 def read_cells(spark: SparkSession, paths: str | list[str], skip_unreadable: bool = False) -> DataFrame:
     """The untyped cells of the files under the known headers, with the path of each row's file.
 
-    One native CSV scan for each distinct header line. File names pass through the driver, as they do
-    whenever Spark lists files.
+    One scan of the files' lines, however many layouts there are: the task that reads the start of a file knows
+    its header. Lines of a file's later splits come out as they are and get their header by a join with the
+    headers of the split files; then what was scanned is stored first, so that files are read once.
     """
     options = {"ignoreMissingFiles": "true", "ignoreCorruptFiles": str(skip_unreadable).lower()}
     wanted = existing_paths(spark, [paths] if isinstance(paths, str) else list(paths))
-    nothing = T.StructType([T.StructField(c, T.StringType()) for c in [*KNOWN_HEADERS, "path"]])
-    scans = [spark.createDataFrame([], nothing)]
-    if wanted:
-        for row in file_headers(spark, wanted, options).groupBy("header").agg(F.collect_list("path").alias("paths")).collect():
-            names = [c.strip() for c in next(csv.reader([row["header"]]))]
-            layout = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-            cells = spark.read.schema(layout).options(**CSV_OPTIONS, **options).csv([_plain_path(x) for x in row["paths"]])
-            known = [F.col(f"c{names.index(n)}").alias(n) if n in names else F.lit(None).cast("string").alias(n) for n in KNOWN_HEADERS]
-            scans.append(cells.select(*known, F.col("_metadata.file_path").alias("path")))
-    return reduce(DataFrame.unionByName, scans)
-
-
-def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``read_cells`` of files named by their full paths as Spark reports them."""
-    return read_cells(spark, [_plain_path(p) for p in paths])
-
-
-def file_headers(spark: SparkSession, paths: list[str], options: dict[str, str] | None = None) -> DataFrame:
-    """(path, header): the header line of each file, which is one that has a known header among its cells."""
-    text = spark.read.options(**(options or {})).text(paths)
-    line = F.ltrim(F.replace("value", F.lit("\ufeff"), F.lit("")))
-    cells = F.transform(F.split(line, ","), lambda c: F.trim(F.replace(c, F.lit('"'), F.lit(""))))
-    is_header = F.arrays_overlap(cells, F.array(*[F.lit(n) for n in KNOWN_HEADERS]))
-    found = text.where(is_header).select(F.col("_metadata.file_path").alias("path"), line.alias("header"))
-    return found.groupBy("path").agg(F.min("header").alias("header"))
+    if not wanted:
+        return spark.createDataFrame([], CELLS).drop("line", "header")
+    lines = spark.read.options(**options).text(_once(spark, wanted))
+    scan = cells_by_name(lines)
+    # Spark never splits a file below the cost of opening one. Sizes are in the listing: this opens larger files only.
+    whole = int(re.sub(r"\D", "", spark.conf.get("spark.sql.files.openCostInBytes")))
+    if lines.where(F.col("_metadata.file_size") > whole).select(F.lit(1)).isEmpty():
+        return scan.drop("line", "header")
+    scan = materialize(scan, "cells")
+    headers = scan.where(F.col("header").isNotNull()).select("path", "header")
+    rest = scan.where(F.col("line").isNotNull()).select("path", "line").join(headers, "path")
+    ready = scan.where(F.col("line").isNull() & F.col("header").isNull())
+    return ready.unionByName(rest.mapInArrow(_with_headers, CELLS)).drop("line", "header")
+
+
+def _once(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Paths or globs that name every file once. Only where several of them overlap do file names pass through the driver."""
+    if len(paths) < 2:
+        return paths
+    listed = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("path"))
+    twice = listed.groupBy("path").count().where("count > 1")
+    if twice.isEmpty():
+        return paths
+    # A path as a reader takes it: without URL escapes, and with glob characters escaped.
+    return [re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(r["path"])) for r in listed.distinct().collect()]
+
+
+def cells_by_name(lines: DataFrame) -> DataFrame:
+    """``CELLS`` of the lines of text files, from a batch or a stream."""
+    ship_package(lines.sparkSession)
+    place = F.col("_metadata")
+    complete = (place["file_block_start"] == 0) & (place["file_block_length"] >= place["file_size"])
+    rows = lines.select("value", place["file_path"].alias("path"), place["file_block_start"].alias("start"), complete.alias("complete"))
+    return rows.mapInArrow(_by_first_line, CELLS)
+
+
+def _cells(line: str) -> list[str]:
+    return next(csv.reader([line]), []) if '"' in line else line.split(",")
+
+
+def _header(line: str) -> list[int | None] | None:
+    """Where in a header line each known header stands (the first one of that name); None for a line without any."""
+    names = [c.strip() for c in _cells(line.lstrip("\ufeff"))]
+    found = [names.index(n) if n in names else None for n in KNOWN_HEADERS]
+    return found if any(i is not None for i in found) else None
+
+
+def _named(lines: list[str], header: list[int | None], columns: list[list]) -> int:
+    """Append the cells of data lines; a line that starts with a bracket is the units row. Returns the number of rows."""
+    rows = [_cells(x) for x in lines if x.strip() and not x.startswith("[")]
+    for i, column in zip(header, columns):
+        column.extend([None] * len(rows) if i is None else [r[i] or None if i < len(r) else None for r in rows])
+    return len(rows)
+
+
+def _cell_batch(columns: list[list], paths: list, lines: list, headers: list):
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (*columns, paths, lines, headers)], names=CELLS.names)
+
+
+def _by_first_line(batches):
+    """Lines of files in their order. A file's header is its first line that is not blank, wherever known words stand below."""
+    headers: dict[str, list | None] = {}  # of the files that this task has read from the start
+    now = None
+    for batch in batches:
+        values, paths, starts, complete = (batch.column(i).to_pylist() for i in range(4))
+        columns, own_paths, lines, found = [[] for _ in KNOWN_HEADERS], [], [], []
+        at = 0
+        for _, block in groupby(zip(paths, starts)):
+            until = at + sum(1 for _ in block)
+            path, start = paths[at], starts[at]
+            if start == 0 and (path, start) != now:
+                headers = {path: None}  # the files before are done
+                now = (path, start)
+                seeking = True
+            if start == 0 and seeking:
+                while at < until and not values[at].strip("\ufeff \t"):
+                    at += 1
+                if at < until:
+                    headers[path], seeking = _header(values[at]), False
+                    if headers[path] is not None and not complete[at]:
+                        columns, own_paths = [[*c, None] for c in columns], [*own_paths, path]
+                        lines, found = [*lines, None], [*found, values[at]]
+                    at += 1
+            if path in headers:
+                n = _named(values[at:until], headers[path], columns) if headers[path] is not None else 0
+                lines.extend([None] * n)
+            else:
+                n = until - at
+                lines.extend(values[at:until])
+                for c in columns:
+                    c.extend([None] * n)
+            own_paths.extend([path] * n)
+            found.extend([None] * n)
+            at = until
+        yield _cell_batch(columns, own_paths, lines, found)
+
+
+def _with_headers(batches):
+    """(path, line, header) -> ``CELLS``."""
+    known: dict[str, list | None] = {}
+    for batch in batches:
+        columns, paths = [[] for _ in KNOWN_HEADERS], []
+        for path, line, header in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if header not in known:
+                known[header] = _header(header)
+            paths.extend([path] * _named([line], known[header], columns))
+        none = [None] * len(paths)
+        yield _cell_batch(columns, paths, none, none)
 
 
 def skipped_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path): files that exist but have no line with a known header, so that no reading comes from them."""
+    """(path): files that exist but from which no reading comes: the first line has no known header, or nothing follows it."""
     wanted = existing_paths(spark, [paths] if isinstance(paths, str) else list(paths))
     if not wanted:
         return spark.createDataFrame([], "path string")
     listed = spark.read.format("binaryFile").load(wanted).select(F.col("_metadata.file_path").alias("path")).distinct()
-    return listed.join(file_headers(spark, wanted, {"ignoreCorruptFiles": "true"}), "path", "left_anti")
-
-
-def _plain_path(path: str) -> str:
-    """A file's path as a reader takes it: without URL escapes, and with glob characters escaped."""
-    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(path))
+    read = read_cells(spark, paths, skip_unreadable=True).select("path").distinct()
+    return listed.join(read, "path", "left_anti")
 
 
 def typed_readings(raw: DataFrame) -> DataFrame:

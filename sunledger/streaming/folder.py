@@ -11,35 +11,27 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sunledger.plans.jobs import raise_alerts
 from sunledger.plans.model import AnomalyModel
-from sunledger.sources.readings import CSV_OPTIONS, RAW_SCHEMA, read_files, typed_readings
+from sunledger.sources.readings import cells_by_name, typed_readings
 
 
 def readings_stream(spark: SparkSession, folder: str, pattern: str = "*.csv", max_files: int = 1000) -> DataFrame:
-    """The typed readings of each new file that matches ``pattern``, at most ``max_files`` per batch.
-
-    A stream's columns are fixed, so the files must have the standard layout; one with another header
-    fails the stream. ``monitor_folder`` takes files of any layout.
-    """
-    raw = (
-        spark.readStream.schema(RAW_SCHEMA)
-        .options(**CSV_OPTIONS)
-        .option("enforceSchema", "false")
-        .option("recursiveFileLookup", "true")
+    """The typed readings of each new file that matches ``pattern``, at most ``max_files`` per batch; each file by its
+    own header, as in a batch job. A file that Spark splits fails the stream: its header is in another split."""
+    lines = (
+        spark.readStream.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
         .option("maxFilesPerTrigger", max_files)
-        .csv(folder)
+        .text(folder)
     )
-    return typed_readings(raw.select("*", F.col("_metadata.file_path").alias("path")))
-
-
-def arriving_files(spark: SparkSession, folder: str, pattern: str = "*.csv", max_files: int = 1000) -> DataFrame:
-    """The paths of new files, at most ``max_files`` per batch (a path for each line)."""
-    lines = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", max_files).text(folder)
-    return lines.select(F.col("_metadata.file_path").alias("path"))
+    cells = cells_by_name(lines)
+    text = "a file is larger than spark.sql.files.openCostInBytes and was split: read it by a batch job or raise that setting: "
+    whole = F.coalesce("line", "header").isNull()
+    refused = F.raise_error(F.concat(F.lit(text), F.col("path"))).cast("boolean")
+    return typed_readings(cells.where(F.when(whole, F.lit(True)).otherwise(refused)).drop("line", "header"))
 
 
 def monitor_folder(
-    files: DataFrame,
+    readings: DataFrame,
     model: AnomalyModel,
     alerts_path: str,
     critical_path: str,
@@ -48,7 +40,7 @@ def monitor_folder(
     on_alerts: Callable[[DataFrame], None] | None = None,
     once: bool = False,
 ) -> StreamingQuery:
-    """Score every new reading of ``arriving_files`` once and store its alerts; files are read by their own headers.
+    """Score every reading of a stream (``readings_stream``) once and store its alerts.
 
     The checkpoint remembers the files already read, across restarts. A batch that is replayed after
     a failure overwrites its own folder, which carries the checkpoint's name, so no alert is stored
@@ -57,10 +49,8 @@ def monitor_folder(
     name = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        paths = [r["path"] for r in batch.distinct().collect()]  # at most as many as files in a batch
-        readings = typed_readings(read_files(batch.sparkSession, paths))
-        raise_alerts(model, readings, alerts_path, critical_path, f"{name}-{batch_id}", None, on_alerts)
+        raise_alerts(model, batch, alerts_path, critical_path, f"{name}-{batch_id}", None, on_alerts)
 
-    writer = files.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    writer = readings.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if once else {"processingTime": f"{interval_seconds} seconds"}
     return writer.trigger(**trigger).start()

@@ -7,7 +7,7 @@ from sunledger.operators import scaling
 from sunledger.plans import jobs, tuning
 from sunledger.plans.model import AnomalyModel, train
 from sunledger.sinks import tables
-from sunledger.streaming.folder import arriving_files, monitor_folder
+from sunledger.streaming.folder import monitor_folder, readings_stream
 
 KEY = ["source_id", "reading_date"]
 
@@ -105,7 +105,7 @@ def test_file_jobs_and_folder_monitor(spark, readings, tmp_path):
     seen = []
     where = [str(tmp_path / p) for p in ("alerts", "critical", "check")]
     for _ in range(2):  # the second run finds no new file
-        files = arriving_files(spark, str(inbox))
+        files = readings_stream(spark, str(inbox))
         monitor_folder(files, trained, *where, on_alerts=lambda df: seen.append(df.count()), once=True).awaitTermination()
     expected = jobs.alert_files(spark, trained, f"{inbox}/*/*.csv", str(tmp_path / "a2"), str(tmp_path / "c2"), "one", output=str(tmp_path / "scored2"))
     jobs.alert_files(spark, trained, f"{inbox}/*/*.csv", str(tmp_path / "a2"), str(tmp_path / "c2"), "two", site="DOS")

@@ -1,3 +1,4 @@
+import datetime as dt
 import random
 
 import numpy as np
@@ -76,7 +77,8 @@ def test_top_k_per_group(spark):
 
 
 def test_positions_and_split(spark):
-    df = spark.range(2000).select((F.col("id") % 10).alias("day"), F.col("id").alias("k")).repartition(7)
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 10).cast("int"))
+    df = spark.range(2000).select(day.alias("day"), F.col("id").alias("k")).repartition(7)
     rows = O.with_position(df, ["day", "k"]).collect()
     assert [r.position for r in sorted(rows, key=lambda r: (r.day, r.k))] == list(range(2000))
     for share in (0.0, 0.8, 0.8123, 1.0):
@@ -87,8 +89,13 @@ def test_positions_and_split(spark):
         assert sorted((r.day, r.k) for r in b.collect()) == ordered[cut:]
 
 
+def test_split_refuses_what_is_not_a_date(spark):
+    with pytest.raises(ValueError, match="must be a date"):
+        O.split_by_position(spark.range(5).select(F.col("id").alias("day"), F.lit(1).alias("k")), 0.8, "day", ["k"])
+
+
 def test_split_keeps_rows_without_a_date(spark):
-    df = spark.createDataFrame([(None, i) for i in range(5)] + [(1, i) for i in range(5)], "day int, k int")
+    df = spark.createDataFrame([(None, i) for i in range(5)] + [(dt.date(2024, 1, 1), i) for i in range(5)], "day date, k int")
     a, b = O.split_by_position(df, 0.8, "day", ["k"])
     assert (a.count(), b.count()) == (8, 2)
     a, b = O.split_by_position(df, 0.2, "day", ["k"])

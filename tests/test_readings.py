@@ -9,6 +9,7 @@ from sunledger.operators import reports, sets
 from sunledger.sinks import tables
 from sunledger.sources.history import history_readings, read_history_json, read_store
 from sunledger.sources.readings import read_readings, skipped_files
+from sunledger.streaming.folder import readings_stream
 
 HEADER = "Fecha,Generación total,Consumo total,Autoconsumo,Energía suministrada a la red,Energía obtenida de la red"
 UNITS = "[dd.MM.yyyy],[Wh],[Wh],[Wh],[Wh],[Wh]"
@@ -64,6 +65,51 @@ def test_swapped_missing_and_many_columns_keep_their_values(spark, tmp_path):
     assert [r.path.endswith("no%20header.csv") for r in skipped_files(spark, str(tmp_path / "*.csv")).collect()] == [True]
 
 
+def test_the_first_line_is_the_header_whatever_the_lines_below_hold(spark, tmp_path):
+    known = write(tmp_path, "n.csv", "Fecha,Generación total,Consumo total,Nota", "01.01.2023,5,6,Autoconsumo", "02.01.2023,7,8,Fecha")
+    late = write(tmp_path, "late.csv", "a,b,c", HEADER, "01.01.2023,1,1,1,1,1")
+    blank = tmp_path / "blank.csv"
+    blank.write_bytes(("\ufeff\r\n \r\n" + "Generación total,Fecha\r\n9,03.01.2023\r\n").encode())
+    rows = read_readings(spark, [known, late, str(blank)]).collect()
+    assert sorted((r.source_id, r.generation_wh, r.reading_date.day) for r in rows) == [("blank", 9.0, 3), ("n", 5.0, 1), ("n", 7.0, 2)]
+    assert [r.path.endswith("late.csv") for r in skipped_files(spark, str(tmp_path / "*.csv")).collect()] == [True]
+
+
+def test_two_hundred_layouts_in_one_job(spark, tmp_path):
+    names, want = HEADER.split(","), []
+    for i in range(200):
+        order = names[i % 6 :] + names[: i % 6]
+        order.insert(i % 7, f"Otra {i}")
+        cells = {"Fecha": "01.01.2023", names[1]: str(i), names[2]: str(i + 0.5)}
+        write(tmp_path, f"s{i:03d}.csv", ",".join(order), ",".join(cells.get(n, '"x, y"') for n in order))
+        want.append((f"s{i:03d}", float(i), i + 0.5, None))
+    df = read_readings(spark, str(tmp_path / "*.csv"))
+    assert sorted((r.source_id, r.generation_wh, r.consumption_wh, r.self_consumption_wh) for r in df.collect()) == want
+    assert len(df.inputFiles()) == 200  # one scan
+
+
+def test_a_file_of_several_splits_keeps_its_header(spark, tmp_path):
+    lines = [f"{i % 28 + 1:02d}.01.2023,{i},Autoconsumo" for i in range(20_000)]
+    big = write(tmp_path, "big.csv", "Fecha,Consumo total,Otra", UNITS, *lines)
+    small = write(tmp_path, "small.csv", "Consumo total,Fecha", "5,01.01.2023")
+    other = write(tmp_path, "other.csv", *[f"{i},{i}" for i in range(20_000)])
+    settings = {"spark.sql.files.openCostInBytes": "1024", "spark.sql.files.maxPartitionBytes": "32768"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        df = read_readings(spark, [big, small, other])
+        assert spark.read.text(big).rdd.getNumPartitions() > 5
+        got = df.groupBy("source_id").agg(F.count("*").alias("n"), F.sum("consumption_wh").alias("c")).collect()
+        assert sorted(tuple(r) for r in got) == [("big", 20_000, sum(range(20_000)) * 1.0), ("small", 1, 5.0)]
+        with pytest.raises(Exception, match="was split"):
+            stream = readings_stream(spark, str(tmp_path), "big.csv").writeStream.format("memory").queryName("split_file")
+            stream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_equal_names_in_two_folders_and_null_dates_lose_nothing(spark, tmp_path):
     for folder, value in (("x", 1), ("y", 2)):
         (tmp_path / folder).mkdir()
