@@ -15,6 +15,7 @@ from sunledger.queries.registry import query
 from sunledger.sinks import tables
 from sunledger.storage import materialize, scratch_path
 from sunledger.streaming.folder import monitor_folder, readings_stream
+from sunledger.streaming.trends import stream_problems
 
 KEY = ["source_id", "reading_date"]
 
@@ -300,3 +301,15 @@ def t05(spark, sf):
     root, folder = scratch_path(spark, "t05"), _files(spark, sf, "t05-in").removesuffix("/*/*.csv")
     _drain(_fixed_model(spark).get_anomalies(readings_stream(spark, folder), severity_from="training"), root)
     return V.rounded(spark.read.parquet(f"{root}/out"), ["score"])
+
+
+@query("T05_problems_on_arrival", _M15_SQL)
+def t05_problems(spark, sf):
+    """Three arrivals of files, each scored, analysed with what is remembered of its sites, and alerted on."""
+    root, folder, df = scratch_path(spark, "t05p"), scratch_path(spark, "t05p-in"), V.stressed(spark, sf)
+    model, year = _fixed_model(spark), F.year("reading_date")
+    for name, part in (("a", year < 1994), ("b", (year >= 1994) & (year < 1996)), ("c", year >= 1996)):
+        tables.write_units_csv(df.where(part), f"{folder}/{name}", "site_id")
+        where = [f"{root}/{store}" for store in ("history", "alerts", "critical", "late", "checkpoint")]
+        stream_problems(readings_stream(spark, folder), model, *where, once=True).awaitTermination()
+    return V.rounded(flat_problem_alerts(spark.read.parquet(f"{root}/alerts")), ["score"])

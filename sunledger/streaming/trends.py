@@ -1,125 +1,148 @@
-"""Trends over a stream: each site's last seven readings are kept as state.
+"""Trends and problems of readings as they arrive, with the last readings of each site kept between batches.
 
-The stateful step only remembers values. Labels, speeds and risk are the same expressions the batch
-job uses, evaluated on the arrays it emits.
+A micro-batch is handled by the batch operators: the readings remembered of each site go before the new ones,
+and the same windows give the trends. So a site's readings are sorted by Spark, spill like any sort, and never
+pass through a Python worker, however many of them one batch holds. What is remembered is seven readings a site,
+stored under the stream's checkpoint: a batch that is replayed reads the state before it and writes the same again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
 from sunledger import schema as S
-from sunledger.operators.trends import relative_change, risk_columns, series_trend
+from sunledger.operators import alerts as A
+from sunledger.operators.order_statistics import top_k_per_group
+from sunledger.operators.trends import analyze_trends
+from sunledger.plans.jobs import predict_problems
+from sunledger.plans.model import AnomalyModel
+from sunledger.sinks import tables
+from sunledger.storage import delete_path, materialize
 
 _MEASURES = ["generation_wh", "consumption_wh", "self_consumption_wh"]
-_HISTORIES = ["h_generation", "h_consumption", "h_self"]
-_ROW = "reading_date date, generation_wh double, consumption_wh double, self_consumption_wh double"
-_OUTPUT = (
-    f"site_id string, {_ROW}, late boolean, "
-    "h_generation array<double>, h_consumption array<double>, h_self array<double>"
-)
-_STATE = "newest date, generation array<double>, consumption array<double>, self array<double>"
-
-
-def stream_trends(readings: DataFrame) -> DataFrame:
-    """Add trends and risk to a stream of readings.
-
-    A reading not later than the site's newest one (a repeat, or one out of order), or without a date,
-    comes out with ``late`` set and no history, for the sink to keep apart; see ``split_late``. A batch job
-    over the stored readings gives the late ones their trends. A site's part of a micro-batch is held in
-    one task, so limit the files of a batch (``maxFilesPerTrigger``).
+_REMEMBERED = "site_id string, reading_date date, generation_wh double, consumption_wh double, self_consumption_wh double, batch long"
+#: Every so many batches the readings of all sites are stored anew, and only those of the batch's own sites in between.
+FULL_EVERY = 16
+
+
+class LastReadings:
+    """The last seven readings of each site after each batch of one stream.
+
+    A batch stores a folder of its own, ``batch=<id>``; only Spark's committed batches are ever followed by another
+    one. Folders that no replay can ask for any more are deleted.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _folder(self, batch_id: int) -> str:
+        return f"{self.path}/batch={batch_id}"
+
+    def before(self, batch_id: int) -> DataFrame:
+        """What is known of each site before a batch (ids count from 0)."""
+        if batch_id == 0:
+            return self.spark.createDataFrame([], _REMEMBERED).drop("batch")
+        full = (batch_id - 1) // FULL_EVERY * FULL_EVERY
+        parts = [self._folder(i) for i in range(full, batch_id)]
+        stored = self.spark.read.schema(_REMEMBERED).option("basePath", self.path).parquet(*parts)
+        # At most FULL_EVERY times seven rows a site.
+        latest = F.max("batch").over(Window.partitionBy("site_id"))
+        return stored.withColumn("_latest", latest).where("batch = _latest").drop("batch", "_latest")
+
+    def commit(self, batch_id: int, seen: DataFrame) -> None:
+        """Store the state after a batch. ``seen``: the batch's readings in order and what was remembered of all sites."""
+        if batch_id % FULL_EVERY:
+            touched = seen.where("_new").select("site_id").distinct()
+            seen = seen.join(touched, seen["site_id"].eqNullSafe(touched["site_id"]), "left_semi")
+        rows = top_k_per_group(seen.select("site_id", "reading_date", *_MEASURES), ["site_id"], [F.desc("reading_date")], S.HISTORY_ROWS)
+        rows.write.mode("overwrite").parquet(self._folder(batch_id))
+        if batch_id % FULL_EVERY == 0:
+            for old in range(max(0, batch_id - 2 * FULL_EVERY), batch_id - FULL_EVERY):
+                delete_path(self.spark, self._folder(old))
+
+
+def arrivals(batch: DataFrame, remembered: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The readings of a batch in order together with the remembered ones (flag ``_new``), and the late ones.
+
+    A reading without a date, not later than its site's newest remembered one, or of a day that the batch has
+    twice, is late; of a day's readings the smallest one is in order. ``batch`` must be a stored table.
+    """
+    rest = [c for c in batch.columns if c not in ("site_id", "reading_date")]
+    numbered = materialize(batch.withColumn("_id", F.monotonically_increasing_id()), "arrivals")
+    # One row a site and day before anything is joined; combined in every task.
+    days = numbered.where("reading_date IS NOT NULL").groupBy("site_id", "reading_date").agg(F.min(F.struct(*rest, "_id")).alias("_row"))
+    newest = remembered.groupBy(F.col("site_id").alias("_site")).agg(F.max("reading_date").alias("_newest"))
+    known = days.join(newest, F.col("site_id").eqNullSafe(F.col("_site")), "left").where("_newest IS NULL OR reading_date > _newest")
+    in_order = materialize(known.select("site_id", "reading_date", "_row.*"), "in-order")
+    late = numbered.join(in_order.select("_id"), "_id", "left_anti").select(*batch.columns)
+    both = in_order.drop("_id").withColumn("_new", F.lit(True))
+    return both.unionByName(remembered.withColumn("_new", F.lit(False)), allowMissingColumns=True), late
+
+
+def stream_trends(readings: DataFrame, path: str, late_path: str, checkpoint: str, interval_seconds: int = 60, once: bool = False) -> StreamingQuery:
+    """Store every reading of a stream with its trends and risk under ``path``, late ones (``arrivals``) under ``late_path``.
+
+    A batch job over the stored readings gives the late ones their trends. ``once`` stops when what is present now
+    is done.
+    """
+
+    def handle(batch: DataFrame, remembered: DataFrame, run_id: str) -> DataFrame:
+        both, late = arrivals(batch.select("site_id", "reading_date", *_MEASURES), remembered)
+        tables.write_batch(analyze_trends(both).where("_new").drop("_new"), path, run_id)
+        tables.write_batch(late, late_path, run_id)
+        return both
+
+    return _follow(readings, handle, checkpoint, interval_seconds, once)
+
+
+def stream_problems(
+    readings: DataFrame,
+    model: AnomalyModel,
+    history_path: str,
+    alerts_path: str,
+    critical_path: str,
+    late_path: str,
+    checkpoint: str,
+    interval_seconds: int = 60,
+    at: Column | None = None,
+    on_alerts: Callable[[DataFrame], None] | None = None,
+    once: bool = False,
+) -> StreamingQuery:
+    """Score and analyse every reading as it arrives, and alert on anomalies and on future risk.
+
+    Each batch stores its scored readings (``history_path``), extended alerts, critical alerts and late readings in
+    folders of its own, which a replay overwrites; then the sites' last readings are remembered. ``on_alerts`` gets
+    the stored alerts, again if the batch is replayed. Scores do not depend on the order, so late readings are stored
+    with theirs, without trends.
     """
-    rows = readings.select(
-        "site_id", "reading_date", *[F.coalesce(F.col(m), F.lit(0.0)).alias(m) for m in _MEASURES]
-    )
-    remembered = rows.groupBy("site_id").applyInPandasWithState(
-        _remember, _OUTPUT, _STATE, "append", GroupStateTimeout.NoTimeout
-    )
-    return with_array_trends(remembered)
-
-
-def split_late(analyzed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The readings in order, and the late ones."""
-    return analyzed.where(~F.col("late")), analyzed.where("late").select("site_id", "reading_date", *_MEASURES)
-
-
-def with_array_trends(df: DataFrame) -> DataFrame:
-    """Trend and risk columns from the history arrays ``h_generation``, ``h_consumption``, ``h_self``."""
-    pairs = F.arrays_zip("h_self", "h_generation")
-    df = df.withColumns(
-        {
-            "_eff": F.col("self_consumption_wh") / F.greatest(F.col("generation_wh"), F.lit(1.0)),
-            "h_efficiency": F.transform(pairs, lambda p: p.h_self / F.greatest(p.h_generation, F.lit(1.0))),
-            "_yields": F.transform(
-                F.filter(pairs, lambda p: p.h_generation > 0), lambda p: F.try_divide(p.h_self, p.h_generation)
-            ),
-        }
-    )
-    values = {"generation": "generation_wh", "consumption": "consumption_wh", "efficiency": "_eff"}
-    # Means and slope are columns of their own: they are costly and each is used several times.
-    df = df.withColumns(
-        {
-            "degradation_slope": _slope(F.col("_yields")),
-            **{f"_mean_{name}": _mean_change(F.col(f"h_{name}")) for name in values},
-        }
-    )
-    n = F.size("h_generation")
-    columns = {"history_rows": n.cast("long")}
-    for name, value in values.items():
-        history = F.col(f"h_{name}")
-        last = F.get(history, n - 1)
-        recent = F.slice(history, F.greatest(n - (S.RECENT_VALUES - 1), F.lit(1)), S.RECENT_VALUES)
-        columns.update(series_trend(name, n, F.col(f"_mean_{name}"), last, F.col(value), recent))
-    df = df.withColumns(columns)
-    return df.withColumns(risk_columns(df)).drop(
-        "_eff", "_yields", "h_generation", "h_consumption", "h_self", "h_efficiency", *[f"_mean_{name}" for name in values]
-    )
-
-
-def _mean_change(history: Column) -> Column:
-    """Mean relative change of neighbours, null without a valid pair."""
-    n = F.size(history)
-    steps = F.when(n >= 2, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
-    changes = F.transform(steps, lambda i: relative_change(F.get(history, i - 1), F.get(history, i)))
-    valid = F.filter(changes, lambda c: c.isNotNull())
-    return F.try_divide(F.aggregate(valid, F.lit(0.0), lambda total, c: total + c), F.size(valid))
-
-
-def _slope(values: Column) -> Column:
-    """Least-squares slope over the index, null below the rows a degradation needs."""
-    n = F.size(values)
-    middle = (n - 1) / F.lit(2.0)
-    weighted = F.transform(values, lambda y, i: y * (i - middle))
-    spread = n * (n * n - 1) / F.lit(12.0)
-    total = F.aggregate(weighted, F.lit(0.0), lambda t, y: t + y)
-    return F.when(n >= S.MIN_DEGRADATION_ROWS, F.try_divide(total, spread))
-
-
-def _remember(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Emit each reading with the site's history before it, and keep the newest seven."""
-    newest, *series = state.get if state.exists else (None, [], [], [])
-    rows = pd.concat(list(batches), ignore_index=True).sort_values("reading_date", kind="stable")
-    days = rows["reading_date"]
-    undated = days.isna()
-    # A reading without a date has no place in the series; it is set apart like a late one.
-    late = days.duplicated() | undated
-    if newest is not None:
-        late |= days.where(~undated, newest) <= newest
-    rows["late"] = late
-    kept = rows[~late]
-    for name, measure, past in zip(_HISTORIES, _MEASURES, series):
-        values = [*past, *kept[measure]]
-        start = len(past)
-        histories = iter([values[max(i - S.HISTORY_ROWS, 0) : i] for i in range(start, len(values))])
-        rows[name] = [[] if is_late else next(histories) for is_late in late]
-    if len(kept):
-        newest = kept["reading_date"].iloc[-1]
-    tails = [[*past, *kept[m]][-S.HISTORY_ROWS :] for m, past in zip(_MEASURES, series)]
-    state.update((newest, *tails))
-    rows["site_id"] = key[0]
-    yield rows[["site_id", "reading_date", *_MEASURES, "late", *_HISTORIES]]
+
+    def handle(batch: DataFrame, remembered: DataFrame, run_id: str) -> DataFrame:
+        both, late = arrivals(model.predict(batch), remembered)
+        analyzed = materialize(predict_problems(both).where("_new").drop("_new"), "problems")
+        stored = tables.fan_out_alerts(A.problem_alerts(A.prediction_gate(analyzed), at), alerts_path, critical_path, run_id)
+        tables.write_batch(both.where("_new").drop("_new"), history_path, run_id)
+        tables.write_batch(late, late_path, run_id)
+        if on_alerts is not None:
+            on_alerts(stored)
+        return both
+
+    return _follow(readings, handle, checkpoint, interval_seconds, once)
+
+
+def _follow(readings: DataFrame, handle: Callable, checkpoint: str, interval_seconds: int, once: bool) -> StreamingQuery:
+    name = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+    memory = f"{checkpoint.rstrip('/')}/last-readings"
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        state = LastReadings(batch.sparkSession, memory)
+        both = handle(batch, state.before(batch_id), f"{name}-{batch_id}")
+        state.commit(batch_id, both)
+
+    writer = readings.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    trigger = {"availableNow": True} if once else {"processingTime": f"{interval_seconds} seconds"}
+    return writer.trigger(**trigger).start()

@@ -5,7 +5,8 @@ from helpers import expected_trends, random_sites, series
 from pyspark.sql import functions as F
 
 from sunledger.operators.trends import analyze_trends, one_reading_per_day
-from sunledger.streaming.trends import split_late, stream_trends
+from sunledger.streaming import trends as ST
+from sunledger.streaming.trends import stream_trends
 
 
 def check(rows, expected):
@@ -89,32 +90,66 @@ def test_one_reading_per_day_is_the_same_on_any_partitioning(spark):
     assert a.where("source_id = 'zz'").count() == 0
 
 
+SCHEMA = "site_id string, reading_date date, generation_wh double, consumption_wh double, self_consumption_wh double"
+
+
+def arrive(spark, folder, part):
+    """One more arrival for a stream of trends; returns what it has stored so far, in order and late."""
+    part.coalesce(1).write.mode("append").parquet(str(folder / "in"))
+    stream = spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "in"))
+    where = [str(folder / p) for p in ("out", "late", "check")]
+    stream_trends(stream, *where, once=True).awaitTermination()
+    return spark.read.parquet(where[0]), spark.read.parquet(where[1])
+
+
 def test_stream_in_several_batches_equals_batch_job(spark, tmp_path):
     df = random_sites(spark, sites=3, days=40)
     cuts = [dt.date(2023, 1, 1), dt.date(2024, 1, 1), dt.date(2024, 2, 1), dt.date(2030, 1, 1)]
     late_row = df.where("site_id = 'S0'").orderBy("reading_date").limit(1)
     for i, (start, end) in enumerate(zip(cuts, cuts[1:])):
         part = df.where((F.col("reading_date") >= start) & (F.col("reading_date") < end))
-        if i == 2:
-            part = part.unionAll(late_row)
-        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = stream_trends(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
-        run = stream.writeStream.format("parquet").option("path", str(tmp_path / "out"))
-        run.option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
-    in_order, late = split_late(spark.read.parquet(str(tmp_path / "out")))
+        in_order, late = arrive(spark, tmp_path, part.unionAll(late_row) if i == 2 else part)
     check(in_order.collect(), expected_trends(df.collect()))
     assert late.count() == 1
 
 
-def test_stream_sets_readings_without_a_date_apart(spark, tmp_path):
+def test_stream_sets_readings_without_a_date_or_of_a_known_day_apart(spark, tmp_path):
     day = lambda n: dt.date(2024, 1, n)
-    schema = "site_id string, reading_date date, generation_wh double, consumption_wh double, self_consumption_wh double"
-    for days in ([day(10), day(11), None], [day(2), None, day(12)]):
-        rows = [("s", d, 5.0, 4.0, 3.0) for d in days]
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = stream_trends(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
-        run = stream.writeStream.format("parquet").option("path", str(tmp_path / "out"))
-        run.option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
-    in_order, late = split_late(spark.read.parquet(str(tmp_path / "out")))
-    assert sorted((r.reading_date, r.history_rows) for r in in_order.collect()) == [(day(10), 0), (day(11), 1), (day(12), 2)]
-    assert sorted((r.reading_date for r in late.collect()), key=str) == [day(2), None, None]
+    for days in ([day(10), day(11), None], [day(2), None, day(12), day(12)]):
+        rows = [(site, d, 5.0 + i, 4.0, 3.0) for i, d in enumerate(days) for site in ("s", None)]
+        in_order, late = arrive(spark, tmp_path, spark.createDataFrame(rows, SCHEMA))
+    got = sorted(((r.site_id, r.reading_date, r.history_rows) for r in in_order.collect()), key=str)
+    assert got == sorted(((s, day(d), n) for s in ("s", None) for n, d in enumerate((10, 11, 12))), key=str)
+    assert sorted((r.reading_date for r in late.where("site_id = 's'").collect()), key=str) == [day(2), day(12), None, None]
+    assert {r.generation_wh for r in in_order.where("reading_date = '2024-01-12'").collect()} == {7.0}  # the smallest of the day
+
+
+def test_one_site_with_very_many_readings_in_a_batch(spark, tmp_path):
+    """200,000 days of one site, and one of its days 200,000 times again."""
+    n = 200_000
+    days = spark.range(n).select(F.lit("s").alias("site_id"), F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).alias("reading_date"),
+                                 (F.col("id") % 50 + 1.0).alias("generation_wh"), F.lit(1.0).alias("consumption_wh"), F.lit(1.0).alias("self_consumption_wh"))
+    again = days.limit(1).crossJoin(spark.range(n)).drop("id")
+    in_order, late = arrive(spark, tmp_path, days.unionAll(again))
+    assert (in_order.count(), late.count()) == (n, n)
+    assert in_order.where("history_rows = 7").count() == n - 7
+
+
+def test_remembered_readings_over_many_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ST, "FULL_EVERY", 3)
+    df = random_sites(spark, sites=2, days=20)
+    days = [r[0] for r in df.select("reading_date").distinct().orderBy("reading_date").collect()]
+    for i in range(8):
+        part = df.where(F.col("reading_date").isin(days[i * 3 : i * 3 + 3])).where(f"site_id = 'S0' OR {i} % 4 = 0")
+        in_order, _ = arrive(spark, tmp_path, part)
+    seen = df.where(F.col("reading_date").isin([d for i in range(0, 8) for d in days[i * 3 : i * 3 + 3]]))
+    early = F.col("reading_date").isin([d for i in range(0, 8, 4) for d in days[i * 3 : i * 3 + 3]])
+    whole = seen.where((F.col("site_id") == "S0") | early)
+    check(in_order.collect(), expected_trends(whole.collect()))
+    left = sorted(int(p.name.split("=")[1]) for p in (tmp_path / "check" / "last-readings").iterdir() if p.name.startswith("batch="))
+    assert left == [3, 4, 5, 6, 7]
+    state = ST.LastReadings(spark, str(tmp_path / "check" / "last-readings"))
+    want = {(r.site_id, min(7, r["count"])) for r in whole.groupBy("site_id").count().collect()}
+    assert {(r.site_id, r["count"]) for r in state.before(8).groupBy("site_id").count().collect()} == want
+    # A replay of the last batch finds the state before it, and stores the same.
+    assert state.before(7).exceptAll(state.before(7)).count() == 0 and state.before(7).where("site_id = 'S0'").count() == 7
