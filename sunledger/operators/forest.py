@@ -1,8 +1,8 @@
 """Isolation forest (Liu, Ting and Zhou, ICDM 2008) on Spark.
 
-*Fit*: a hash of the business key draws a bounded pool of rows, each tree draws its sample from the
-pool with its own hash, and the trees are grown in parallel, one bounded group of at most
-``max_samples`` rows each. *Score*: the node table has a fixed upper size (trees x 2 x max_samples),
+*Fit*: each tree takes the rows with the smallest hashes of row and tree, which every task selects for
+itself in one scan, and the trees are grown in parallel, one bounded group of at most ``max_samples``
+rows each. *Score*: the node table has a fixed upper size (trees x 2 x max_samples),
 so it travels with the task and rows are evaluated in Arrow batches.
 
 A one-hot source column is never laid out. A split on it only asks whether a row belongs to one
@@ -16,16 +16,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sunledger import schema as S
+from sunledger.session import ship_package
 from sunledger.storage import materialize
 
 EULER_GAMMA = 0.5772156649
-POOL_FACTOR = 4
-_BUCKETS = 1 << 16
 NODE_SCHEMA = "tree int, node int, feature int, source_id string, threshold double, left int, right int, rows int"
 LEAF, SOURCE_SPLIT = -1, -2
 
@@ -51,19 +51,20 @@ def fit_forest(
 ) -> DataFrame:
     """Grow the trees and return their node table.
 
-    ``key`` identifies a row, ``rows`` is the number of rows. The draw depends only on the key and
-    the seed, so the forest is the same however the table is partitioned.
+    ``key`` identifies a row, ``rows`` is the number of rows. The draw depends only on the rows and
+    the seed, so the forest is the same however the table is partitioned (see ``tree_samples`` for equal rows).
     """
     psi = min(max_samples, rows)
     if psi < 1:
         raise ValueError("no rows to train on")
-    samples = tree_samples(df, features, key, rows, n_trees, psi, seed, source)
+    ship_package(df.sparkSession)
+    samples = tree_samples(df, features, key, n_trees, psi, seed, source)
     height = math.ceil(math.log2(max(psi, 2)))
     names = list(features)
 
     def grow(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(group[0])
-        pdf = pdf.sort_values(["_key", "_copy"], kind="stable")
+        pdf = pdf.sort_values("_draw", kind="stable")
         matrix = pdf[names].to_numpy(dtype=np.float64)
         sources = pdf["_source"].to_numpy(dtype=object)
         return _grow_tree(tree, matrix, sources, height, np.random.default_rng([seed, tree]))
@@ -71,59 +72,89 @@ def fit_forest(
     return materialize(samples.groupBy("tree").applyInPandas(grow, NODE_SCHEMA), "forest")
 
 
-def tree_samples(
-    df: DataFrame,
-    features: list[str],
-    key: list[str],
-    rows: int,
-    n_trees: int,
-    psi: int,
-    seed: int,
-    source: str | None,
-) -> DataFrame:
-    """Exactly ``psi`` rows for each tree, drawn without replacement."""
-    pool_rows = POOL_FACTOR * n_trees * psi
-    keyed = df.select(
-        F.xxhash64(*key).alias("_hash"),
-        F.concat_ws("\u001f", *[F.col(k).cast("string") for k in key]).alias("_key"),
-        (F.col(source) if source else F.lit(None)).cast("string").alias("_source"),
-        *[F.col(f).cast("double").alias(f) for f in features],
-    )
-    size = min(pool_rows, rows)
-    copies = _draw_pool(keyed, pool_rows / rows, rows, psi, seed)
-    draw = F.xxhash64("_hash", "_copy", "tree", F.lit(seed + 1))
-    drawn = copies.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1)))).withColumn("_draw", draw)
-    rate = (2.0 * psi + 60.0) / size
-    # Near the size of the pool a tree could fall short of psi rows, so it then ranks all of them.
-    if rate < 0.5:
-        drawn = drawn.where(_unit(F.col("_draw")) < F.lit(rate))
-    order = Window.partitionBy("tree").orderBy("_draw", "_key", "_copy")
-    ranked = drawn.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= psi)
-    return ranked.select("tree", "_key", "_copy", "_source", *features)
-
-
-def _draw_pool(keyed: DataFrame, rate: float, rows: int, psi: int, seed: int) -> DataFrame:
-    """A random share ``rate`` of the rows, one output row (``_copy``) per drawn copy of a row.
-
-    A row is drawn by the hash of its key, and the copies of a row share it. That is fair as long as no
-    key has very many: keys in over-full hash buckets are counted first and drawn in proportion.
+def tree_samples(df: DataFrame, features: list[str], key: list[str], n_trees: int, psi: int, seed: int, source: str | None) -> DataFrame:
+    """``psi`` rows for each tree, drawn without replacement: (tree, _draw, _source, features).
+
+    Every row has a random number for each tree, and a tree takes the rows with the smallest ones. A task keeps
+    ``psi`` rows a tree, so one scan of the table sends a bounded number on; a few hundred tasks are merged at a time.
+    The numbers come from the row's key and features. Rows that are the same in all of these get numbers of their own
+    by their place in an Arrow batch; the first ones of several batches share one and count once, which for a row with
+    many copies is one copy a batch. So rows that differ are drawn alike however the table is partitioned, and copies
+    in proportion.
     """
-    columns = keyed.columns
-    folded = lambda part: part.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
-    expand = lambda part, n: part.withColumn("_copy", F.explode(F.sequence(F.lit(1), n.cast("int")))).drop("_n")
-    if rate >= 1:
-        return expand(folded(keyed), F.col("_n"))
-    bucket = F.pmod(F.col("_hash"), F.lit(_BUCKETS)).alias("_bucket")
-    counts = keyed.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n"))
-    # At most a quarter of the buckets can exceed four times the average.
-    full = materialize(counts.where(F.col("_n") > 1000 + 4 * rows // _BUCKETS).select("_bucket"), "buckets")
-    bucketed = keyed.withColumn("_bucket", bucket)
-    unit = _unit(F.xxhash64("_hash", F.lit(seed)))
-    cold = bucketed.where(unit < F.lit(rate)).join(F.broadcast(full), "_bucket", "left_anti").select(*columns)
-    hot = bucketed.join(F.broadcast(full), "_bucket", "left_semi").select(*columns)
-    share = folded(hot).withColumn("_n", F.floor(F.col("_n") * F.lit(rate) + unit)).where(F.col("_n") > 0)
-    # A tree has room for psi copies of a row at most.
-    return expand(folded(cold), F.least(F.col("_n"), F.lit(psi))).unionByName(expand(share, F.col("_n")))
+    inputs = [F.col(f).cast("double").alias(f) for f in features]
+    name = (F.col(source) if source else F.lit(None)).cast("string").alias("_source")
+    rows = df.select(F.xxhash64(*key, *features, *([source] if source else [])).alias("_hash"), name, *inputs)
+    kept = f"tree int, _draw long, _source string, {', '.join(f'`{f}` double' for f in features)}"
+    drawn = rows.mapInArrow(_lowest_draws(n_trees, psi, seed), f"part int, {kept}")
+
+    def merge(group):
+        return group.take(_smallest(group.column("_draw").to_numpy().view(np.uint64), psi))
+
+    merged = drawn.groupBy("part", "tree").applyInArrow(merge, drawn.schema).drop("part")
+    return merged.groupBy("tree").applyInArrow(merge, merged.schema)
+
+
+def _smallest(draws: np.ndarray, n: int) -> np.ndarray:
+    """Places of the ``n`` smallest of the distinct numbers."""
+    return np.unique(draws, return_index=True)[1][:n]
+
+
+def _scramble(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers after which they look random."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return x ^ (x >> np.uint64(32))
+
+
+def _copy_numbers(hashes: np.ndarray) -> np.ndarray:
+    """For each row how many equal ones stand before it."""
+    order = np.argsort(hashes, kind="stable")
+    found = hashes[order]
+    first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, np.int64)
+    out = np.empty(len(hashes), np.uint64)
+    out[order] = np.arange(len(hashes)) - np.repeat(first, np.diff(np.concatenate([first, [len(found)]])))
+    return out
+
+
+def _lowest_draws(n_trees: int, psi: int, seed: int):
+    def run(batches):
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
+        trees = _scramble(np.arange(1, n_trees + 1, dtype=np.uint64) + _scramble(np.array([seed], np.int64).view(np.uint64)))
+        limits = np.full(n_trees, np.iinfo(np.uint64).max, np.uint64)
+        held: list[list] = [[] for _ in range(n_trees)]  # (numbers, rows) of each tree
+        for number, batch in enumerate(batches):
+            hashes = batch.column(0).to_numpy().view(np.uint64)
+            copy, place = _copy_numbers(hashes), np.array([task << 32 | number], np.uint64)
+            own = np.where(copy > 0, _scramble(hashes ^ _scramble(copy ^ _scramble(place + np.uint64(1)))), hashes)
+            rest = batch.select(batch.schema.names[1:])
+            for tree in range(n_trees):
+                draws = _scramble(own ^ trees[tree])
+                low = np.flatnonzero(draws < limits[tree])
+                low = low[_smallest(draws[low], psi)]
+                if len(low):
+                    held[tree].append((draws[low], rest.take(pa.array(low))))
+                if sum(len(d) for d, _ in held[tree]) > 2 * psi:
+                    held[tree] = [_merged(held[tree], psi)]
+                    limits[tree] = held[tree][0][0][-1]
+        for tree, parts in enumerate(held):
+            if parts:
+                draws, rows = _merged(parts, psi)
+                columns = [pa.array([x] * len(draws), pa.int32()) for x in (task >> 8, tree)]
+                arrays = [*columns, pa.array(draws.view(np.int64)), *rows.columns]
+                yield pa.RecordBatch.from_arrays(arrays, names=["part", "tree", "_draw", *rows.schema.names])
+
+    return run
+
+
+def _merged(parts: list, psi: int) -> tuple:
+    draws = np.concatenate([d for d, _ in parts])
+    low = _smallest(draws, psi)
+    rows = pa.Table.from_batches([r for _, r in parts]).combine_chunks().to_batches()[0]
+    return draws[low], rows.take(pa.array(low))
 
 
 def share_forest(nodes: DataFrame, n_features: int, psi: int):
@@ -279,8 +310,3 @@ def _random_split(matrix: np.ndarray, sources: np.ndarray, rng):
         return feature, None, cut, matrix[:, feature] >= cut
     name = present[pick - len(varying)]
     return SOURCE_SPLIT, name, None, np.array([s == name for s in sources])
-
-
-def _unit(hashed):
-    """A 64-bit hash as a number in [0, 1)."""
-    return F.shiftrightunsigned(hashed, 11).cast("double") / F.lit(float(1 << 53))

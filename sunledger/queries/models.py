@@ -108,6 +108,21 @@ def m02(spark, sf):
     return train(readings).score(readings).select(*KEY, ((score < 0) & (score >= -1)).alias("in_range"))
 
 
+@query(
+    "M02_planted_outages",
+    f"""WITH {V.STRESSED}, kinds AS (SELECT CASE WHEN (CAST(site_id AS INTEGER) + day(reading_date)) % 11 = 0 THEN 'outage' ELSE 'normal' END AS kind FROM stressed)
+    SELECT kind, count(*) AS readings, kind = 'outage' AS below_all FROM kinds GROUP BY kind""",
+)
+def m02_planted(spark, sf):
+    """Days without generation score lower than the rest: a forest that does not tell them apart fails."""
+    readings = _stored(spark, sf)
+    phase = (F.col("site_id").cast("int") + F.dayofmonth("reading_date")) % 11
+    scored = materialize(train(readings).score(readings).select(F.when(phase == 0, "outage").otherwise("normal").alias("kind"), "score"), "m02-kinds")
+    every = scored.agg(F.avg("score").alias("mean"))
+    kinds = scored.groupBy("kind").agg(F.count(F.lit(1)).alias("readings"), F.avg("score").alias("own"))
+    return kinds.join(F.broadcast(every)).select("kind", "readings", (F.col("own") < F.col("mean") - 0.01).alias("below_all"))
+
+
 _PROFILE = f"""count(*) AS records, {V.r('avg(generation_wh)', 'mean_generation', 4)}, {V.r('avg(consumption_wh)', 'mean_consumption', 4)},
     {V.r('stddev_samp(generation_wh)', 'std_generation', 4)}, {V.r('stddev_samp(consumption_wh)', 'std_consumption', 4)}"""
 _PROFILE_COLUMNS = ["mean_generation", "mean_consumption", "std_generation", "std_consumption"]
