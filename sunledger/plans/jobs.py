@@ -13,9 +13,10 @@ from sunledger.operators import alerts as A
 from sunledger.operators import reports, trends
 from sunledger.plans.model import AnomalyModel, train
 from sunledger.sinks import tables
+from sunledger.sinks.stores import Store
 from sunledger.operators.order_statistics import top_k_per_group
 from sunledger.sources.readings import read_readings
-from sunledger.storage import materialize, path_exists
+from sunledger.storage import materialize
 
 
 def train_from_files(
@@ -135,10 +136,9 @@ def problem_files(
     """
     new = trends.one_reading_per_day(read_readings(spark, paths) if site is None else read_readings(spark, paths).withColumn("site_id", F.lit(site)))
     new = materialize(model.predict(new), "new-readings")
-    store = f"{history_path.rstrip('/')}/run=*"
-    seen = None
-    if path_exists(spark, store):
-        seen = spark.read.option("basePath", history_path).parquet(store).where(F.col("run") != run_id).drop("run")
+    seen = Store(spark, history_path).read()
+    if seen is not None:
+        seen = seen.where(F.col("run") != run_id).drop("run")
         # Only what a trend can reach back to: a bounded number of days before the first new one of each site.
         first = new.groupBy("site_id").agg(F.min("reading_date").alias("_first"))
         seen = seen.join(materialize(first, "first-days"), "site_id").where(F.col("reading_date") < F.col("_first")).drop("_first")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 
@@ -15,7 +16,7 @@ from sunledger.operators import reports
 from sunledger.operators.forest import fit_forest, score_forest, share_forest
 from sunledger.operators.order_statistics import percentile_row, with_scalar
 from sunledger.operators.scaling import apply_scaler, fit_scaler
-from sunledger.storage import materialize, path_exists
+from sunledger.storage import Versions, materialize
 
 _INPUT = "__x"
 
@@ -72,20 +73,26 @@ class AnomalyModel:
         predicted = materialize(predicted, "scored")
         return add_batch_severity(predicted, percentile)
 
-    def save(self, path: str) -> None:
-        """Store the model as Parquet tables under ``path``, a folder that it was not loaded from."""
+    def save(self, path: str) -> int:
+        """Store the model as a new version under ``path``, which may be the one it was loaded from; returns its number.
+
+        A version is a folder of Parquet tables that is never written to again. It counts once a record names it,
+        which is written last: until then, and if this fails, the version before it is the model.
+        """
         spark = self.nodes.sparkSession
-        params = {k: v for k, v in self.params.items()}
-        self.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-        self.scaler.write.mode("overwrite").parquet(f"{path}/scaler")
-        self.profiles.write.mode("overwrite").parquet(f"{path}/profiles")
+        params, root = {k: v for k, v in self.params.items()}, path.rstrip("/")
+        folder = f"version-{uuid.uuid4().hex}"
+        path = f"{root}/{folder}"
+        self.nodes.write.parquet(f"{path}/nodes")
+        self.scaler.write.parquet(f"{path}/scaler")
+        self.profiles.write.parquet(f"{path}/profiles")
         if self.feature_scaler is not None:
-            self.feature_scaler.write.mode("overwrite").parquet(f"{path}/feature_scaler")
-        spark.createDataFrame([params], _PARAMS).coalesce(1).write.mode("overwrite").parquet(f"{path}/params")
+            self.feature_scaler.write.parquet(f"{path}/feature_scaler")
+        spark.createDataFrame([params], _PARAMS).coalesce(1).write.parquet(f"{path}/params")
         # Each known source is a feature of a site-aware model; they are kept as a table, not as a list of names.
         known = 0
         if params["site_aware"]:
-            self.profiles.select("source_id").write.mode("overwrite").parquet(f"{path}/sources")
+            self.profiles.select("source_id").write.parquet(f"{path}/sources")
             known = spark.read.parquet(f"{path}/sources").count()
         metadata = {
             "trained_date": params["trained_date"],
@@ -94,12 +101,27 @@ class AnomalyModel:
             "features": [S.FEATURE_LABELS.get(f, f) for f in params["features"]],
         }
         schema = "trained_date string, contamination double, num_features int, features array<string>"
-        spark.createDataFrame([metadata], schema).coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
+        spark.createDataFrame([metadata], schema).coalesce(1).write.json(f"{path}/metadata")
+        versions = Versions(spark, f"{root}/_versions")
+        number = max(versions.numbers(), default=0) + 1
+        versions.publish(number, {"folder": folder})
+        return number
+
+    @staticmethod
+    def folder(spark: SparkSession, path: str, version: int | None = None) -> str:
+        """Where the tables of a version are (by default of the newest)."""
+        versions = Versions(spark, f"{path.rstrip('/')}/_versions")
+        if version is None:
+            record = (versions.latest() or (0, None))[1]
+        else:
+            record = versions.record(version) if version in versions.numbers() else None
+        if record is None:
+            raise FileNotFoundError(f"no model at {path}" + ("" if version is None else f" with version {version}"))
+        return f"{path.rstrip('/')}/{record['folder']}"
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> AnomalyModel:
-        if not path_exists(spark, f"{path}/params"):
-            raise FileNotFoundError(f"no model at {path}")
+    def load(cls, spark: SparkSession, path: str, version: int | None = None) -> AnomalyModel:
+        path = cls.folder(spark, path, version)
         table = lambda name: spark.read.parquet(f"{path}/{name}")
         params = table("params").first().asDict(recursive=True)
         extra = table("feature_scaler") if params["legacy_order"] else None

@@ -11,6 +11,7 @@ from sunledger.operators import reports, sets
 from sunledger.queries import views as V
 from sunledger.queries.registry import query
 from sunledger.sinks import tables
+from sunledger.sinks.stores import Store
 from sunledger.sources import history as H
 from sunledger.sources import readings as src
 from sunledger.storage import materialize, scratch_path
@@ -127,6 +128,24 @@ def k01(spark, sf):
     )
 
 
+_NEWEST_ALERTS = f"""WITH {V.ALERTS} SELECT event_id, empresa, severidad, score FROM alerts ORDER BY "timestamp" DESC, event_id DESC LIMIT 1000"""
+
+
+@query("K02_compacted_store", _NEWEST_ALERTS)
+def k02_compacted(spark, sf):
+    """Ten runs, a compaction that keeps the newest, two more runs, one of them again, and another compaction."""
+    store, order = Store(spark, scratch_path(spark, "k02-store")), ["timestamp", "event_id"]
+    alerts = materialize(V.alerts(spark, sf).withColumn("part", F.pmod("event_id", F.lit(12)).cast("int")), "alerts")
+    run = lambda i: store.write(alerts.where(F.col("part") == i).drop("part"), f"r{i}")
+    for i in range(10):
+        run(i)
+    store.compact(S.RETENTION_ROWS, order)
+    for i in (10, 11, 11, 3):
+        run(i)
+    store.compact(S.RETENTION_ROWS, order)
+    return store.read().select("event_id", "empresa", "severidad", "score")
+
+
 @query(
     "K02_alert_history",
     f"""WITH {V.ALERTS} SELECT event_id, empresa, severidad, score FROM alerts ORDER BY "timestamp" DESC, event_id DESC LIMIT 1000""",

@@ -1,4 +1,4 @@
-"""Sinks. Stores only ever grow by new files; none is rewritten while it is being read."""
+"""Sinks. Stores grow by new files (``stores`` compacts them); none is rewritten while it is being read."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sunledger import schema as S
 from sunledger.operators.order_statistics import newest, top_k_per_group
+from sunledger.sinks.stores import Store
 
 
 def with_source_headers(df: DataFrame) -> DataFrame:
@@ -33,10 +34,8 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> N
 
 
 def write_batch(df: DataFrame, path: str, run_id: str) -> str:
-    """Write one run or micro-batch to its own folder; repeating it replaces exactly that folder."""
-    target = f"{path.rstrip('/')}/run={run_id}"
-    df.write.mode("overwrite").parquet(target)
-    return target
+    """Write one run or micro-batch to its own folder of a ``Store``; repeating it replaces exactly that folder."""
+    return Store(df.sparkSession, path).write(df, run_id)
 
 
 def fan_out_alerts(alerts: DataFrame, path: str, critical_path: str, run_id: str) -> DataFrame:

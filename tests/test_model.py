@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import pytest
 from helpers import random_sites
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from sunledger.operators import scaling
 from sunledger.plans import jobs, tuning
 from sunledger.plans.model import AnomalyModel, train
 from sunledger.sinks import tables
+from sunledger.storage import Versions
 from sunledger.streaming.folder import monitor_folder, readings_stream
 
 KEY = ["source_id", "reading_date"]
@@ -38,7 +41,7 @@ def test_stored_model_scores_the_same(spark, readings, model, tmp_path):
     assert loaded.params == model.params
     a, b = (m.predict(readings).select(*KEY, "score", "is_anomaly") for m in (model, loaded))
     assert a.exceptAll(b).count() == 0
-    meta = spark.read.json(str(tmp_path / "m" / "metadata")).first()
+    meta = spark.read.json(f"{AnomalyModel.folder(spark, str(tmp_path / 'm'))}/metadata").first()
     assert meta.num_features == 13 + model.profiles.count() and meta.features[:2] == ["Generación total", "Consumo total"] and meta.features[-1] == "EsFinSemana"
     with pytest.raises(FileNotFoundError):
         AnomalyModel.load(spark, str(tmp_path / "none"))
@@ -86,6 +89,28 @@ def test_tuning(readings, spark, tmp_path):
     assert again.params["rows"] == 480 and spark.read.parquet(store).count() == 480
 
 
+def test_a_model_is_saved_onto_its_own_path_as_a_new_version(spark, readings, model, tmp_path, monkeypatch):
+    path = str(tmp_path / "versions")
+    with pytest.raises(FileNotFoundError):
+        AnomalyModel.load(spark, path)
+    assert model.save(path) == 1
+    loaded = AnomalyModel.load(spark, path)
+    changed = replace(loaded, params={**loaded.params, "threshold": -0.9})
+    with monkeypatch.context() as broken:
+        broken.setattr(Versions, "publish", lambda *a: (_ for _ in ()).throw(OSError("killed")))
+        with pytest.raises(OSError):
+            changed.save(path)
+    assert AnomalyModel.load(spark, path).params == loaded.params  # the half-written version does not count
+    assert changed.save(path) == 2
+    assert AnomalyModel.load(spark, path).params["threshold"] == -0.9
+    old = AnomalyModel.load(spark, path, version=1)
+    assert old.params == loaded.params
+    first = loaded.score(readings).select("source_id", "reading_date", "score")
+    assert first.exceptAll(old.score(readings).select(first.columns)).count() == 0
+    with pytest.raises(FileNotFoundError):
+        AnomalyModel.load(spark, path, version=7)
+
+
 def test_validate_against_known(readings, model):
     known = model.predict(readings).where("is_anomaly")
     row = tuning.validate(model, readings, known).first()
