@@ -51,8 +51,6 @@ IS_SPACE[list(SPACES)] = True
 IS_SYMBOL[list(SYMBOLS)] = True
 IS_FIRST[0x80:0xC0] = False  # bytes that begin a character
 
-_PIECES: dict[str, Pieces] = {}
-
 
 class Pieces:
     """Token ids of distinct words, encoded once per worker with a bounded table."""
@@ -79,9 +77,7 @@ class Pieces:
 
 
 def pieces(path: str) -> Pieces:
-    if path not in _PIECES:
-        _PIECES[path] = Pieces(path)
-    return _PIECES[path]
+    return T.worker_table(("pieces", path), lambda: Pieces(path))
 
 
 def repeated_words(numbers: np.ndarray, counts: np.ndarray, window: int = WINDOW) -> np.ndarray:

@@ -56,9 +56,6 @@ class WordHashes(dict):
         return value
 
 
-_HASHES = WordHashes()
-
-
 def shingles(texts: list[bytes | None], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of each text as sorted 64-bit hashes in one array, and their numbers.
 
@@ -66,7 +63,8 @@ def shingles(texts: list[bytes | None], width: int) -> tuple[np.ndarray, np.ndar
     them, and a text without words has none.
     """
     words, counts = T.split_words([t.lower() if t else t for t in texts])  # bytes.lower() changes A-Z only
-    hashes = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    known = T.worker_table("hashes", WordHashes)
+    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     ends = np.cumsum(counts)
     sets = []
     for start, end in zip(ends - counts, ends):

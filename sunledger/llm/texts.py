@@ -70,6 +70,21 @@ def spread(df: DataFrame, name: str, fields: list[str]) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in rest), *(F.col(f"`{name}`.{f}").alias(f) for f in fields))
 
 
+_TABLES: dict = {}
+
+
+def worker_table(key, make: Callable):
+    """The table of words that this worker keeps from task to task, made by ``make`` where it is not there.
+
+    A worker keeps one at a time: one of another kind, from an earlier stage, is dropped first. So what a worker holds
+    does not rise from stage to stage.
+    """
+    if key not in _TABLES:
+        _TABLES.clear()
+        _TABLES[key] = make()
+    return _TABLES[key]
+
+
 class WordNumbers(dict):
     """Numbers distinct words in the order of arrival; ``new`` holds those not yet described."""
 

@@ -17,8 +17,6 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from . import texts as T
 
-_ENCODERS: dict[str, Encoder] = {}
-
 
 def default_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
@@ -107,10 +105,8 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker, kept from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """The worker's encoder, kept from task to task."""
+    return T.worker_table(("tokens", path), lambda: Encoder(path))
 
 
 def with_token_ids(df: DataFrame, column: str, name: str, path: str, end: int | None = None) -> DataFrame:
