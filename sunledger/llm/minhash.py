@@ -32,7 +32,7 @@ from .components import components
 SIMILARITY = 80  # per cent
 ROWS, HALVES = 3, 12
 #: Bits of a set's bitmap, and sets in a block of those that are compared pair by pair.
-BITS, BLOCK = 4096, 1024
+BITS, BLOCK = 4096, 2048
 #: So many times at most the most promising partners are confirmed before all that is still apart.
 ROUNDS = 4
 #: Pairs whose bitmaps are compared at once.
@@ -153,6 +153,7 @@ def _compare(similarity: int, halves: int, every: bool):
 
     def run(table):
         ids, label, size, block = (table.column(c).to_numpy() for c in ("set_id", "label", "n_shingles", "block"))
+        size = size.astype(np.int32)  # a text has less words than that
         keys = table.column("halves").combine_chunks().flatten().to_numpy().reshape(len(ids), 2 * halves)
         bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(ids), -1)
         half, one, two = (table.column(c)[0].as_py() for c in ("half", "one", "two"))
@@ -211,12 +212,13 @@ def table_keys(halves_column: str, halves: int) -> Column:
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, similarity: int) -> DataFrame:
     """Those ``pairs`` (a, b; set ids) whose full sets have 100 * intersection >= similarity * union.
 
-    ``texts`` has one text for each set id. A task remembers a bounded number of sets.
+    ``texts`` has one text for each set id. A task remembers a bounded number of sets. Neither side has a bound, so
+    both joins are by sort, at every size.
     """
     ship_package(pairs.sparkSession)
     wide = (
-        pairs.join(texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a")), "a")
-        .join(texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b")), "b")
+        pairs.join(texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
+        .join(texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
         .select("a", "b", "text_a", "text_b")
     )
     schema = StructType([StructField("a", LongType()), StructField("b", LongType()), StructField("linked", BooleanType())])
@@ -256,17 +258,20 @@ def near_duplicates(docs: DataFrame, width: int, similarity: int = SIMILARITY, r
     name = group_column(docs)
     signed = materialize(with_signature(docs, name, width, rows, halves), "signatures")
     filled = signed.select("text", f"`{name}`.*").where(F.col("set_id").isNotNull())
-    one = filled.groupBy("set_id").agg(F.first("halves").alias("halves"))  # combined in every task before the shuffle
-    keys = one.select("set_id", F.explode(table_keys("halves", halves)).alias("key"))
+    one = filled.groupBy("set_id").agg(F.first("halves").alias("halves"), F.first("n_shingles").cast("int").alias("n"))  # combined in every task before the shuffle
+    keys = one.select("set_id", "n", F.explode(table_keys("halves", halves)).alias("key"))
     # Each member of a table meets the one with the smallest id, the pivot. A running window, so no table is held in
     # memory, and a row each, so a large table gives no more than its members.
-    pivot = F.first("set_id").over(Window.partitionBy("key").orderBy("set_id"))
-    pairs = keys.select(F.col("set_id").alias("a"), pivot.alias("b")).where("a <> b").distinct()
+    pivot = F.first(F.struct("set_id", "n")).over(Window.partitionBy("key").orderBy("set_id"))
+    pairs = keys.select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), pivot.alias("p"))
+    pairs = pairs.select("a", F.col("p.set_id").alias("b"), "n_a", F.col("p.n").alias("n_b")).where("a <> b").distinct()
     pairs = materialize(pairs, "pairs")
+    # The smaller set cannot hold more of the union than its size: such pairs are apart without a look at the texts.
+    possible = pairs.where(100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).select("a", "b")
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "candidates")
     texts = filled.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.first("text").alias("text"))
     texts = materialize(texts, "candidate-texts")
-    labels = _united(None, confirm(pairs, texts, width, similarity))[0]
+    labels = _united(None, confirm(possible, texts, width, similarity))[0]
     # Members of a table that are apart: one of them at least is apart from the pivot, and the pivot has met them both.
     one_label = labels.select(F.col("node").alias("a"), F.col("label").alias("label_a"))
     other_label = labels.select(F.col("node").alias("b"), F.col("label").alias("label_b"))
