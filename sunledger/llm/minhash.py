@@ -153,7 +153,6 @@ def _compare(similarity: int, halves: int, every: bool):
 
     def run(table):
         ids, label, size, block = (table.column(c).to_numpy() for c in ("set_id", "label", "n_shingles", "block"))
-        size = size.astype(np.int32)  # a text has less words than that
         keys = table.column("halves").combine_chunks().flatten().to_numpy().reshape(len(ids), 2 * halves)
         bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(ids), -1)
         half, one, two = (table.column(c)[0].as_py() for c in ("half", "one", "two"))
