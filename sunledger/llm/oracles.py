@@ -55,11 +55,28 @@ FROM embeddings e JOIN component c ON c.node = e.vec_id
 LEFT JOIN (SELECT a, count(*) AS n FROM both_ways GROUP BY a) n ON n.a = e.vec_id
 """
 
+# A round goes through those that are not larger than the gap, in hash order, up to the first that does not fit.
+OP7_ROUNDS = ",".join(
+    f"""
+    u{r} AS (
+        SELECT *, sum(CASE WHEN NOT chosen AND size <= gap THEN part ELSE 0 END) OVER (PARTITION BY source ORDER BY h, size) AS upto
+        FROM f{r - 1}
+    ),
+    c{r} AS (SELECT *, NOT chosen AND gap > 0 AND size <= gap AND upto <= gap AS now FROM u{r}),
+    f{r} AS (
+        SELECT source, h, size, part, chosen OR now AS chosen,
+            (gap - sum(CASE WHEN now THEN part ELSE 0 END) OVER (PARTITION BY source))::BIGINT AS gap
+        FROM c{r}
+    )"""
+    for r in range(1, 5)
+)
+
 OP7 = f"""
 WITH
     d AS (
         SELECT doc_id, source, coalesce(len({WORDS.format('text')}), 0)::BIGINT AS size,
-            md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS h
+            md5('mix:' || coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, '')))) AS h,
+            row_number() OVER (PARTITION BY source, doc_id, size) AS n
         FROM documents
     ),
     s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
@@ -83,20 +100,25 @@ WITH
     e AS (
         SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t
     ),
-    r AS (
-        SELECT d.*, e.source_size, e.target, e.whole, round(e.target - e.whole * e.source_size)::BIGINT AS extra,
-            sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.size ROWS UNBOUNDED PRECEDING) AS upto
-        FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
+    f0 AS (
+        SELECT d.source, d.h, d.size, sum(d.size)::BIGINT AS part, false AS chosen,
+            any_value(round(e.target - e.whole * e.source_size))::BIGINT AS gap
+        FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source GROUP BY d.source, d.h, d.size
+    ),
+    {OP7_ROUNDS},
+    k AS (
+        SELECT source, h, size, gap, least(part // size, greatest(1, (2 * gap + size) // (2 * size))) AS k
+        FROM f4 WHERE NOT chosen AND 0 < size AND size < 2 * gap
     ),
-    g AS (SELECT source, max(extra) - coalesce(max(CASE WHEN upto <= extra THEN upto END), 0) AS gap FROM r GROUP BY source),
     n AS (
-        SELECT r.source, arg_min(r.h, (abs(r.size - g.gap), r.h)) AS h
-        FROM r JOIN g ON r.source IS NOT DISTINCT FROM g.source
-        WHERE r.upto > r.extra AND abs(r.size - g.gap) < g.gap GROUP BY r.source
+        SELECT source, arg_min({{'h': h, 'size': size, 'k': k}}, (abs(k * size - gap), h, size)) AS best
+        FROM k WHERE abs(k * size - gap) < gap GROUP BY source
     )
-SELECT r.doc_id, r.size, r.source_size, r.target,
-    ((r.whole + CASE WHEN r.upto <= r.extra OR n.h IS NOT NULL THEN 1 ELSE 0 END) * r.size)::BIGINT AS taken
-FROM r LEFT JOIN n ON r.source IS NOT DISTINCT FROM n.source AND r.h = n.h
+SELECT d.doc_id, d.size, e.source_size, e.target,
+    ((e.whole + CASE WHEN f4.chosen OR (n.best.h = d.h AND n.best.size = d.size AND d.n <= n.best.k) THEN 1 ELSE 0 END) * d.size)::BIGINT AS taken
+FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
+    JOIN f4 ON d.source IS NOT DISTINCT FROM f4.source AND d.h = f4.h AND d.size = f4.size
+    LEFT JOIN n ON d.source IS NOT DISTINCT FROM n.source
 """
 
 OP11 = r"""

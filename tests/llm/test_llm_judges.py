@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import llm_cases
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sunledger.llm import language_profiles, line_crf, minhash, mixing, tokens, url_filter
@@ -165,6 +166,18 @@ def test_targets_equal_iterated_resharing(spark, seed):
     assert all(math.isclose(r.target, want[r.source], abs_tol=1e-6) for r in got)
 
 
+@pytest.mark.parametrize("seed", ["a", "b", "c"])
+def test_mix_fills_beside_a_long_document(spark, seed):
+    """A source with one document of 40 % of its words, and two more of 10 %, still comes within a short one of its target."""
+    sizes = [4000, 1000, 1000] + [1 + i % 3 for i in range(2000)]
+    docs = spark.createDataFrame([(i, "a", n) for i, n in enumerate(sizes)] + [(-1, "b", 9000), (-2, "b", 4)], "doc_id long, source string, size long")
+    mixed = mixing.mix(docs, "size", F.col("doc_id").cast("string"), weights=(1.0,), seed=seed)
+    rows = [r for r in mixed.select("source", "size", "mix.*").collect() if r.source == "a"]
+    assert len(rows) == len(sizes) and sum(r.size for r in rows) == rows[0].source_size
+    assert rows[0].source_size < rows[0].target < 2 * rows[0].source_size
+    assert abs(sum(r.taken for r in rows) - rows[0].target) <= 3
+
+
 def test_mix_of_hostile_rows(spark):
     docs = llm_cases.hostile(spark)
     mixed = mixing.mix_documents(docs)
