@@ -33,6 +33,8 @@ SIMILARITY = 80  # per cent
 ROWS, HALVES = 3, 12
 #: Bits of a set's bitmap, and sets in a block of those that are compared pair by pair.
 BITS, BLOCK = 4096, 2048
+#: Bits of the filter that keeps most texts without a candidate out of a shuffle. Its size is fixed, so it may be broadcast.
+FILTER_BITS = 1 << 24
 #: So many times at most the most promising partners are confirmed before all that is still apart.
 ROUNDS = 4
 #: Pairs whose bitmaps are compared at once.
@@ -211,12 +213,18 @@ def table_keys(halves_column: str, halves: int) -> Column:
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, similarity: int) -> DataFrame:
     """Those ``pairs`` (a, b; set ids) whose full sets have 100 * intersection >= similarity * union.
 
-    ``texts`` has one text for each set id. A task remembers a bounded number of sets.
+    ``texts`` has one text for each set id; those of other sets are left where they are if the pairs are few, and
+    otherwise dealt by set id once for both joins of a side. A task remembers a bounded number of sets.
     """
     ship_package(pairs.sparkSession)
+
+    def side(end: str) -> DataFrame:
+        own = texts.join(pairs.select(F.col(end).alias("set_id")).distinct(), "set_id", "left_semi")
+        return own.select(F.col("set_id").alias(end), F.col("text").alias(f"text_{end}"))
+
     wide = (
-        pairs.join(texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a")), "a")
-        .join(texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b")), "b")
+        pairs.join(side("a"), "a")
+        .join(side("b"), "b")
         .select("a", "b", "text_a", "text_b")
     )
     schema = StructType([StructField("a", LongType()), StructField("b", LongType()), StructField("linked", BooleanType())])
@@ -247,6 +255,19 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, similarity: int) ->
     return wide.mapInArrow(check, schema)
 
 
+def filtered(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose set_id is not in ``wanted``; none that is in it is lost.
+
+    A bit for each remainder of a set id, 64 in a row: at most FILTER_BITS / 64 rows, however many ids are wanted. With many
+    more ids than bits it lets every row pass, and a join must settle the rest at any size.
+    """
+    slot = F.pmod("set_id", F.lit(FILTER_BITS))
+    word, bit = F.shiftright(slot, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
+    bits = wanted.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    bits = materialize(bits, "filter")
+    return rows.join(F.broadcast(bits), word == bits["word"]).where(bits["bits"].bitwiseAND(bit) != 0).drop(bits["word"], bits["bits"])
+
+
 def near_duplicates(docs: DataFrame, width: int, similarity: int = SIMILARITY, rows: int = ROWS, halves: int = HALVES) -> DataFrame:
     """``docs`` with struct ``group_column(docs)``: n_shingles, set_id, label; documents of one group share a label.
 
@@ -264,7 +285,7 @@ def near_duplicates(docs: DataFrame, width: int, similarity: int = SIMILARITY, r
     pairs = keys.select(F.col("set_id").alias("a"), pivot.alias("b")).where("a <> b").distinct()
     pairs = materialize(pairs, "pairs")
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "candidates")
-    texts = filled.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.first("text").alias("text"))
+    texts = filtered(filled.select("set_id", "text"), wanted).join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.first("text").alias("text"))
     texts = materialize(texts, "candidate-texts")
     labels = _united(None, confirm(pairs, texts, width, similarity))[0]
     # Members of a table that are apart: one of them at least is apart from the pivot, and the pivot has met them both.
