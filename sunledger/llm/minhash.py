@@ -285,7 +285,8 @@ def near_duplicates(docs: DataFrame, width: int, similarity: int = SIMILARITY, r
     pairs = keys.select(F.col("set_id").alias("a"), pivot.alias("b")).where("a <> b").distinct()
     pairs = materialize(pairs, "pairs")
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "candidates")
-    texts = filtered(filled.select("set_id", "text"), wanted).join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.first("text").alias("text"))
+    # An inner join with distinct ids: Spark would move a semi-join below the filter, to all texts.
+    texts = filtered(filled.select("set_id", "text"), wanted).join(wanted, "set_id").groupBy("set_id").agg(F.first("text").alias("text"))
     texts = materialize(texts, "candidate-texts")
     labels = _united(None, confirm(pairs, texts, width, similarity))[0]
     # Members of a table that are apart: one of them at least is apart from the pivot, and the pivot has met them both.
