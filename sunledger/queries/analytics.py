@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sunledger import schema as S
@@ -15,7 +18,7 @@ from sunledger.plans.jobs import fleet_report
 from sunledger.plans.model import add_batch_severity, decide
 from sunledger.queries import views as V
 from sunledger.queries.ingest import PROFILES_SQL, _PROFILE_COLUMNS
-from sunledger.queries.registry import query
+from sunledger.queries.registry import ORACLES, query
 from sunledger.storage import materialize
 
 # --- Aggregates ------------------------------------------------------------------------------
@@ -50,6 +53,7 @@ def a04(spark, sf):
 
 
 _RATE = "avg(CAST(is_anomaly AS INTEGER)) * 100"
+_BAND_OF_RATE = "CASE WHEN anomaly_rate > 5 THEN 'red' WHEN anomaly_rate > 2 THEN 'orange' ELSE 'green' END"
 _BAND = f"CASE WHEN {_RATE} > 5 THEN 'red' WHEN {_RATE} > 2 THEN 'orange' ELSE 'green' END AS rate_band"
 _REPORT = f"""SELECT site_id, count(*) AS records, count(*) FILTER (is_anomaly) AS anomalies, {V.r(_RATE, 'anomaly_rate')}, {_BAND},
     {V.r('avg(score)', 'mean_score')}, {V.r('avg(generation_wh)', 'mean_generation', 4)}, {V.r('avg(consumption_wh)', 'mean_consumption', 4)}
@@ -415,6 +419,73 @@ def m16(spark, sf):
     return V.rounded(out, ["mean_generation", "mean_consumption"], 4)
 
 
+def _cells_sql(table: str, key: str, columns: list[str], source: str) -> str:
+    """One row for each cell of a report table: its name, its row's key, the column and the value."""
+    return " UNION ALL ".join(
+        f"SELECT '{table}' AS report_table, CAST({key} AS VARCHAR) AS key, '{c}' AS measure, {V.r(f'CAST({c} AS DOUBLE)', 'value', 4)} FROM ({source})"
+        for c in columns
+    )
+
+
+_COUNTED = ["records", "anomalies", "anomaly_rate", "mean_score", "mean_generation", "mean_consumption"]
+_RAW_REPORT = f"""SELECT site_id, count(*) AS records, count(*) FILTER (is_anomaly) AS anomalies, {_RATE} AS anomaly_rate,
+    avg(score) AS mean_score, avg(generation_wh) AS mean_generation, avg(consumption_wh) AS mean_consumption FROM scored GROUP BY site_id"""
+
+
+def _top_sql(table: str, order: str) -> str:
+    placed = f"SELECT *, row_number() OVER (ORDER BY {order}, site_id) AS rank FROM report"
+    return _cells_sql(table, "site_id", ["rank", *_COUNTED], f"SELECT * FROM ({placed}) WHERE rank <= 10")
+
+
+def _histogram_sql() -> str:
+    body = ORACLES["A12_score_histogram"].removeprefix(f"WITH {V.SCORED}, ")
+    return _cells_sql("score_histogram", "bin", ["lower", "upper", "rows"], f"WITH {body}")
+
+
+@query(
+    "M16_fleet_report_tables",
+    f"WITH {V.SCORED}, report AS ({_RAW_REPORT}) "
+    + " UNION ALL ".join(
+        [
+            _cells_sql("rows_per_site", "site_id", ["records", "share_percent"], "SELECT site_id, records, records * 100.0 / sum(records) OVER () AS share_percent FROM report"),
+            _cells_sql("anomalies_per_site", "site_id", ["anomalies"], "SELECT * FROM report WHERE anomalies > 0"),
+            _cells_sql("site_report", "site_id || ' ' || rate_band", _COUNTED, f"SELECT *, {_BAND_OF_RATE} AS rate_band FROM report"),
+            _cells_sql("summary", "'all'", ["total", "normal", "anomalies", "anomaly_percent"], f"SELECT count(*) AS total, count(*) FILTER (NOT is_anomaly) AS normal, count(*) FILTER (is_anomaly) AS anomalies, {_RATE} AS anomaly_percent FROM scored"),
+            _cells_sql("executive_summary", "largest_site || ' ' || worst_site", ["sites", "records", "anomalies", "anomaly_rate", "largest_site_records", "worst_site_anomalies"], f"WITH {_EXECUTIVE}"),
+            _histogram_sql(),
+            _cells_sql("threshold_marker", "'all'", ["threshold_marker"], "SELECT min(score) FILTER (is_anomaly) AS threshold_marker FROM scored"),
+            _cells_sql("box_plots", "site_id", ["q1", "median", "q3", "lower_whisker", "upper_whisker", "outliers"], f"WITH {_BOX}"),
+            _top_sql("top_by_records", "records DESC"),
+            _top_sql("top_by_anomalies", "anomalies DESC"),
+            _top_sql("lowest_mean_scores", "mean_score"),
+        ]
+    ),
+)
+def m16_tables(spark, sf):
+    """All eleven tables of the report, a row for each cell."""
+    scored = V.scored(spark, sf).withColumn("source_id", F.col("site_id"))
+    report = fleet_report(materialize(scored, "scored"))
+    keys = {
+        "site_report": F.concat_ws(" ", "source_id", "rate_band"), "executive_summary": F.concat_ws(" ", "largest_site", "worst_site"),
+        "summary": F.lit("all"), "threshold_marker": F.lit("all"), "score_histogram": F.col("bin").cast("string"),
+    }
+    parts = []
+    for name, rows in report.items():
+        if name.startswith("top_") or name.startswith("lowest_"):
+            rows = _ranked(rows, name)
+        measures = [c for c, t in rows.dtypes if t != "string" and c != "bin"]
+        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in measures]))
+        long = rows.select(keys.get(name, F.col("source_id")).alias("key"), cells.alias("cell"))
+        parts.append(long.select(F.lit(name).alias("report_table"), "key", "cell.measure", "cell.value"))
+    return V.rounded(functools.reduce(DataFrame.unionByName, parts), ["value"], 4)
+
+
+def _ranked(rows, name):
+    """The ten rows of a ranking with their places; ten rows need one task only."""
+    first = {"top_by_records": F.desc("records"), "top_by_anomalies": F.desc("anomalies"), "lowest_mean_scores": F.asc("mean_score")}[name]
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(first, F.asc("source_id"))))
+
+
 _BANDS = "CASE WHEN {s} < -0.5 THEN 'CRÍTICA' WHEN {s} < -0.3 THEN 'ALTA' WHEN {s} < -0.1 THEN 'MEDIA' ELSE 'BAJA' END"
 
 

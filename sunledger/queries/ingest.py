@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sunledger import schema as S
 from sunledger.functions import readings as R
 from sunledger.operators import alerts as A
+from sunledger.operators import one_hot as O
 from sunledger.operators import reports, sets
 from sunledger.queries import views as V
 from sunledger.queries.registry import query
@@ -323,6 +324,36 @@ def p15(spark, sf):
     return _one_hot(spark, sf, [r[0] for r in known.collect()])
 
 
+def _sparse(df, index):
+    hot = O.with_one_hot(df.select("source_id", "reading_date"), index)
+    values = F.aggregate("one_hot.values", F.lit(0.0), lambda a, b: a + b)
+    return hot.select(
+        "source_id", "reading_date", F.col("one_hot.width").alias("width"), F.coalesce(F.get("one_hot.places", F.lit(0)), F.lit(-1)).alias("place"),
+        F.size("one_hot.places").alias("nonzero"), values.alias("total"),
+    )
+
+
+def _sparse_sql(known: str) -> str:
+    return f"""WITH {V.READINGS}, known AS (SELECT source_id, row_number() OVER (ORDER BY source_id) - 1 AS place, count(*) OVER () AS width
+      FROM (SELECT DISTINCT source_id FROM readings {known}))
+    SELECT source_id, {V.DATE}, (SELECT max(width) FROM known) AS width, coalesce(place, -1) AS place, CAST(place IS NOT NULL AS INTEGER) AS nonzero,
+      CAST(place IS NOT NULL AS DOUBLE) AS total FROM readings LEFT JOIN known USING (source_id)"""
+
+
+@query("P14_one_hot_sparse", _sparse_sql(""))
+def p14_sparse(spark, sf):
+    """Every source of the readings, thousands of them; the block is never laid out."""
+    df = V.readings(spark, sf)
+    return _sparse(df, O.source_index(df))
+
+
+@query("P15_one_hot_sparse_aligned", _sparse_sql("WHERE year(reading_date) < 1997"))
+def p15_sparse(spark, sf):
+    """A model that knows the sources of the years before 1997, applied to all years."""
+    df = V.readings(spark, sf)
+    return _sparse(df, O.source_index(df.where(F.year("reading_date") < 1997)))
+
+
 @query(
     "P16_source_name",
     f"""WITH {V.TEXTS} SELECT path, source, regexp_replace(regexp_replace(source, '_\\d{{8}}-\\d{{8}}$', ''), '^\\d\\d_\\d\\d_', '') AS site
