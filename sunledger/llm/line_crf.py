@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StructField, StructType
 
@@ -24,8 +24,9 @@ from . import texts as T
 from .fertility import IS_FIRST, IS_SPACE, IS_SYMBOL, in_repeated_window
 from .language_profiles import held_out
 
-#: Bounds of the sample that the field is fitted on: documents of each label, and consecutive lines of each document.
-SAMPLE_DOCUMENTS, SAMPLE_LINES = 2000, 48
+#: Bounds of the sample that the field is fitted on: documents of each label, the lines of all of them together, and
+#: the lines of one document. Documents come whole or not at all.
+SAMPLE_DOCUMENTS, SAMPLE_LINES, LONGEST = 2000, 96000, 1000
 ROUNDS, RATE, RIDGE = 150, 0.1, 1e-3
 BASE = 14
 #: Own, previous and next line, whether there is a previous and a next one, and a constant.
@@ -230,24 +231,27 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, size: int) -> tuple[Data
     return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")), counts  # one text of a repeated id
 
 
-def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_DOCUMENTS, lines: int = SAMPLE_LINES) -> Model:
-    """Fit on the bounded sample. Without documents of both labels only their share is learned."""
+def within(sample: DataFrame, lines: int, longest: int) -> DataFrame:
+    """The documents of each label with at most ``longest`` lines, in the order of their hashes, as long as their lines
+    together are at most ``lines``."""
+    # One narrow row for each document of the bounded sample.
+    n = F.when(F.col("text").isNull(), F.lit(1)).otherwise(F.length(F.regexp_replace("text", r"[^\n]", "")) + 1)
+    upto = F.sum("n").over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    sizes = sample.select("doc_id", "y", n.cast("long").alias("n")).where(F.col("n") <= longest)
+    return sample.join(F.broadcast(sizes.withColumn("upto", upto).where(F.col("upto") <= lines).select("doc_id")), "doc_id", "left_semi")
+
+
+def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_DOCUMENTS, lines: int = SAMPLE_LINES, longest: int = LONGEST) -> Model:
+    """Fit on the bounded sample of whole documents. Without documents of both labels only their share is learned."""
     sample, counts = labelled_sample(docs, labels, size)
-    sample = materialize(sample, "sample")
+    sample = materialize(within(sample, lines, longest), "sample")
     fields = StructType([StructField("x", ArrayType(FloatType())), StructField("n", IntegerType())])
 
     def factory():
         def measure(texts):
             x, n_lines, _ = line_features(texts)
-            parts, sizes, end = [], [], 0
-            for text, n in zip(texts, n_lines):
-                skip = len(text or b"") * 2654435761 % (n - lines + 1) if n > lines else 0  # any stretch of a long text
-                parts.append(x[end + skip : end + skip + min(n, lines)])
-                sizes.append(len(parts[-1]))
-                end += n
-            flat = np.concatenate(parts).reshape(-1)
-            offsets = np.concatenate([[0], np.cumsum(sizes) * BASE]).astype(np.int32)
-            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), np.array(sizes, np.int32)]
+            offsets = np.concatenate([[0], np.cumsum(n_lines) * BASE]).astype(np.int32)
+            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x.reshape(-1))), n_lines.astype(np.int32)]
 
         return measure
 
