@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sunledger import schema as S
 from sunledger.operators import reports, sets
 from sunledger.operators.order_statistics import exact_percentiles, split_by_position
-from sunledger.plans.model import AnomalyModel, fit, train
+from sunledger.plans.model import AnomalyModel, fit, train, train_and_decide
 from sunledger.sinks.tables import append
 from sunledger.sources.history import read_store
 from sunledger.storage import materialize
@@ -114,10 +114,9 @@ def best_parameters(grid: DataFrame) -> DataFrame:
 def compare_normalizations(
     readings: DataFrame, contamination: float = S.CONTAMINATION, methods: list[str] | None = None
 ) -> DataFrame:
-    """Anomalies and their share under each normalisation, one row per method."""
+    """Anomalies and their share under each normalisation, one row per method. Each model scores the readings once."""
     scored = [
-        train(readings, contamination=contamination, normalization=m)
-        .predict(readings)
+        train_and_decide(readings, contamination=contamination, normalization=m)[1]
         .select(F.lit(m).alias("method"), "is_anomaly")
         for m in methods or S.NORMALIZATIONS
     ]

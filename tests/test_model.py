@@ -155,3 +155,15 @@ def test_reports_on_scored_readings(readings, model):
     assert set(comparison) == set(S.NORMALIZATIONS)
     # Scaling all rows alike does not move a split, so the two agree.
     assert comparison["global"].anomalies == comparison["robust"].anomalies
+
+
+def test_comparison_scores_the_readings_once_for_each_normalisation(readings, monkeypatch):
+    """It equals training and then predicting, with one scoring for each model."""
+    method = "per_company"
+    apart = train(readings, normalization=method).predict(readings).where("is_anomaly").count()
+    passes = []
+    score = AnomalyModel.score
+    monkeypatch.setattr(AnomalyModel, "score", lambda self, *a, **k: passes.append(1) or score(self, *a, **k))
+    (row,) = tuning.compare_normalizations(readings, methods=[method]).collect()
+    assert (row.anomalies, len(passes)) == (apart, 1)
+    assert row.percentage == pytest.approx(100 * apart / readings.count())

@@ -100,3 +100,26 @@ def test_split_keeps_rows_without_a_date(spark):
     assert (a.count(), b.count()) == (8, 2)
     a, b = O.split_by_position(df, 0.2, "day", ["k"])
     assert (a.count(), b.count(), b.where("day is null").count()) == (2, 8, 3)
+
+
+def test_percentiles_of_many_columns_with_nulls_count_values_in_one_scan(spark):
+    """Nulls, infinities, repeated and grouped values in fourteen columns at once; the table is read twice, not three times."""
+    x = F.xxhash64("id")
+    columns = {f"c{i}": F.when(F.col("id") % 13 != i, (x % (10 ** (i % 7 + 1))).cast("double")) for i in range(13)}
+    df = spark.range(6000).withColumns({**columns, "c13": F.when(F.col("id") % 5000 == 0, F.lit(float("inf"))).otherwise(F.rand(1)), "g": F.col("id") % 3})
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    names = [f"c{i}" for i in range(14)]
+    counted = df.mapInArrow(count, df.schema)
+    got = {(r.column, r.prob): r.value for r in O.exact_percentiles(counted, names, PROBS).collect()}
+    assert seen.value == 2 * 6000
+    grouped = {(r.g, r.column, r.prob): r.value for r in O.exact_percentiles(df, names, PROBS, ["g"]).collect()}
+    for c in names:
+        assert [got[c, p] for p in PROBS] == pytest.approx(df.agg(F.percentile(c, F.lit(PROBS)).alias("v")).first().v, rel=1e-12)
+        for row in df.groupBy("g").agg(F.percentile(c, F.lit(PROBS)).alias("v")).collect():
+            assert [grouped[row.g, c, p] for p in PROBS] == pytest.approx(row.v, rel=1e-12)
