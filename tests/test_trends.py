@@ -153,3 +153,21 @@ def test_remembered_readings_over_many_batches(spark, tmp_path, monkeypatch):
     assert {(r.site_id, r["count"]) for r in state.before(8).groupBy("site_id").count().collect()} == want
     # A replay of the last batch finds the state before it, and stores the same.
     assert state.before(7).exceptAll(state.before(7)).count() == 0 and state.before(7).where("site_id = 'S0'").count() == 7
+
+
+def test_each_finding_is_spelt_out_once_in_the_plan(spark):
+    """Score, flag and message share the findings; repeated in each, the compiled code is too large for the JVM to optimise."""
+    rows = [("s", f"2024-01-{d:02d}", 100.0 - 9 * d, 10.0 * 1.3**d, 50.0 / d) for d in range(1, 11)]
+    schema = "site_id string, reading_date string, generation_wh double, consumption_wh double, self_consumption_wh double"
+    df = spark.createDataFrame(rows, schema).withColumn("reading_date", F.to_date("reading_date"))
+    fields = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    try:
+        analyzed = analyze_trends(df)
+        assert analyzed._jdf.queryExecution().optimizedPlan().toString().count("round(degradation_slope") == 1
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", fields)
+    last = analyzed.orderBy(F.desc("reading_date")).first()
+    assert (last.risk_score, last.has_risk) == (0.7, True) and last.risk_message.count(";") == 1
+    first = analyzed.orderBy("reading_date").first()
+    assert (first.risk_score, first.has_risk, first.risk_message) == (0.0, False, "Datos insuficientes para predicción")
