@@ -1,25 +1,27 @@
 """Columns computed from whole texts, one Arrow batch at a time.
 
 ``append`` adds one struct column to a table with a function over lists of UTF-8 texts. It sees a batch
-in runs of a few megabytes, so the working memory of a task is bounded by the longest single text.
+in runs of a few megabytes, each handed on by itself, so the working memory of a task is bounded by the
+longest single text.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from sunledger.session import ship_package
 
-RUN_BYTES = 4 << 20
+RUN_BYTES = 2 << 20
 #: Distinct words that a worker remembers; beyond that it starts again with an empty table.
-MEMORY_WORDS = 700_000
+MEMORY_WORDS = 300_000
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -31,16 +33,31 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
-def runs(texts: list[bytes | None]) -> Iterator[list[bytes | None]]:
-    """Consecutive texts of about ``RUN_BYTES`` together."""
-    start = held = 0
-    for i, text in enumerate(texts):
-        held += len(text or b"") + 16
+def run_bounds(sizes: Iterable[int]) -> Iterator[tuple[int, int]]:
+    """First and end of consecutive texts of about ``RUN_BYTES`` together; ``sizes`` are theirs."""
+    start = end = held = 0
+    for end, size in enumerate(sizes, 1):
+        held += size + 16
         if held >= RUN_BYTES:
-            yield texts[start : i + 1]
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield texts[start:]
+            yield start, end
+            start, held = end, 0
+    if start < end:
+        yield start, end
+
+
+def runs(texts: list[bytes | None]) -> Iterator[list[bytes | None]]:
+    for start, end in run_bounds(len(t or b"") for t in texts):
+        yield texts[start:end]
+
+
+def by_runs(batches: Iterable[pa.RecordBatch], position: int, names: list[str], name: str, fields: StructType, measure: Callable) -> Iterator[pa.RecordBatch]:
+    """``batches`` with struct ``name`` of the texts in column ``position``, one batch for each run of texts."""
+    for batch in batches:
+        texts = batch.column(position).cast(pa.binary())
+        for start, end in run_bounds(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+            arrays = [pa.array(x) if isinstance(x, np.ndarray) else x for x in measure(texts[start:end].to_pylist())]
+            struct = pa.StructArray.from_arrays(arrays, fields.names)
+            yield pa.RecordBatch.from_arrays([*batch.slice(start, end - start).columns, struct], names=[*names, name])
 
 
 def append(df: DataFrame, column: str, name: str, fields: StructType, factory: Callable) -> DataFrame:
@@ -51,14 +68,8 @@ def append(df: DataFrame, column: str, name: str, fields: StructType, factory: C
     names, position = df.columns, df.columns.index(column)
 
     def compute(batches):
-        measure = factory()
-        for batch in batches:
-            texts = batch.column(position).cast(pa.binary()).to_pylist()
-            parts = [[pa.array(x) if isinstance(x, np.ndarray) else x for x in measure(run)] for run in runs(texts)]
-            if not parts:
-                continue
-            struct = pa.StructArray.from_arrays([pa.concat_arrays(list(x)) for x in zip(*parts)], fields.names)
-            yield pa.RecordBatch.from_arrays([*batch.columns, struct], names=[*names, name])
+        yield from by_runs(batches, position, names, name, fields, factory())
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(compute, schema)
 

@@ -7,6 +7,7 @@ from collections import Counter
 
 import llm_cases
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sunledger.llm import fertility, length_histogram, lm_scoring, packing, tokens
@@ -36,6 +37,27 @@ def test_encoder_with_a_full_table_starts_again(monkeypatch):
     assert got == ids_of(texts)
 
 
+def test_a_batch_is_handed_on_in_runs_of_bounded_size():
+    texts = [None, "", *(f"{i} " * 100_000 for i in range(40)), None]
+    fields = tokens.StructType([tokens.StructField("n", tokens.LongType())])
+    whole = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["k", "text"])
+    own = tokens.Encoder(PATH)
+    out = list(tokens.T.by_runs([whole, whole.slice(0, 0)], 1, ["k", "text"], "token", fields, lambda x: [own.lengths(x)]))
+    longest = max(len(t or "") for t in texts)
+    assert max(sum(len(t or "") for t in b.column(1).to_pylist()) for b in out) <= tokens.T.RUN_BYTES + longest
+    assert sum((b.column(0).to_pylist() for b in out), []) == list(range(len(texts)))
+    assert [n["n"] for b in out for n in b.column(2).to_pylist()] == [len(x) for x in ids_of(texts)]
+
+
+def test_a_worker_remembers_few_words():
+    own = fertility.Pieces(PIECES)
+    held = 0
+    for part in range(8):
+        own.number([b"w%d" % i for i in range(part * 100_000, (part + 1) * 100_000)])
+        held = max(held, len(own.numbers))
+    assert held <= 400_000
+
+
 def best_fit_decreasing(lengths, size):
     """One piece at a time into the tightest open bin."""
     rooms = []
