@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import csv
 import re
-from itertools import groupby
 from urllib.parse import unquote
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,7 +56,8 @@ def read_cells(spark: SparkSession, paths: str | list[str], skip_unreadable: boo
     if lines.where(F.col("_metadata.file_size") > whole).select(F.lit(1)).isEmpty():
         return scan.drop("line", "header")
     scan = materialize(scan, "cells")
-    headers = scan.where(F.col("header").isNotNull()).select("path", "header")
+    # Stored by themselves, so that their size is known: a file's lines stay where they are unless the headers are too many.
+    headers = materialize(scan.where(F.col("header").isNotNull()).select("path", "header"), "headers")
     rest = scan.where(F.col("line").isNotNull()).select("path", "line").join(headers, "path")
     ready = scan.where(F.col("line").isNull() & F.col("header").isNull())
     return ready.unionByName(rest.mapInArrow(_with_headers, CELLS)).drop("line", "header")
@@ -93,16 +95,49 @@ def _header(line: str) -> list[int | None] | None:
     return found if any(i is not None for i in found) else None
 
 
-def _named(lines: list[str], header: list[int | None], columns: list[list]) -> int:
-    """Append the cells of data lines; a line that starts with a bracket is the units row. Returns the number of rows."""
-    rows = [_cells(x) for x in lines if x.strip() and not x.startswith("[")]
-    for i, column in zip(header, columns):
-        column.extend([None] * len(rows) if i is None else [r[i] or None if i < len(r) else None for r in rows])
-    return len(rows)
+def _named(lines: pa.Array, header: list[int | None]) -> list[pa.Array]:
+    """The cells of data lines under the known headers; a line that starts with a bracket is the units row.
 
-
-def _cell_batch(columns: list[list], paths: list, lines: list, headers: list):
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (*columns, paths, lines, headers)], names=CELLS.names)
+    Lines without quotes and of equally many cells, more than one, are cut all at once, any others one by one.
+    """
+    lines = lines.filter(pc.invert(pc.starts_with(lines, "[")))
+    cells = pc.split_pattern(lines, ",")
+    widths = np.unique(pc.list_value_length(cells).to_numpy(zero_copy_only=False))
+    if len(widths) == 1 and widths[0] > 1 and not pc.any(pc.match_substring(lines, '"')).as_py():
+        flat, width = cells.flatten(), int(widths[0])
+        none = pa.nulls(len(lines), pa.string())
+        found = [none if i is None or i >= width else flat.take(pa.array(np.arange(i, len(flat), width))) for i in header]
+        return [pc.if_else(pc.equal(c, ""), pa.scalar(None, pa.string()), c) for c in found]
+    rows = [_cells(x) for x in lines.to_pylist() if x.strip()]
+    return [pa.array([None if i is None or i >= len(r) else r[i] or None for r in rows], pa.string()) for i in header]
+
+
+def _blocks(*columns: pa.Array) -> list[tuple[int, int]]:
+    """First and end of consecutive rows that are equal in all of ``columns``."""
+    n = len(columns[0])
+    new = np.zeros(max(n - 1, 0), bool)
+    for c in columns:
+        new |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+    edges = [0, *(np.flatnonzero(new) + 1).tolist(), n]
+    return list(zip(edges[:-1], edges[1:])) if n else []
+
+
+class _CellRows:
+    """Rows of ``CELLS`` in parts, joined into one batch."""
+
+    def __init__(self):
+        self.parts: list[list[pa.Array]] = [[] for _ in CELLS.names]
+
+    def add(self, path: str, n: int, columns: list[pa.Array] | None = None, lines: pa.Array | None = None, header: str | None = None) -> None:
+        none = pa.nulls(n, pa.string())
+        row = [*(columns or [none] * len(KNOWN_HEADERS)), pa.repeat(pa.scalar(path, pa.string()), n)]
+        row += [none if lines is None else lines, pa.repeat(pa.scalar(header, pa.string()), n)]
+        for part, column in zip(self.parts, row):
+            part.append(column)
+
+    def batches(self):
+        if self.parts[0]:
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(p) for p in self.parts], names=CELLS.names)
 
 
 def _by_first_line(batches):
@@ -110,50 +145,44 @@ def _by_first_line(batches):
     headers: dict[str, list | None] = {}  # of the files that this task has read from the start
     now = None
     for batch in batches:
-        values, paths, starts, complete = (batch.column(i).to_pylist() for i in range(4))
-        columns, own_paths, lines, found = [[] for _ in KNOWN_HEADERS], [], [], []
-        at = 0
-        for _, block in groupby(zip(paths, starts)):
-            until = at + sum(1 for _ in block)
-            path, start = paths[at], starts[at]
+        values, paths, starts, complete = (batch.column(i) for i in range(4))
+        values, out = values.cast(pa.string()), _CellRows()
+        for at, until in _blocks(paths, starts):
+            path, start = paths[at].as_py(), starts[at].as_py()
             if start == 0 and (path, start) != now:
                 headers = {path: None}  # the files before are done
                 now = (path, start)
                 seeking = True
             if start == 0 and seeking:
-                while at < until and not values[at].strip("\ufeff \t"):
+                while at < until and not values[at].as_py().strip("\ufeff \t"):
                     at += 1
                 if at < until:
-                    headers[path], seeking = _header(values[at]), False
-                    if headers[path] is not None and not complete[at]:
-                        columns, own_paths = [[*c, None] for c in columns], [*own_paths, path]
-                        lines, found = [*lines, None], [*found, values[at]]
+                    headers[path], seeking = _header(values[at].as_py()), False
+                    if headers[path] is not None and not complete[at].as_py():
+                        out.add(path, 1, header=values[at].as_py())
                     at += 1
-            if path in headers:
-                n = _named(values[at:until], headers[path], columns) if headers[path] is not None else 0
-                lines.extend([None] * n)
-            else:
-                n = until - at
-                lines.extend(values[at:until])
-                for c in columns:
-                    c.extend([None] * n)
-            own_paths.extend([path] * n)
-            found.extend([None] * n)
-            at = until
-        yield _cell_batch(columns, own_paths, lines, found)
+            lines = values.slice(at, until - at)
+            if path not in headers:
+                out.add(path, len(lines), lines=lines)
+            elif headers[path] is not None:
+                columns = _named(lines, headers[path])
+                out.add(path, len(columns[0]), columns)
+        yield from out.batches()
 
 
 def _with_headers(batches):
     """(path, line, header) -> ``CELLS``."""
     known: dict[str, list | None] = {}
     for batch in batches:
-        columns, paths = [[] for _ in KNOWN_HEADERS], []
-        for path, line, header in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        paths, lines, headers = (batch.column(i) for i in range(3))
+        lines, out = lines.cast(pa.string()), _CellRows()
+        for at, until in _blocks(paths, headers):
+            header = headers[at].as_py()
             if header not in known:
                 known[header] = _header(header)
-            paths.extend([path] * _named([line], known[header], columns))
-        none = [None] * len(paths)
-        yield _cell_batch(columns, paths, none, none)
+            columns = _named(lines.slice(at, until - at), known[header])
+            out.add(paths[at].as_py(), len(columns[0]), columns)
+        yield from out.batches()
 
 
 def skipped_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from sunledger import schema as S
 from sunledger.functions import readings as R
 from sunledger.operators import reports, sets
 from sunledger.sinks import tables
+from sunledger.sources import readings as sources
 from sunledger.sources.history import history_readings, read_history_json, read_store
 from sunledger.sources.readings import read_readings, skipped_files
 from sunledger.streaming.folder import readings_stream
@@ -161,6 +162,28 @@ def test_written_files_read_back(spark, files, tmp_path):
     assert back.exceptAll(df.select(back.columns)).count() == 0 and back.count() == df.count()
 
 
+def test_a_large_source_is_written_as_several_files(spark, tmp_path):
+    values = [F.col("id").cast("double").alias(m) for m in S.MEASURES]
+    df = spark.range(500).select((F.col("id") % 100 == 0).cast("string").alias("source_id"), F.lit(dt.date(2023, 1, 1)).alias("reading_date"), *values)
+    tables.write_units_csv(df, str(tmp_path / "out"), file_rows=40)
+    written = list((tmp_path / "out" / "source=false").glob("*.csv"))
+    assert len(written) > 4
+    assert max(len(f.read_text().splitlines()) for f in written) < 200
+    assert all(f.read_text().splitlines()[1].startswith("[dd") for f in written)
+    back = read_readings(spark, str(tmp_path / "out" / "*" / "*.csv")).select(*df.columns)
+    assert back.exceptAll(df).count() == 0 and back.count() == 500
+
+
+def test_lines_cut_at_once_equal_lines_cut_one_by_one():
+    even = ["[dd.MM.yyyy],[Wh]", "1,2,,4", ",,,", "é, b ,c,d", "[x,1,2,3"]
+    odd = ["1,2", "", " \t", 'a,"b,c",d', "1,2,3,4,5", "x", ",", "\x1c"]
+    header = [0, None, 3, 1, 9, None, None, None]
+    for lines in (even, odd, even + odd, [], ["5", " "]):
+        rows = [sources._cells(x) for x in lines if x.strip() and not x.startswith("[")]
+        want = [[None if i is None or i >= len(r) else r[i] or None for r in rows] for i in header]
+        assert [c.to_pylist() for c in sources._named(sources.pa.array(lines, "string"), header)] == want
+
+
 def test_history_array_and_retention(spark, tmp_path):
     path = write(
         tmp_path, "history.json",
