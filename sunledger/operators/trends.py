@@ -9,7 +9,7 @@ seven rows before them, which gives the same rows while no task ever holds a who
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sunledger import schema as S
@@ -49,41 +49,65 @@ def analyze_trends(
 
 
 def _trend_windows(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame:
-    """All history measures from windows that share one partitioning and one sort."""
+    """All history measures, from two windows that share one partitioning and one sort.
+
+    The second one hands each row the changes, yields and values of the rows before it as columns: a sliding frame
+    would go through its rows again for each reading and measure.
+    """
     running = Window.partitionBy(*keys).orderBy(*order_by)
-    history = running.rowsBetween(-S.HISTORY_ROWS, -1)
     g, a = F.col("generation_wh"), F.col("self_consumption_wh")
+    kept = df.columns
 
     df = df.withColumn("_eff", a / F.greatest(g, F.lit(1.0)))
     step = {
         f"_chg_{name}": relative_change(F.lag(value).over(running), F.col(value))
         for name, value in SERIES.items()
     }
-    # Position among the rows with generation: the index the degradation slope is fitted on.
-    productive = running.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    step["_idx"] = F.sum((g > 0).cast("long")).over(productive).cast("double")
     step["_yield"] = F.when(g > 0, F.try_divide(a, g))
     df = df.withColumns(step)
 
-    yields = F.count("_yield").over(history)
-    columns: dict[str, Column] = {
-        "history_rows": F.count(F.lit(1)).over(history),
-        "degradation_slope": F.when(
-            yields >= S.MIN_DEGRADATION_ROWS, F.regr_slope("_yield", "_idx").over(history)
-        ),
-    }
+    def earlier(column: str, reach: int) -> list[str]:
+        """Names of the column's values in the ``reach`` rows before, the oldest first; null where there is no such row."""
+        return [f"_{k}_{column}" for k in range(reach, 0, -1)]
+
+    reach = {**{f"_chg_{n}": S.HISTORY_ROWS - 1 for n in SERIES}, "_yield": S.HISTORY_ROWS, **{v: S.RECENT_VALUES for v in SERIES.values()}}
+    lags = {f"_{k}_{c}": F.lag(c, k).over(running) for c, far in reach.items() for k in range(1, far + 1)}
+    rows = F.least(F.row_number().over(running) - 1, F.lit(S.HISTORY_ROWS)).cast("long")
+    df = df.withColumns({**lags, "history_rows": rows})
+
+    yields = [F.col(c) for c in earlier("_yield", S.HISTORY_ROWS)]
+    measures = {"degradation_slope": F.when(_known(yields) >= S.MIN_DEGRADATION_ROWS, _slope(yields))}
     for name, value in SERIES.items():
-        columns.update(_series_columns(name, value, running, history))
-    kept = [c for c in df.columns if c != "_eff" and not c.startswith(("_chg_", "_idx", "_yield"))]
+        measures[f"_mean_{name}"] = _mean([F.col(c) for c in earlier(f"_chg_{name}", S.HISTORY_ROWS - 1)])
+        # The values are never null. A lambda keeps this projection out of one generated method, which would be too long
+        # for the JVM to compile; its expressions are generated as methods of their own.
+        measures[f"_recent_{name}"] = F.filter(F.array(*earlier(value, S.RECENT_VALUES)), lambda x: x.isNotNull())
+    last = {f"_last_{name}": F.col(f"_1_{value}") for name, value in SERIES.items()}
+    df = df.select(*kept, "_eff", "history_rows", *[c.alias(n) for n, c in {**measures, **last}.items()])
+
+    columns: dict[str, Column] = {c: F.col(c) for c in ("history_rows", "degradation_slope")}
+    for name, value in SERIES.items():
+        own = (F.col(f"_{part}_{name}") for part in ("mean", "last"))
+        columns.update(series_trend(name, F.col("history_rows"), *own, F.col(value), F.col(f"_recent_{name}")))
     return df.select(*kept, *[c.alias(n) for n, c in columns.items()])
 
 
-def _series_columns(name: str, value: str, running: WindowSpec, history: WindowSpec) -> dict[str, Column]:
-    pairs = running.rowsBetween(1 - S.HISTORY_ROWS, -1)
-    mean = F.avg(f"_chg_{name}").over(pairs)
-    rows = F.count(F.lit(1)).over(history)
-    recent = F.collect_list(value).over(running.rowsBetween(-S.RECENT_VALUES, -1))
-    return series_trend(name, rows, mean, F.lag(value).over(running), F.col(value), recent)
+def _known(values: list[Column]) -> Column:
+    return sum((v.isNotNull().cast("int") for v in values), F.lit(0))
+
+
+def _mean(values: list[Column]) -> Column:
+    """Mean of the known ones, added in their order as ``avg`` adds them; null if none is known."""
+    total = sum((F.coalesce(v, F.lit(0.0)) for v in values), F.lit(0.0))
+    return F.try_divide(total, _known(values).cast("double"))
+
+
+def _slope(values: list[Column]) -> Column:
+    """Least-squares slope of the known ones over their positions 0, 1, ... among themselves."""
+    n = _known(values).cast("double")
+    total = sum((F.coalesce(v, F.lit(0.0)) for v in values), F.lit(0.0))
+    weighted = sum((F.coalesce(v * _known(values[:i]), F.lit(0.0)) for i, v in enumerate(values)), F.lit(0.0))
+    return F.try_divide(weighted - total * (n - 1) / 2, n * (n * n - 1) / 12)
 
 
 def series_trend(

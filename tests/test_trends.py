@@ -171,3 +171,29 @@ def test_each_finding_is_spelt_out_once_in_the_plan(spark):
     assert (last.risk_score, last.has_risk) == (0.7, True) and last.risk_message.count(";") == 1
     first = analyzed.orderBy("reading_date").first()
     assert (first.risk_score, first.has_risk, first.risk_message) == (0.0, False, "Datos insuficientes para predicción")
+
+
+def test_a_row_gets_its_history_without_sliding_frames(spark):
+    """Each sliding frame goes through its rows again for each reading; its generated code grows with every measure."""
+    plan = analyze_trends(random_sites(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "lag(" in plan and "regr_slope" not in plan and "collect_list" not in plan
+
+
+def test_slope_and_mean_skip_rows_as_sql_does(spark):
+    """The degradation slope and the mean change equal Spark's own aggregates over the seven rows before."""
+    df = random_sites(spark, sites=8, days=80, seed=11)
+    w = "(PARTITION BY site_id ORDER BY reading_date ROWS BETWEEN {} PRECEDING AND 1 PRECEDING)"
+    df.createOrReplaceTempView("slope_readings")
+    plain = spark.sql(f"""
+        WITH a AS (SELECT *, lag(generation_wh) OVER (PARTITION BY site_id ORDER BY reading_date) AS p,
+            sum(CAST(generation_wh > 0 AS INT)) OVER (PARTITION BY site_id ORDER BY reading_date) AS idx,
+            CASE WHEN generation_wh > 0 THEN self_consumption_wh / generation_wh END AS y FROM slope_readings),
+        b AS (SELECT *, CASE WHEN p > 0 THEN (generation_wh - p) / p END AS c FROM a)
+        SELECT site_id, reading_date, CASE WHEN count(y) OVER {w.format(7)} >= 5 THEN regr_slope(y, idx) OVER {w.format(7)} END AS slope,
+            abs(avg(c) OVER {w.format(6)}) AS speed, collect_list(generation_wh) OVER {w.format(5)} AS recent FROM b""")
+    expected = {(r.site_id, r.reading_date): r for r in plain.collect()}
+    for row in analyze_trends(df).collect():
+        own = expected[(row.site_id, row.reading_date)]
+        assert (row.degradation_slope is None) == (own.slope is None)
+        assert own.slope is None or row.degradation_slope == pytest.approx(own.slope, rel=1e-9, abs=1e-13)
+        assert row.generation_recent is None or (row.generation_speed, row.generation_recent) == (own.speed, own.recent)
