@@ -127,11 +127,11 @@ def best_fit(pieces: DataFrame, order: list[str], size: int = SEQUENCE, length:
     )
 
 
-def token_pieces(docs: DataFrame, path: str, size: int = SEQUENCE, end: int = END_ID) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, size: int = SEQUENCE, end: int = END_ID, memory: int | None = None) -> DataFrame:
     """Pieces of at most ``size`` tokens: doc_id, piece (int), start, length (long), ids (binary, little-endian
     unsigned 32-bit). Null text counts as empty; an empty document is its end id alone. Repeated rows give
     repeated pieces; other columns are left out."""
-    table = tokens.with_token_ids(docs.select("doc_id", "text"), "text", "token", path, end)
+    table = tokens.with_token_ids(docs.select("doc_id", "text"), "text", "token", path, end, memory)
     piece = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(token.n - 1) div {size}"))).alias("p")
     return table.select("doc_id", "token", piece).select(
         "doc_id",
@@ -142,10 +142,10 @@ def token_pieces(docs: DataFrame, path: str, size: int = SEQUENCE, end: int = EN
     )
 
 
-def pack_documents(docs: DataFrame, path: str, size: int = SEQUENCE, end: int = END_ID, keep_ids: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, size: int = SEQUENCE, end: int = END_ID, keep_ids: bool = True, memory: int | None = None) -> DataFrame:
     """Pieces of all documents with their place: doc_id, piece, start, length, ids (if ``keep_ids``), ids_crc32,
-    sequence_id, offset."""
-    pieces = token_pieces(docs, path, size, end).withColumn("ids_crc32", F.crc32("ids"))
+    sequence_id, offset. ``memory`` is the number of distinct words that a worker remembers."""
+    pieces = token_pieces(docs, path, size, end, memory).withColumn("ids_crc32", F.crc32("ids"))
     stored = materialize(pieces if keep_ids else pieces.drop("ids"), "pieces")
     return best_fit(stored, ["doc_id", "piece", "ids_crc32"], size)
 

@@ -20,7 +20,7 @@ from pyspark.sql.types import StructField, StructType
 from sunledger.session import ship_package
 
 RUN_BYTES = 2 << 20
-#: Distinct words that a worker remembers; beyond that it starts again with an empty table.
+#: Distinct words that a worker remembers; beyond that it keeps those it met most often.
 MEMORY_WORDS = 300_000
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
@@ -112,6 +112,33 @@ class WordNumbers(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
+class CountedWords(WordNumbers):
+    """Numbers of words and how often each was met, so that a full table can keep the frequent ones."""
+
+    def __init__(self):
+        super().__init__()
+        self.met = np.zeros(0, np.int64)
+
+    def number(self, words: list[bytes]) -> np.ndarray:
+        numbers = super().number(words)
+        met = np.bincount(numbers, minlength=len(self))
+        met[: len(self.met)] += self.met
+        self.met = met
+        return numbers
+
+    def keep_frequent(self, most: int) -> np.ndarray:
+        """Keep the words met more than once, ``most`` of them at most, under new numbers; returns their former ones in
+        the new order. What was met long ago counts half each time."""
+        kept = np.flatnonzero(self.met > 1)
+        if len(kept) > most:
+            kept = np.sort(kept[np.argpartition(self.met[kept], len(kept) - most)[len(kept) - most :]])
+        words, met = list(self), self.met[kept] // 2
+        self.clear()
+        self.update((words[k], i) for i, k in enumerate(kept.tolist()))
+        self.met = met
+        return kept
+
+
 class Ragged:
     """Growing list of small integer arrays, gathered by number."""
 
@@ -129,6 +156,12 @@ class Ragged:
         self.used += len(flat)
         self.count += len(sizes)
 
+    def only(self, numbers: np.ndarray) -> Ragged:
+        """The arrays of ``numbers``, numbered from 0."""
+        out = Ragged(self.values.dtype)
+        out.extend(self.gather(numbers), self.sizes(numbers))
+        return out
+
     def sizes(self, numbers: np.ndarray) -> np.ndarray:
         return self.starts[numbers + 1] - self.starts[numbers]
 

@@ -25,11 +25,12 @@ def default_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = T.MEMORY_WORDS):
         import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.memory = memory
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # For parts that are normalised already.
@@ -40,21 +41,16 @@ class Encoder:
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         # Fixed value: where this vocabulary cuts a text before its merges. Line ends stay, as marks between words.
         self.cut = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+").findall
-        self._forget_parts()
-        self._forget()
-
-    def _forget(self) -> None:
-        self.numbers, self.ids = T.WordNumbers(), T.Ragged(np.uint16)
-
-    def _forget_parts(self) -> None:
-        self.parts, self.part_ids = T.WordNumbers(), T.Ragged(np.uint16)
+        self.numbers, self.ids = T.CountedWords(), T.Ragged(np.uint16)
+        self.parts, self.part_ids = T.CountedWords(), T.Ragged(np.uint16)
 
     def _encode_parts(self, parts: list[str]) -> None:
         """Ids of parts met for the first time; the mark has none. Every part ends with an end-of-word token."""
         for start in range(0, len(parts), 4096):
             own = parts[start : start + 4096]
             here = [p for p in own if p != "\n"]
-            ids = np.array(self.plain.encode_batch_fast([here], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint16)
+            # Spaces between them keep parts apart, and one text is encoded faster than a list of parts.
+            ids = np.array(self.plain.encode_batch_fast([" ".join(here)], add_special_tokens=False)[0].ids, np.uint16)
             last = np.flatnonzero(self.ends[ids])
             if len(last) == len(here):
                 sizes = np.diff(np.concatenate([[-1], last]))
@@ -72,8 +68,8 @@ class Encoder:
             found = [e.ids for e in self.tokenizer.encode_batch_fast(text.split("\n"), add_special_tokens=False)]
             self.ids.extend(np.array([i for x in found for i in x], np.uint16), np.array([len(x) for x in found], np.int64))
         else:
-            if len(self.parts) > T.MEMORY_WORDS // 3:
-                self._forget_parts()
+            if len(self.parts) > self.memory // 3:
+                self.part_ids = self.part_ids.only(self.parts.keep_frequent(self.memory // 6))
             parts = self.cut(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower() + "\n")
             numbers = self.parts.number(parts)
             if self.parts.new:
@@ -86,8 +82,8 @@ class Encoder:
         self.numbers.new.clear()
 
     def _numbers(self, words: list[bytes]) -> np.ndarray:
-        if len(self.numbers) > T.MEMORY_WORDS:
-            self._forget()
+        if len(self.numbers) > self.memory:
+            self.ids = self.ids.only(self.numbers.keep_frequent(self.memory // 2))
         numbers = self.numbers.number(words)
         if self.numbers.new:
             self._learn()
@@ -104,20 +100,22 @@ class Encoder:
         return self.ids.gather(numbers), T.sums(self.ids.sizes(numbers), counts)
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder, kept from task to task."""
-    return T.worker_table(("tokens", path), lambda: Encoder(path))
+def encoder(path: str, memory: int | None = None) -> Encoder:
+    """The worker's encoder, kept from task to task. It remembers about ``memory`` distinct words."""
+    memory = memory or T.MEMORY_WORDS
+    return T.worker_table(("tokens", path, memory), lambda: Encoder(path, memory))
 
 
-def with_token_ids(df: DataFrame, column: str, name: str, path: str, end: int | None = None) -> DataFrame:
+def with_token_ids(df: DataFrame, column: str, name: str, path: str, end: int | None = None, memory: int | None = None) -> DataFrame:
     """``df`` with struct ``name``: ``ids`` (binary, little-endian unsigned 32-bit) and ``n`` (long).
 
     ``end`` is an id put after each text's own ones. A null text counts as empty.
+    ``memory`` is the number of distinct words that a worker remembers.
     """
     fields = StructType([StructField("ids", BinaryType()), StructField("n", LongType())])
 
     def factory():
-        own = encoder(path)
+        own = encoder(path, memory)
 
         def measure(texts):
             ids, counts = own.encode(texts)

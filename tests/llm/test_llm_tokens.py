@@ -241,3 +241,18 @@ def test_a_lone_very_long_junk_text_is_rejected_and_a_clean_one_stays(spark, lan
     docs = spark.createDataFrame([*clean, long_clean, odd], "doc_id long, text string, lang string").repartition(3)
     kept = {r.doc_id for r in fertility.judge(docs, PIECES).collect() if r.kept}
     assert 20_001 not in kept and 20_000 in kept
+
+
+def test_a_full_encoder_keeps_frequent_words_and_all_ids():
+    """Words met once make room, frequent ones are not encoded again, and every id stays that of the tokenizer."""
+    from tokenizers import Tokenizer
+
+    path = tokens.default_path()
+    own, plain, learned = tokens.Encoder(path, memory=60), Tokenizer.from_file(path), []
+    learn = own._learn
+    own._learn = lambda: (learned.extend(own.numbers.new), learn())
+    for i in range(40):
+        text = "the of  and's naïve 12a-b\n" + " ".join(f"rare{chr(97 + i % 26)}{j}x{i} ñandú{j * i}ción###" for j in range(30)) + " the of"
+        ids, counts = own.encode([text.encode(), None, b""])
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids and counts.tolist() == [len(ids), 0, 0]
+    assert learned.count(b"the") == 1 and learned.count("naïve".encode()) == 1
