@@ -67,7 +67,7 @@ class Grams:
         self._forget()
 
     def _forget(self) -> None:
-        self.numbers, self.grams = T.WordNumbers(), T.Ragged(np.int32)
+        self.numbers, self.grams = T.CountedWords(), T.Ragged(np.int32)
         self.places: dict[int, int] = {}
         self.codes = np.zeros(0, np.int64)
 
@@ -76,7 +76,10 @@ class Grams:
 
     def number(self, words: list[bytes]) -> np.ndarray:
         if self.full():
-            self._forget()
+            if len(self.codes) > T.MEMORY_WORDS:
+                self._forget()
+            else:
+                self.grams = self.grams.only(self.numbers.keep_frequent(T.MEMORY_WORDS // 4))
         numbers = self.numbers.number(words)
         if self.numbers.new:
             codes, sizes = grams_of(self.numbers.new)

@@ -326,3 +326,24 @@ def test_stages_of_hostile_and_empty_documents(spark):
             out = stage(spark, docs, SF_DIR)
             out.write.format("noop").mode("overwrite").save()
     assert tokens.default_path() and minhash.ROWS * minhash.HALVES == 36
+
+
+def test_a_full_table_of_words_keeps_frequent_ones_and_changes_no_language(monkeypatch):
+    from sunledger.llm import texts as T
+
+    table = [(lang, ord(c), r) for lang, order in (("aa", "abcdefgñ"), ("bb", "zyxwvutñ")) for r, c in enumerate(order)]
+    runs = [[f"the {'abc' if k % 2 else 'zyx'}{chr(97 + k)}{chr(97 + i)} éa{'bdf'[k % 3]}{chr(98 + i)} the".encode() for k in range(20)] for i in range(20)]
+
+    def judged():
+        measure = language_profiles.identify(table, 60)()
+        return [[x.tolist() if hasattr(x, "tolist") else x.to_pylist() for x in measure(run)] for run in runs]
+
+    whole = judged()
+    monkeypatch.setattr(T, "MEMORY_WORDS", 120)
+    assert judged() == whole
+    learned, plain = [], language_profiles.grams_of
+    monkeypatch.setattr(language_profiles, "grams_of", lambda words: (learned.extend(words), plain(words))[1])
+    own = language_profiles.Grams()
+    for run in runs:
+        own.number(T.split_words(run)[0])
+    assert learned.count(b"the") == 1 and len(own.numbers) < 120
