@@ -344,6 +344,6 @@ def test_a_full_table_of_words_keeps_frequent_ones_and_changes_no_language(monke
     learned, plain = [], language_profiles.grams_of
     monkeypatch.setattr(language_profiles, "grams_of", lambda words: (learned.extend(words), plain(words))[1])
     own = language_profiles.Grams()
-    for run in runs:
-        own.number(T.split_words(run)[0])
+    for i in range(20):  # many words of few n-grams
+        own.number([b"the", *(b"ab" * (20 * i + k + 1) for k in range(20)), b"the"])
     assert learned.count(b"the") == 1 and len(own.numbers) < 120
