@@ -54,34 +54,56 @@ class LastReadings:
         latest = F.max("batch").over(Window.partitionBy("site_id"))
         return stored.withColumn("_latest", latest).where("batch = _latest").drop("batch", "_latest")
 
-    def commit(self, batch_id: int, seen: DataFrame) -> None:
-        """Store the state after a batch. ``seen``: the batch's readings in order and what was remembered of all sites."""
+    def commit(self, batch_id: int, new: DataFrame, remembered: DataFrame) -> None:
+        """Store the state after a batch. ``new``: its readings in order, as they were stored. ``remembered``: that of all sites before."""
         if batch_id % FULL_EVERY:
-            touched = seen.where("_new").select("site_id").distinct()
-            seen = seen.join(touched, seen["site_id"].eqNullSafe(touched["site_id"]), "left_semi")
-        rows = top_k_per_group(seen.select("site_id", "reading_date", *_MEASURES), ["site_id"], [F.desc("reading_date")], S.HISTORY_ROWS)
+            remembered = of_sites_in(new, remembered)
+        columns = ["site_id", "reading_date", *_MEASURES]
+        seen = new.select(*columns).unionByName(remembered.select(*columns))
+        rows = top_k_per_group(seen, ["site_id"], [F.desc("reading_date")], S.HISTORY_ROWS, salts=0)
         rows.write.mode("overwrite").parquet(self._folder(batch_id))
         if batch_id % FULL_EVERY == 0:
             for old in range(max(0, batch_id - 2 * FULL_EVERY), batch_id - FULL_EVERY):
                 delete_path(self.spark, self._folder(old))
 
 
+def of_sites_in(new: DataFrame, remembered: DataFrame) -> DataFrame:
+    """What is remembered of the sites that ``new`` has."""
+    sites = new.select("site_id").distinct()
+    return remembered.join(sites, remembered["site_id"].eqNullSafe(sites["site_id"]), "left_semi")
+
+
+def with_remembered(new: DataFrame, remembered: DataFrame) -> DataFrame:
+    """The readings of a batch in order (flag ``_new``) and those remembered."""
+    flagged = remembered.withColumn("_new", F.lit(False))
+    return new.withColumn("_new", F.lit(True)).unionByName(flagged, allowMissingColumns=True)
+
+
 def arrivals(batch: DataFrame, remembered: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The readings of a batch in order together with the remembered ones (flag ``_new``), and the late ones.
+    """The readings of a batch in order, and the late ones.
 
     A reading without a date, not later than its site's newest remembered one, or of a day that the batch has
-    twice, is late; of a day's readings the smallest one is in order. ``batch`` must be a stored table.
+    twice, is late; of a day's readings the smallest one is in order. Only sites and days are shuffled to find such days,
+    combined in every task, and only the readings of those days are stored; all others pass as they are.
     """
     rest = [c for c in batch.columns if c not in ("site_id", "reading_date")]
-    numbered = materialize(batch.withColumn("_id", F.monotonically_increasing_id()), "arrivals")
-    # One row a site and day before anything is joined; combined in every task.
-    days = numbered.where("reading_date IS NOT NULL").groupBy("site_id", "reading_date").agg(F.min(F.struct(*rest, "_id")).alias("_row"))
-    newest = remembered.groupBy(F.col("site_id").alias("_site")).agg(F.max("reading_date").alias("_newest"))
-    known = days.join(newest, F.col("site_id").eqNullSafe(F.col("_site")), "left").where("_newest IS NULL OR reading_date > _newest")
-    in_order = materialize(known.select("site_id", "reading_date", "_row.*"), "in-order")
-    late = numbered.join(in_order.select("_id"), "_id", "left_anti").select(*batch.columns)
-    both = in_order.drop("_id").withColumn("_new", F.lit(True))
-    return both.unionByName(remembered.withColumn("_new", F.lit(False)), allowMissingColumns=True), late
+    days = _late_days(batch, remembered)
+    same = F.col("site_id").eqNullSafe(F.col("_site")) & F.col("reading_date").eqNullSafe(F.col("_day"))
+    rows = materialize(batch.join(days, same).withColumn("_id", F.monotonically_increasing_id()), "late-rows")
+    first = rows.where("_kept").groupBy("site_id", "reading_date").agg(F.min(F.struct(*rest, "_id")).alias("_row"))
+    ordered = batch.join(days, same, "left_anti").select("site_id", "reading_date", *rest)
+    late = rows.join(first.select("_row._id"), "_id", "left_anti").select(*batch.columns)
+    return ordered.unionByName(first.select("site_id", "reading_date", *[f"_row.{c}" for c in rest])), late
+
+
+def _late_days(batch: DataFrame, remembered: DataFrame) -> DataFrame:
+    """(_site, _day, _kept): the days of a batch with a late reading, and whether another one of them is in order. Stored."""
+    days = batch.groupBy("site_id", "reading_date").agg((F.count(F.lit(1)) > 1).alias("_twice"))
+    newest = materialize(remembered.groupBy(F.col("site_id").alias("_site")).agg(F.max("reading_date").alias("_newest")), "newest")
+    later = F.col("reading_date").isNotNull() & (F.col("_newest").isNull() | (F.col("reading_date") > F.col("_newest")))
+    known = days.join(newest, F.col("site_id").eqNullSafe(F.col("_site")), "left").withColumn("_kept", later)
+    found = known.where("_twice OR NOT _kept")
+    return materialize(found.select(F.col("site_id").alias("_site"), F.col("reading_date").alias("_day"), "_kept"), "late-days")
 
 
 def stream_trends(readings: DataFrame, path: str, late_path: str, checkpoint: str, interval_seconds: int = 60, once: bool = False) -> StreamingQuery:
@@ -92,10 +114,10 @@ def stream_trends(readings: DataFrame, path: str, late_path: str, checkpoint: st
     """
 
     def handle(batch: DataFrame, remembered: DataFrame, run_id: str) -> DataFrame:
-        both, late = arrivals(batch.select("site_id", "reading_date", *_MEASURES), remembered)
-        tables.write_batch(analyze_trends(both).where("_new").drop("_new"), path, run_id)
+        new, late = arrivals(batch.select("site_id", "reading_date", *_MEASURES), remembered)
+        stored = tables.stored_batch(analyze_trends(with_remembered(new, remembered)).where("_new").drop("_new"), path, run_id)
         tables.write_batch(late, late_path, run_id)
-        return both
+        return stored
 
     return _follow(readings, handle, checkpoint, interval_seconds, once)
 
@@ -115,21 +137,21 @@ def stream_problems(
 ) -> StreamingQuery:
     """Score and analyse every reading as it arrives, and alert on anomalies and on future risk.
 
-    Each batch stores its scored readings (``history_path``), extended alerts, critical alerts and late readings in
+    Each batch stores its scored readings (``history_path``), late readings, extended alerts and critical alerts in
     folders of its own, which a replay overwrites; then the sites' last readings are remembered. ``on_alerts`` gets
     the stored alerts, again if the batch is replayed. Scores do not depend on the order, so late readings are stored
     with theirs, without trends.
     """
 
     def handle(batch: DataFrame, remembered: DataFrame, run_id: str) -> DataFrame:
-        both, late = arrivals(model.predict(batch), remembered)
-        analyzed = materialize(predict_problems(both).where("_new").drop("_new"), "problems")
+        new, late = arrivals(batch, remembered)
+        new = tables.stored_batch(model.predict(new), history_path, run_id)
+        tables.write_batch(model.predict(late), late_path, run_id)
+        analyzed = predict_problems(with_remembered(new, of_sites_in(new, remembered))).where("_new").drop("_new")
         stored = tables.fan_out_alerts(A.problem_alerts(A.prediction_gate(analyzed), at), alerts_path, critical_path, run_id)
-        tables.write_batch(both.where("_new").drop("_new"), history_path, run_id)
-        tables.write_batch(late, late_path, run_id)
         if on_alerts is not None:
             on_alerts(stored)
-        return both
+        return new
 
     return _follow(readings, handle, checkpoint, interval_seconds, once)
 
@@ -140,8 +162,8 @@ def _follow(readings: DataFrame, handle: Callable, checkpoint: str, interval_sec
 
     def run(batch: DataFrame, batch_id: int) -> None:
         state = LastReadings(batch.sparkSession, memory)
-        both = handle(batch, state.before(batch_id), f"{name}-{batch_id}")
-        state.commit(batch_id, both)
+        remembered = state.before(batch_id)
+        state.commit(batch_id, handle(batch, remembered, f"{name}-{batch_id}"), remembered)
 
     writer = readings.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if once else {"processingTime": f"{interval_seconds} seconds"}

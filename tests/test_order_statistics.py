@@ -123,3 +123,11 @@ def test_percentiles_of_many_columns_with_nulls_count_values_in_one_scan(spark):
         assert [got[c, p] for p in PROBS] == pytest.approx(df.agg(F.percentile(c, F.lit(PROBS)).alias("v")).first().v, rel=1e-12)
         for row in df.groupBy("g").agg(F.percentile(c, F.lit(PROBS)).alias("v")).collect():
             assert [grouped[row.g, c, p] for p in PROBS] == pytest.approx(row.v, rel=1e-12)
+
+
+def test_top_k_without_salts_is_limited_before_the_shuffle(spark):
+    df = spark.range(1000).select((F.col("id") % 7).alias("g"), "id")
+    top = O.top_k_per_group(df, ["g"], [F.desc("id")], 5, salts=0)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and plan.count("Exchange") == 1
+    assert {tuple(r) for r in top.collect()} == {tuple(r) for r in O.top_k_per_group(df, ["g"], [F.desc("id")], 5).collect()}

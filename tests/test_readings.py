@@ -1,4 +1,5 @@
 import datetime as dt
+import gzip
 
 import pytest
 from pyspark.sql import functions as F
@@ -242,3 +243,15 @@ def test_many_sites_share_files(spark, tmp_path):
     assert back.count() == rows.count() and back.exceptAll(rows.select(back.columns)).isEmpty()
     for file in (tmp_path / "out").glob("*.csv"):
         assert file.read_text().splitlines()[1].startswith("[dd.MM.yyyy]")
+
+
+def test_packed_site_files_hold_whole_sites_by_date(spark, tmp_path):
+    rows = helpers.random_sites(spark, sites=20, days=30)
+    tables.write_site_files(rows, str(tmp_path / "out"), "site_id", 100, "gzip")
+    files = sorted((tmp_path / "out").glob("*.csv.gz"))
+    texts = [gzip.decompress(f.read_bytes()).decode().splitlines() for f in files]
+    assert 1 < len(files) <= 6 and all(t[1].startswith("[dd.MM.yyyy]") for t in texts)
+    sites = [[line.rsplit(",", 1)[1] for line in t[2:]] for t in texts]
+    assert all(s == sorted(s) for s in sites) and sum(len(set(s)) for s in sites) == 20
+    back = read_readings(spark, str(tmp_path / "out")).select("site_id", "reading_date", *S.MEASURES)
+    assert back.count() == rows.count() and back.exceptAll(rows.select(back.columns)).isEmpty()

@@ -197,3 +197,36 @@ def test_slope_and_mean_skip_rows_as_sql_does(spark):
         assert (row.degradation_slope is None) == (own.slope is None)
         assert own.slope is None or row.degradation_slope == pytest.approx(own.slope, rel=1e-9, abs=1e-13)
         assert row.generation_recent is None or (row.generation_speed, row.generation_recent) == (own.speed, own.recent)
+
+
+def test_only_readings_of_late_days_are_stored_in_between(spark, tmp_path, monkeypatch):
+    stored, real = {}, ST.materialize
+
+    def counted(df, name):
+        table = real(df, name)
+        stored.setdefault(name, []).append(table.count())
+        return table
+
+    monkeypatch.setattr(ST, "materialize", counted)
+    df = random_sites(spark, sites=4, days=40).select("site_id", "reading_date", "generation_wh", "consumption_wh", "self_consumption_wh")
+    first, second = (df.where(F.col("reading_date") < dt.date(2024, 1, 15)), df.where(F.col("reading_date") >= dt.date(2024, 1, 15)))
+    arrive(spark, tmp_path, first)
+    again = second.where("site_id = 'S1'").orderBy("reading_date").limit(1)
+    old = first.where("site_id = 'S2'").orderBy("reading_date").limit(1)
+    undated = old.withColumn("reading_date", F.lit(None).cast("date"))
+    in_order, late = arrive(spark, tmp_path, second.unionAll(again).unionAll(again.withColumn("generation_wh", F.lit(1e9))).unionAll(old).unionAll(undated))
+    # Two of a day's three readings, one that comes again and one without a date are late.
+    assert stored == {"newest": [0, 4], "late-days": [0, 3], "late-rows": [0, 5]}
+    assert in_order.count() == df.count() and late.count() == 4 and late.where("generation_wh = 1e9").count() == 1
+    check(in_order.collect(), expected_trends(df.collect()))
+
+
+def test_readings_of_an_arrival_are_shuffled_by_site_and_day_only(spark):
+    """What is stored of a batch in order comes straight from the batch, without a shuffle of its measures."""
+    batch = random_sites(spark, sites=3, days=30)
+    remembered = spark.createDataFrame([], ST._REMEMBERED).drop("batch")
+    new, late = ST.arrivals(batch, remembered)
+    rows = {tuple(r) for r in new.collect()}
+    assert rows == {tuple(r) for r in batch.select(new.columns).collect()} and late.count() == 0
+    days = ST._late_days(batch, remembered)
+    assert days.columns == ["_site", "_day", "_kept"] and days.count() == 0
