@@ -13,18 +13,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sunledger import schema as S
+from sunledger.storage import materialize
 
 SERIES = {"generation": "generation_wh", "consumption": "consumption_wh", "efficiency": "_eff"}
 _HISTORY_MEASURES = ["generation_wh", "consumption_wh", "self_consumption_wh"]
 
 
 def one_reading_per_day(df: DataFrame) -> DataFrame:
-    """One row per site and date, whichever sources repeat it: of differing ones the smallest. Rows without a date stay."""
+    """One row per site and date, whichever sources repeat it: of differing ones the smallest. Rows without a date stay.
+
+    Only sites and dates are shuffled to find those that are repeated, combined in every task, and then the rows of these;
+    all others pass as they are. ``df`` is read twice, and once more where there are repeated ones.
+    """
     keys = ["site_id", "reading_date"]
     rest = [c for c in df.columns if c not in keys]
-    kept = df.where(F.col("reading_date").isNotNull()).groupBy(*keys).agg(F.min(F.struct(*rest)).alias("row"))
+    rows = df.where(F.col("reading_date").isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    repeated = rows.where("_rows > 1").select(F.col("site_id").alias("_site"), F.col("reading_date").alias("_day"))
+    repeated = materialize(repeated, "repeated-days")
+    same = F.col("site_id").eqNullSafe(F.col("_site")) & (F.col("reading_date") == F.col("_day"))
+    kept = df.join(repeated, same, "left_semi").groupBy(*keys).agg(F.min(F.struct(*rest)).alias("row"))
     kept = kept.select(*[F.col(c) if c in keys else F.col(f"row.{c}") for c in df.columns])
-    return kept.unionAll(df.where(F.col("reading_date").isNull()))
+    return df.join(repeated, same, "left_anti").unionAll(kept)
 
 
 def analyze_trends(

@@ -130,27 +130,29 @@ def problem_files(
     """Predict problems of new files with the stored history of their sites.
 
     The history's last days of each site go before the new readings, so a run with one new day per site
-    sees the same trends as one run over everything. New readings are alerted on and added to the
-    history under ``run_id``; a repeated run replaces its own part and does not see it. Returns the
-    stored alerts and the summary of the new readings.
+    sees the same trends as one run over everything. New readings are added to the history under
+    ``run_id``, from which they are analysed, and alerted on; a repeated run replaces its own part and
+    does not see it, so a run that failed in between is repeated. Returns the stored alerts and the
+    summary of the new readings.
     """
-    new = trends.one_reading_per_day(read_readings(spark, paths) if site is None else read_readings(spark, paths).withColumn("site_id", F.lit(site)))
-    new = materialize(model.predict(new), "new-readings")
+    readings = read_readings(spark, paths)
+    if site is not None:
+        readings = readings.withColumn("site_id", F.lit(site))
+    new = tables.stored_batch(model.predict(trends.one_reading_per_day(readings)), history_path, run_id)
     seen = Store(spark, history_path).read()
     if seen is not None:
         seen = seen.where(F.col("run") != run_id).drop("run")
         # Only what a trend can reach back to: a bounded number of days before the first new one of each site.
         first = new.groupBy("site_id").agg(F.min("reading_date").alias("_first"))
         seen = seen.join(materialize(first, "first-days"), "site_id").where(F.col("reading_date") < F.col("_first")).drop("_first")
-        seen = top_k_per_group(seen, ["site_id"], [F.desc("reading_date")], S.HISTORY_ROWS)
+        seen = top_k_per_group(seen, ["site_id"], [F.desc("reading_date")], S.HISTORY_ROWS, salts=0)
     both = new.withColumn("_new", F.lit(True))
     if seen is not None:
         both = both.unionByName(seen.withColumn("_new", F.lit(False)), allowMissingColumns=True)
-    analyzed = materialize(predict_problems(both).where("_new").drop("_new"), "problems")
+    analyzed = predict_problems(both).where("_new").drop("_new")
     alerts = A.problem_alerts(A.prediction_gate(analyzed), at)
     stored = tables.fan_out_alerts(alerts, alerts_path, critical_path, run_id)
-    tables.write_batch(new, history_path, run_id)
-    return stored, reports.global_summary(analyzed)
+    return stored, materialize(reports.global_summary(new), "summary")
 
 
 def fleet_report(scored: DataFrame) -> dict[str, DataFrame]:

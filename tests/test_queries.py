@@ -58,7 +58,10 @@ def test_predicted_and_known_come_from_one_stored_table(spark, name):
     assert files and not any("lineitem" in f for f in files)
 
 
-STORED = {"T05_problems_on_arrival": {"t05p", "t05p-in"}}
+STORED = {
+    "T05_problems_on_arrival": {"t05p", "t05p-in"},
+    "M15_problem_files": {"m15", "m15-a", "m15-b", "m15-c"},
+}
 
 
 @pytest.mark.parametrize("key", STORED)

@@ -230,3 +230,11 @@ def test_readings_of_an_arrival_are_shuffled_by_site_and_day_only(spark):
     assert rows == {tuple(r) for r in batch.select(new.columns).collect()} and late.count() == 0
     days = ST._late_days(batch, remembered)
     assert days.columns == ["_site", "_day", "_kept"] and days.count() == 0
+
+
+def test_one_reading_per_day_keeps_undated_rows_and_sites_without_a_name(spark):
+    rows = [("x", site, d, g, 1.0, 1.0, 0.0, 0.0) for site in ("s", None) for d, g in ((None, 1.0), (None, 1.0), (dt.date(2024, 1, 1), 9.0), (dt.date(2024, 1, 1), 2.0), (dt.date(2024, 1, 2), 5.0))]
+    df = spark.createDataFrame(rows, random_sites(spark, sites=1, days=1).schema)
+    got = sorted(((r.site_id, r.reading_date, r.generation_wh) for r in one_reading_per_day(df).collect()), key=str)
+    want = [(s, d, g) for s in ("s", None) for d, g in ((None, 1.0), (None, 1.0), (dt.date(2024, 1, 1), 2.0), (dt.date(2024, 1, 2), 5.0))]
+    assert got == sorted(want, key=str)
