@@ -11,7 +11,7 @@ from sunledger.operators.trends import SERIES, analyze_trends, relative_change
 from sunledger.plans.jobs import predict_problems
 from sunledger.queries import views as V
 from sunledger.queries.registry import query
-from sunledger.storage import materialize, scratch_path
+from sunledger.storage import scratch_path
 from sunledger.streaming import trends as ST
 
 
@@ -243,13 +243,13 @@ def sites_at_risk(spark, sf):
 
 def _arriving(spark, sf, root, late):
     """Three parts that arrive one after the other; the stream takes up each of them where it had stopped."""
-    df, year = materialize(V.stressed(spark, sf), "readings"), F.year("reading_date")
+    df, year = V.stressed(spark, sf), F.year("reading_date")
     parts = [df.where(year < 1994), df.where((year >= 1994) & (year < 1996)), df.where(year >= 1996)]
     if late:
         phase = (F.col("site_id").cast("int") + F.dayofmonth("reading_date")) % 11
         parts[1:] = [parts[1].unionAll(parts[0].where(phase == 3)), parts[2].unionAll(parts[2].where(phase == 4))]
     for part in parts:
-        part.write.mode("append").parquet(f"{root}/in")
+        part.write.mode("append").option("compression", "zstd").parquet(f"{root}/in")
         arrived = spark.readStream.schema(df.schema).parquet(f"{root}/in")
         ST.stream_trends(arrived, f"{root}/out", f"{root}/late", f"{root}/checkpoint", once=True).awaitTermination()
     return spark.read.parquet(f"{root}/out"), spark.read.parquet(f"{root}/late")

@@ -61,6 +61,7 @@ def test_predicted_and_known_come_from_one_stored_table(spark, name):
 STORED = {
     "T05_problems_on_arrival": {"t05p", "t05p-in"},
     "M15_problem_files": {"m15", "m15-a", "m15-b", "m15-c"},
+    "T04_stream_trends": {"t04"},
 }
 
 
